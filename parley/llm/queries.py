@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_crf, mixing, rule_ensemble
+from . import exact_dedup, line_crf, mixing, rule_ensemble, sketch_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_join.near_groups(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_line_labels": op3_line_labels,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_sketch_join": op10_sketch_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
