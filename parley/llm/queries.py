@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_crf, mixing, rule_ensemble, sketch_join
+from . import exact_dedup, host_paths, line_crf, mixing, rule_ensemble, sketch_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = line_crf.fit(docs, _table(spark, sf_dir, "labels"))
@@ -35,19 +39,37 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(_table(spark, sf_dir, "documents"))
 
 
+def op9_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_join.near_groups(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_warc_segments": op2_warc_segments,
     "op3_line_labels": op3_line_labels,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_host_paths": op9_host_paths,
     "op10_sketch_join": op10_sketch_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_segments": r"""
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
     "op7_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

@@ -73,3 +73,11 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def broadcast_if_small(df: DataFrame, limit_bytes: int = 8_000_000) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its measured size is within the bound; else as it is, for a
+    shuffled join. Strings count with their length, other columns with 8 bytes."""
+    width = sum((F.coalesce(F.length(c), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes), F.lit(16))
+    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit_bytes else df
