@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .shared import components, materialise
 
-#: 64-bit words of the folded sketch that is compared before texts are looked at again.
+#: Least size in 64-bit words of the sketch that is compared before texts are looked at again. Larger sets have one bit
+#: for each two shingles, so that the distance of unrelated sets stays far above what a link allows.
 FOLD_WORDS = 16
 
 
@@ -64,6 +65,13 @@ def sketch(tokens: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def _folded(found: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set with at most so many words (both are powers of two)."""
+    while len(found) > words:
+        found = found[::2] ^ found[1::2]
+    return found
+
+
 def _keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Join keys of a set: every word of its own band's scheme and of the scheme of the band below."""
     band = int(np.searchsorted(bands(percent), len(tokens), "right")) - 1
@@ -88,16 +96,16 @@ def _prints(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     total.append(own.sum(dtype=np.uint64))
                     mixed.append(np.bitwise_xor.reduce(ta.mix(own)) if len(own) else np.uint64(0))
                     keys.append(_keys(own, percent) if len(own) else own)
-                    fold.append(sketch(own, FOLD_WORDS))
+                    fold.append(sketch(own, max(FOLD_WORDS, 1 << int(len(own) // 128).bit_length())).tobytes())
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
                     "id": part.column("id"), "n": pa.array(n, pa.int64()),
                     "s1": pa.array(np.array(total, np.uint64).view(np.int64)), "s2": pa.array(np.array(mixed, np.uint64).view(np.int64)),
-                    "fold": pa.ListArray.from_arrays(pa.array(np.arange(0, FOLD_WORDS * len(n) + 1, FOLD_WORDS), pa.int32()), pa.array(np.concatenate(fold).view(np.int64))),
+                    "fold": pa.array(fold, pa.binary()),
                     "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64))),
                 })
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, fold array<long>, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, fold binary, keys array<long>")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +133,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, width: int,
     """Pairs (a, b) whose sets link. Folded sketches drop most others; the rest compare their shingles exactly."""
     side = prints.select("id", "n", "fold")
     a, b = (side.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "fold")]) for x in "ab")
-    apart = F.aggregate(F.zip_with("fold_a", "fold_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    close = pairs.join(a, pairs["a"] == a["id_a"]).join(b, pairs["b"] == b["id_b"])
-    close = close.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart * (100 + percent) <= most)).select("a", "b")
+    near = pairs.join(a, pairs["a"] == a["id_a"]).join(b, pairs["b"] == b["id_b"])
+    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "fold_a", "fold_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (100 - percent)
+            apart = np.zeros(batch.num_rows, np.int64)
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("fold_a", "fold_b"))
+                apart[k] = np.bitwise_count(_folded(x, len(y)) ^ _folded(y, len(x))).sum()
+            yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + percent) <= most))
+
+    close = near.mapInArrow(compare, "a long, b long")
     close = materialise(close.distinct(), "close")
     ids = close.select(F.col("a").alias("_id")).union(close.select("b")).distinct()
 
