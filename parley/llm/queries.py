@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, host_paths, line_crf, mixing, rule_ensemble, sketch_join, warc
+from . import exact_dedup, hidden_states, host_paths, line_crf, mixing, rule_ensemble, sketch_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_hidden_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_states.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_paths.extract(_table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_labels": op3_line_labels,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_hidden_states": op8_hidden_states,
     "op9_host_paths": op9_host_paths,
     "op10_sketch_join": op10_sketch_join,
 }
