@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hidden_states, host_paths, line_crf, mixing, rule_ensemble, sketch_join, warc
+from . import exact_dedup, hidden_states, host_paths, line_crf, merge_dropout, mixing, rule_ensemble, sketch_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode(_table(spark, sf_dir, "documents"))
+
+
 def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = rule_ensemble.fit(docs, _table(spark, sf_dir, "labels"))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc_segments": op2_warc_segments,
     "op3_line_labels": op3_line_labels,
+    "op4_merge_dropout": op4_merge_dropout,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_hidden_states": op8_hidden_states,
