@@ -217,7 +217,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
     found = read_archives(spark, path)
     found = materialise(found.select("record_id", "record_type", F.col("page_id").cast(kind).alias("page_id"), "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha")), "records")
+    # A written table: the join below exchanges both sides by itself, so that a response with very many revisits is split.
     responses = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("_id")).agg(F.min("page_id").alias("_page"), F.min("bytes").alias("_bytes"), F.min("sha").alias("_sha"))
+    responses = broadcast_if_small(materialise(responses, "responses"))
     both = found.join(responses, F.col("refers_to") == F.col("_id"), "left")
     return both.select(
         "page_id",
