@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hidden_states, host_paths, line_crf, merge_dropout, mixing, rule_ensemble, sketch_join, warc
+from . import bwt_merge, exact_dedup, hidden_states, host_paths, line_crf, merge_dropout, mixing, rule_ensemble, sketch_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score(docs, model)
 
 
+def op6_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_merge.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_labels": op3_line_labels,
     "op4_merge_dropout": op4_merge_dropout,
     "op5_rule_ensemble": op5_rule_ensemble,
+    "op6_bwt_merge": op6_bwt_merge,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_hidden_states": op8_hidden_states,
     "op9_host_paths": op9_host_paths,
