@@ -6,9 +6,8 @@ import heapq
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import materialise, word_count
 
@@ -111,18 +110,29 @@ def mix(
     Sizes of null or below 0 count as 0. A document without members gives nothing. Reruns give the same rows; the
     order of rows and partitions has no influence.
     """
-    spark = sized.sparkSession
-    key = F.concat_ws("\x01", F.transform(F.array_sort(F.array_distinct("members")), lambda s: F.concat(F.when(s.isNull(), "0").otherwise("1"), F.coalesce(s, F.lit("")))))
-    rows = sized.select(
-        "id",
-        "members",
-        F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("size"),
-        F.when(F.size("members") > 0, key).alias("pattern"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.col("size")), 8).alias("draw"),
-    )
-    rows = materialise(rows, "sized")
+    rows = materialise(_drawn(sized, F.col("id"), F.col("members"), F.col("size"), seed), "sized")
+    table = _solve(rows, quotas, most)
+    #: The plan has a row for a membership pattern; it is as small as what the driver has just solved.
+    joined = rows.join(F.broadcast(table), rows["_pattern"] == table["_of"], "left").withColumns(_given())
+    return joined.select("id", "members", F.col("_size").alias("size"), F.col("_passes").alias("passes"), F.col("_part").alias("part"), (F.col("_passes") * F.col("_size") + F.col("_part")).alias("taken"))
+
+
+def _drawn(rows: DataFrame, ident: Column, members: Column, size: Column, seed: int) -> DataFrame:
+    """``rows`` with size, membership pattern (null without members) and seeded draw of each document."""
+    size = F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).cast("long")
+    key = F.concat_ws("\x01", F.transform(F.array_sort(F.array_distinct(members)), lambda s: F.concat(F.when(s.isNull(), "0").otherwise("1"), F.coalesce(s, F.lit("")))))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), ident.cast("string"), size), 8)
+    return rows.withColumns({"_size": size, "_pattern": F.when(F.size(members) > 0, key), "_draw": draw})
+
+
+def _solve(rows: DataFrame, quotas: Mapping, most: int) -> DataFrame:
+    """Route the patterns' words to the quotas: (_of, _all, _cut, _left, _tied) for each pattern.
+
+    ``_all`` whole passes go to every document; in the last pass draws below ``_cut`` go whole and those at it share
+    ``_left`` of their ``_tied`` words.
+    """
     #: One row for a distinct set of sources, however many documents there are.
-    totals = {r["pattern"]: r["words"] for r in rows.where("pattern is not null").groupBy("pattern").agg(F.sum("size").alias("words")).collect()}
+    totals = {r["_pattern"]: r["words"] for r in rows.where("_pattern is not null").groupBy("_pattern").agg(F.sum("_size").alias("words")).collect()}
 
     def sources(pattern: str) -> tuple:
         return tuple(None if x[0] == "0" else x[1:] for x in pattern.split("\x01"))
@@ -134,16 +144,21 @@ def mix(
         routed = sum(v for (p, _), v in flow.items() if p == sources(pattern))
         plan[pattern] = divmod(routed, words) if words else (0, 0)
     cuts = _thresholds(rows, {p: rest for p, (_, rest) in plan.items()})
-    schema = T.StructType([T.StructField("_pattern", T.StringType()), T.StructField("passes", T.IntegerType()), T.StructField("cut", T.LongType()), T.StructField("left", T.LongType()), T.StructField("tied", T.LongType())])
-    table = spark.createDataFrame([(p, int(plan[p][0]), *cuts[p]) for p in plan], schema)
-    size, left = F.col("size"), F.col("left")
+    return rows.sparkSession.createDataFrame([(p, int(plan[p][0]), *map(int, cuts[p])) for p in plan], "_of string, _all int, _cut long, _left long, _tied long")
+
+
+def _given() -> dict[str, Column]:
+    """Whole passes and the part of the last pass of a document that is joined with its pattern's plan."""
+    size = F.col("_size")
     #: size * left / tied without overflow of a long, rounded down.
-    share = F.floor(size.cast("decimal(38,0)") * left / F.greatest("tied", F.lit(1))).cast("long")
-    part = F.when(F.col("draw") < F.col("cut"), size).when(F.col("draw") == F.col("cut"), share).otherwise(F.lit(0)).cast("long")
-    #: The plan has a row for a membership pattern; it is as small as what the driver has just solved.
-    joined = rows.join(F.broadcast(table), rows["pattern"] == table["_pattern"], "left")
-    joined = joined.select("id", "members", "size", F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce(part, F.lit(0)).cast("long").alias("part"))
-    return joined.withColumn("taken", F.col("passes") * F.col("size") + F.col("part"))
+    share = F.floor(size.cast("decimal(38,0)") * F.col("_left") / F.greatest("_tied", F.lit(1))).cast("long")
+    part = F.when(F.col("_draw") < F.col("_cut"), size).when(F.col("_draw") == F.col("_cut"), share)
+    return {"_passes": F.coalesce("_all", F.lit(0)), "_part": F.coalesce(part, F.lit(0)).cast("long")}
+
+
+def _copies() -> Column:
+    """Whole documents nearest to the words given: a part of half a document or more is one more copy."""
+    return (F.col("_passes") + F.when((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("_size")), 1).otherwise(0)).cast("int")
 
 
 def _thresholds(rows: DataFrame, wanted: Mapping[str, int]) -> dict:
@@ -154,13 +169,13 @@ def _thresholds(rows: DataFrame, wanted: Mapping[str, int]) -> dict:
     used = 0
     while at:
         used += 8
-        table = rows.sparkSession.createDataFrame([(p, lead) for p, (lead, _) in at.items()], "_pattern string, lead long")
-        branch = F.shiftright("draw", bits - used)
-        inside = rows.join(F.broadcast(table), (rows["pattern"] == table["_pattern"]) & (F.shiftright(branch, 8) == F.col("lead")))
+        table = rows.sparkSession.createDataFrame([(p, lead) for p, (lead, _) in at.items()], "_of string, lead long")
+        branch = F.shiftright("_draw", bits - used)
+        inside = rows.join(F.broadcast(table), (rows["_pattern"] == table["_of"]) & (F.shiftright(branch, 8) == F.col("lead")))
         sums: dict = {}
-        summed = inside.groupBy("pattern", branch.alias("branch")).agg(F.sum("size").alias("words"), F.min("draw").alias("least"), F.max("draw").alias("most"))
+        summed = inside.groupBy("_pattern", branch.alias("branch")).agg(F.sum("_size").alias("words"), F.min("_draw").alias("least"), F.max("_draw").alias("most"))
         for r in summed.collect():
-            sums.setdefault(r["pattern"], []).append((r["branch"], r["words"], r["least"], r["most"]))
+            sums.setdefault(r["_pattern"], []).append((r["branch"], r["words"], r["least"], r["most"]))
         ahead = {}
         for p, (_, want) in at.items():
             for b, words, least, most in sorted(sums[p]):
@@ -182,21 +197,36 @@ def production_targets(sizes: Mapping, weights: Sequence[int] = WEIGHTS, share:
 
 
 def mix_documents(docs: DataFrame, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
-    """The standing mix over a table of documents, one source each: (doc_id, size, source_size, target, taken, copies).
+    """The standing mix over a table of documents, one source each: (doc_id, size, source_size, target, taken).
 
-    ``taken`` meets the targets to the word, so the document at a threshold may give a part; ``copies`` rounds that
-    to whole documents. Null text has size 0 and is taken 0 words; null source is a source of its own, the last one.
+    ``taken`` meets the targets to the word, so the document at a threshold may give a part. Null text has size 0 and is taken 0 words; null source is a source of its own, the last one.
     Repeated rows are separate documents that share their draw. Further columns are ignored; an empty table gives
     an empty result.
     """
-    spark = docs.sparkSession
-    sized = materialise(docs.select(F.col(id_col).alias("id"), F.col("source"), word_count(F.col("text")).alias("size")), "words")
-    #: One row for a source.
-    sizes = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
-    targets = production_targets(sizes)
+    sized, sizes, targets = _standing(docs, id_col)
     mixed = mix(sized.select("id", F.array("source").alias("members"), "size"), targets, seed)
-    table = spark.createDataFrame([(s, int(sizes[s]), float(targets[s])) for s in sizes], "_source string, source_size long, target double")
+    table = docs.sparkSession.createDataFrame([(s, int(sizes[s]), float(targets[s])) for s in sizes], "_source string, source_size long, target double")
     source = F.col("members")[0]
     joined = mixed.join(F.broadcast(table), source.eqNullSafe(F.col("_source")), "left")
-    copies = F.col("passes") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", copies.cast("int").alias("copies"))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def _standing(docs: DataFrame, id_col: str) -> tuple[DataFrame, dict, dict]:
+    """Documents with their sizes, and the sizes and targets of the sources; a row for a source reaches the driver."""
+    sized = materialise(docs.select(F.col(id_col).alias("id"), F.col("source"), word_count(F.col("text")).alias("size")), "words")
+    sizes = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    return sized, sizes, production_targets(sizes)
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as the standing mix takes it as a whole; others are left out.
+
+    The plan is solved on sizes alone and then applied in one pass over the rows, so texts are not shuffled.
+    """
+    sized, _, targets = _standing(docs, id_col)
+    small = materialise(_drawn(sized, F.col("id"), F.array("source"), F.col("size"), seed), "sized")
+    table = F.broadcast(_solve(small, targets, MOST_PASSES))
+    rows = _drawn(docs, F.col(id_col), F.array("source"), word_count(F.col("text")), seed)
+    joined = rows.join(table, F.col("_pattern") == F.col("_of"), "left").withColumns(_given()).withColumn("_copies", _copies())
+    repeated = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*docs.columns)
