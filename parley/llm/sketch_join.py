@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .shared import components, materialise
 
-#: Least size in 64-bit words of the sketch that is compared before texts are looked at again. Larger sets have one bit
-#: for each two shingles, so that the distance of unrelated sets stays far above what a link allows.
+#: Least size in 64-bit words of the sketch that is compared before texts are looked at again. Larger sets have a bit for
+#: each shingle at least, so that the distance of unrelated sets stays far above what a link allows.
 FOLD_WORDS = 16
+#: Rows of a sketch word that are compared in one go; words with more rows are compared block by block.
+BLOCK_ROWS = 2048
 
 
 @lru_cache(maxsize=8)
@@ -27,11 +29,13 @@ def bands(percent: int, top: int = 1 << 40) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def parts_of(band: int, percent: int) -> int:
-    """Sketch words of a band's scheme: one more than any linked pair with a set in this band and one there or in the
-    next band can differ in, so that two linked sets agree in a word at least."""
+def parts_of(band: int, percent: int) -> tuple[int, int]:
+    """Sketch words of a band's scheme, and in how many of them a linked pair can differ at most if one set is in this
+    band and the other one there or in the next band. An eighth more words than that need agree, so that sets may leave
+    out their lightest words."""
     low = bands(percent)
-    return int((low[band + 1] - 1 + low[band + 2] - 1) * (100 - percent) // (100 + percent)) + 1
+    most = int((low[band + 1] - 1 + low[band + 2] - 1) * (100 - percent) // (100 + percent))
+    return most + 1 + most // 8, most
 
 
 def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +76,34 @@ def _folded(found: np.ndarray, words: int) -> np.ndarray:
     return found
 
 
+def word_keys(tokens: np.ndarray, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and keys of the sketch words that a set (sorted, distinct) joins on.
+
+    A word here has a bit for each possible hash; its key is the exclusive or of its bits' values, which is equal for
+    equal words. Two linked sets agree in more than ``words - most - 1`` words. A set leaves out the words of the fewest
+    tokens, all up to a weight t, as long as that is not more of them than this: then a word that agrees and weighs more
+    than either set's t is left in both. So empty words, which unrelated sets share, hardly ever are joined on.
+    """
+    word = ((tokens >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
+    begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    value, weight = np.bitwise_xor.reduceat(ta.mix(tokens), begins), np.diff(np.append(begins, len(tokens)))
+    number = word[begins]
+    lighter = np.cumsum(np.bincount(weight, minlength=1)) + words - len(begins)  # words of at most a weight, empty ones too
+    least = int(np.searchsorted(lighter, words - most))  # the first weight that must stay
+    if least:
+        return number[weight >= least], value[weight >= least]
+    empty = np.setdiff1d(np.arange(words, dtype=np.uint64), number)
+    return np.concatenate([number, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
+
+
 def _keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of a set: every word of its own band's scheme and of the scheme of the band below."""
+    """Join keys of a set in its own band's scheme and in that of the band below."""
     band = int(np.searchsorted(bands(percent), len(tokens), "right")) - 1
     out = []
     for scheme in (band, band - 1):
         if scheme >= 0:
-            found = sketch(tokens, parts_of(scheme, percent))
-            where = np.arange(len(found), dtype=np.uint64) + (np.uint64(scheme) << np.uint64(48))
-            out.append(ta.mix(found ^ ta.mix(where)))
+            number, value = word_keys(tokens, *parts_of(scheme, percent))
+            out.append(ta.mix(value ^ ta.mix(number + (np.uint64(scheme) << np.uint64(48)))))
     return np.concatenate(out)
 
 
@@ -96,7 +119,7 @@ def _prints(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     total.append(own.sum(dtype=np.uint64))
                     mixed.append(np.bitwise_xor.reduce(ta.mix(own)) if len(own) else np.uint64(0))
                     keys.append(_keys(own, percent) if len(own) else own)
-                    fold.append(sketch(own, max(FOLD_WORDS, 1 << int(len(own) // 128).bit_length())).tobytes())
+                    fold.append(sketch(own, max(FOLD_WORDS, 1 << int(len(own) // 64).bit_length())).tobytes())
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
                     "id": part.column("id"), "n": pa.array(n, pa.int64()),
@@ -207,7 +230,7 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str
     same = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))
     labels = components(links.unionByName(same))
 
-    rest = _across(stars, labels, single, pairs)
+    rest = _across(stars, labels, single, known, pairs, percent)
     more = materialise(_verified(rest, rows, known, width, percent), "verified")
     if more.limit(1).count():
         labels = components(links.unionByName(same).unionByName(more))
@@ -215,21 +238,66 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _across(stars: DataFrame, labels: DataFrame, single: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of ids in different components that share a sketch word and were not tested yet."""
+def _across(stars: DataFrame, labels: DataFrame, single: DataFrame, prints: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ids in different components that share a sketch word, are close by their sketches, and were not tested.
+
+    The rows of a word are compared in blocks within tasks, which give out close pairs only. A word with very many rows
+    in several components is cut into blocks by id, and each two blocks are compared on their own.
+    """
     node = stars.select("key", "id").unionByName(stars.select("key", F.col("center").alias("id")).distinct())
     named = node.join(labels.select(F.col("id").alias("_id"), "component"), F.col("id") == F.col("_id"), "left")
     named = named.select("key", "id", F.coalesce("component", "id").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("ids"))
-    split = split.where("least <> most and ids > 2").select(F.col("key").alias("_key"))
-    left = named.join(split, F.col("key") == F.col("_key"), "left_semi")
-    left = left.join(single.select(F.col("id").alias("_id"), "rep"), F.col("id") == F.col("_id"), "left").select("key", F.coalesce("rep", "id").alias("id"), "label").distinct()
-    left = materialise(left, "split")
-    x, y = (left.select(F.col("key").alias(f"key_{s}"), F.col("id").alias(s), F.col("label").alias(f"label_{s}")) for s in "ab")
-    pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct()
+    split = split.where("least <> most and ids > 2").select(F.col("key").alias("_key"), F.ceil(F.col("ids") / BLOCK_ROWS).cast("int").alias("blocks"))
+    left = named.join(split, F.col("key") == F.col("_key")).select("key", "id", "label", "blocks")
+    left = left.join(single.select(F.col("id").alias("_id"), "rep"), F.col("id") == F.col("_id"), "left").select("key", F.coalesce("rep", "id").alias("id"), "label", "blocks").distinct()
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # A block meets itself and every other one: group (a, b) with a <= b has the rows of both.
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(own, b).alias("a"), F.greatest(own, b).alias("b")))
+    rows = left.select("key", "id", "label", F.explode(both).alias("pair")).join(prints.select(F.col("id").alias("_id"), "n", "fold"), F.col("id") == F.col("_id"))
+    rows = rows.select("key", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "id", "label", "n", "fold")
+    rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "a", "b")])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if held and [held[0].column(c)[0].as_py() for c in ("key", "a", "b")] != key[:, 0].tolist():
+                cuts = np.concatenate([[0], cuts])
+            for start, stop in zip(np.concatenate([[0], cuts]), np.append(cuts, batch.num_rows)):
+                if stop > start:
+                    if start in cuts and held:
+                        yield _close(held, percent)
+                        held = []
+                    held.append(batch.slice(start, stop - start))
+        if held:
+            yield _close(held, percent)
+
+    pairs = rows.mapInArrow(run, "a long, b long").distinct()
     return pairs.join(tested.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
 
 
+def _close(rows: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """Pairs of a block's rows of different labels whose sizes and sketches allow a link."""
+    ident, label, n = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("id", "label", "n"))
+    fold = [np.frombuffer(x.as_buffer(), np.uint64) for r in rows for x in r.column("fold")]
+    words = min(len(f) for f in fold)
+    bits = np.stack([_folded(f, words) for f in fold])
+    out = [np.zeros((2, 0), np.int64)]
+    for i in range(len(ident) - 1):
+        j = slice(i + 1, None)
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        near = (label[j] != label[i]) & (ident[j] != ident[i]) & (apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent))
+        near &= 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
+        other = ident[j][near]
+        out.append(np.stack([np.minimum(other, ident[i]), np.maximum(other, ident[i])]))
+    found = np.concatenate(out, axis=1)
+    return pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows that stay when each group of near copies keeps its smallest doc_id; all columns are kept.
 
