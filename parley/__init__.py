@@ -1,0 +1 @@
+"""Conversation and event-timeline analytics as Spark jobs."""
