@@ -25,8 +25,8 @@ from .shared import materialise
 
 #: Bytes of a repeated string, of an anchor, and neighbouring anchors of which the least is taken (GRAM + NEAR <= SPAN + 1).
 SPAN, GRAM, NEAR = 100, 32, 64
-#: Bytes of text in a shard and anchors in a part, about.
-SHARD_BYTES, PART_ANCHORS = 4_000_000, 400_000
+#: Bytes of text in a shard and anchors in a part, about; and bytes of text that are hashed at a time.
+SHARD_BYTES, PART_ANCHORS, SLICE_BYTES = 2_000_000, 400_000, 400_000
 _REPEATED, _UNIFORM, _LATER = 1, 2, 4
 
 
@@ -52,54 +52,58 @@ class Shard:
         if len(ids) > 1 and (np.diff(ids[order]) == 0).any():  # rows that repeat an id go by their bytes
             order = np.array(sorted(range(len(ids)), key=lambda k: (ids[k], data[offsets[k] : offsets[k + 1]].tobytes())), np.int64)
         self.ids = ids[order]
-        size = np.diff(offsets)[order]
-        row, place = ta.ragged(size)
-        sorted_already = (order == np.arange(len(order))).all()
-        self.data = data if sorted_already else data[offsets[order][row] + place]
-        self.offsets = np.concatenate([[0], np.cumsum(size)])
-        self._anchors()
-
-    def _anchors(self) -> None:
-        n = len(self.data)
-        starts_of = self.offsets[:-1][np.diff(self.offsets) >= SPAN]
-        ends_of = self.offsets[1:][np.diff(self.offsets) >= SPAN]
-        empty = np.zeros(0, np.int64)
-        self.at = self.low = self.high = self.left = self.right = empty
-        self.gram, self.doc = np.zeros(0, np.uint64), empty
-        if not len(starts_of):
-            return
-        self.prefix = ta.prefix_hash(self.data)
-        grams = n - GRAM + 1
+        if (order == np.arange(len(order))).all():
+            self.data, self.offsets = data, offsets
+        else:
+            self.data = np.concatenate([data[offsets[k] : offsets[k + 1]] for k in order])
+            self.offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[order])])
+        found, start = [], 0
+        while start < len(order):
+            stop = max(start + 1, int(np.searchsorted(self.offsets, self.offsets[start] + SLICE_BYTES, "right")) - 1)
+            found.append(self._anchors(start, stop))
+            start = stop
+        columns = list(zip(*found)) or [()] * 8
+        kinds = (np.int64,) * 6 + (np.uint64,) * 2
+        self.at, self.low, self.high, self.left, self.right, self.doc, self.gram, self.around = (np.concatenate([np.zeros(0, k), *c]).astype(k, copy=False) for c, k in zip(columns, kinds))
+        self.order = np.argsort(self.gram, kind="stable")  # equal anchors stay in the order of documents and places
+
+    def _anchors(self, first_doc: int, end_doc: int) -> tuple[np.ndarray, ...]:
+        """Anchors of some documents; ``around`` hashes the known bytes around each, and where they are cut."""
+        base = self.offsets[first_doc]
+        offsets = self.offsets[first_doc : end_doc + 1] - base
+        data = self.data[base : base + offsets[-1]]
+        own = np.flatnonzero(np.diff(offsets) >= SPAN)
+        if not len(own):
+            return (np.zeros(0, np.int64),) * 6 + (np.zeros(0, np.uint64),) * 2
+        begins, ends = offsets[own], offsets[own + 1]
+        prefix = ta.prefix_hash(data)
+        grams = len(data) - GRAM + 1
         with np.errstate(over="ignore"):
-            value = ta.mix((self.prefix[GRAM:] - self.prefix[:-GRAM]) * ta.powers(n + 1)[1][:grams])
+            value = ta.mix((prefix[GRAM:] - prefix[:-GRAM]) * ta.powers(len(data) + 1)[1][:grams])
         # The least hash of NEAR neighbours, the last of equal ones: hash and place in one number, minima by blocks.
         room = -(-grams // NEAR) * NEAR + NEAR
         key = np.full(room, np.iinfo(np.uint64).max, np.uint64)
-        key[:grams] = ((value >> np.uint64(32)) << np.uint64(32)) | (np.uint64(2**32 - 1) - np.arange(grams, dtype=np.uint64))
+        key[:grams] = (value & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(2**32 - 1) - np.arange(grams, dtype=np.uint64))
         ahead = np.minimum.accumulate(key.reshape(-1, NEAR), axis=1).ravel()
         back = np.minimum.accumulate(key.reshape(-1, NEAR)[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(back[: room - NEAR + 1], ahead[NEAR - 1 :])
-        picked = (np.uint64(2**32 - 1) - (least & np.uint64(2**32 - 1))).astype(np.int64)
-        count = ends_of - starts_of - SPAN + 1  # strings of SPAN bytes in each long enough document
-        doc, place = ta.ragged(count)
-        starts = starts_of[doc] + place
-        anchor = picked[starts]
-        new = np.ones(len(starts), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(starts)) - 1
-        self.at, self.low, self.high = anchor[first], starts[first], starts[last]
-        self.gram = value[self.at]
-        own = doc[first]
-        self.left = np.minimum(self.at - starts_of[own], NEAR - 1)
-        self.right = np.minimum(ends_of[own] - self.at, SPAN)
-        self.doc = np.flatnonzero(np.diff(self.offsets) >= SPAN)[own]
-        self.order = np.argsort(self.gram, kind="stable")  # equal anchors stay in the order of documents and places
-
-    def around(self) -> np.ndarray:
-        """Hash of the known bytes around each anchor, and of where they are cut."""
-        found = ta.span_hash(self.prefix, self.at - self.left, self.at + self.right)
-        return ta.mix(found ^ (self.left * 256 + self.right).astype(np.uint64))
+        place = np.minimum(back[: room - NEAR + 1], ahead[NEAR - 1 :]).astype(np.uint32)  # 2**32 - 1 less the place
+        # A new anchor begins at a document's first string and wherever the least one changes, as long as strings fit.
+        starts = np.zeros(len(place) + 1, np.int8)
+        starts[begins] += 1
+        starts[ends - SPAN + 1] -= 1
+        new = np.empty(len(place), bool)
+        new[0], new[1:] = True, place[1:] != place[:-1]
+        new[begins] = True
+        new &= np.cumsum(starts[:-1], dtype=np.int8) > 0
+        low = np.flatnonzero(new)
+        doc = np.searchsorted(begins, low, "right") - 1
+        high = np.append(low[1:], 0) - 1
+        last = np.append(doc[1:] != doc[:-1], True)
+        high[last] = ends[doc[last]] - SPAN
+        at = (2**32 - 1 - place[low].astype(np.int64)).astype(np.int64)
+        left, right = np.minimum(at - begins[doc], NEAR - 1), np.minimum(ends[doc] - at, SPAN)
+        around = ta.mix(ta.span_hash(prefix, at - left, at + right) ^ (left * 256 + right).astype(np.uint64))
+        return at + base, low + base, high + base, left, right, own[doc] + first_doc, value[at], around
 
     def parts(self, bits: int) -> list[np.ndarray]:
         """Anchors of each part, by leading bits of the hash, in hash order."""
@@ -222,7 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         shard = _shard(table)
         if not len(shard.at):
             return pa.Table.from_pylist([], schema=_FIRST)
-        around, parts = shard.around(), shard.parts(bits)
+        around, parts = shard.around, shard.parts(bits)
         full = [p for p in range(len(parts)) if len(parts[p])]
         return pa.Table.from_pydict({
             "part": full, "shard": [key[0].as_py()] * len(full), "gram": [shard.gram[parts[p]].tobytes() for p in full],
@@ -304,7 +308,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(table: pa.Table, answers_: pa.Table) -> pa.Table:
         shard = _shard(table)
         size = len(shard.data)
-        edge = np.zeros(size + 1, np.int64)
+        edge = np.zeros(size + 1, np.int32)
         if len(shard.at):
             import pyarrow.compute as pc
 
@@ -318,18 +322,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 start = shard.at[parts[part][_unpack(which, np.int32)]] - _unpack(back, np.uint8)
                 np.add.at(edge, start, 1)
                 np.subtract.at(edge, start + SPAN, 1)
-        removed = np.cumsum(edge)[:-1] > 0
+        removed = np.cumsum(edge, dtype=np.int32)[:-1] > 0
         heads = removed.copy()
         heads[1:] &= ~removed[:-1]
         full = np.diff(shard.offsets) > 0
         at = shard.offsets[:-1][full]
         heads[at] = removed[at]
-        count = np.concatenate([[0], np.cumsum(removed)])
-        spans = np.concatenate([[0], np.cumsum(heads)])
         a, b = shard.offsets[:-1], shard.offsets[1:]
+        places, begun = np.flatnonzero(removed), np.flatnonzero(heads)
+        count, spans = (np.searchsorted(x, b) - np.searchsorted(x, a) for x in (places, begun))
         kept = [shard.data[x:y][~removed[x:y]].tobytes() for x, y in zip(a, b)]
         return pa.Table.from_pydict({
-            "doc_id": pa.array(shard.ids), "n_bytes": pa.array(b - a), "n_removed": pa.array(count[b] - count[a]), "n_spans": pa.array(spans[b] - spans[a]),
+            "doc_id": pa.array(shard.ids), "n_bytes": pa.array(b - a), "n_removed": pa.array(count), "n_spans": pa.array(spans),
             "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "kept": pa.array(kept, pa.binary()),
         })
 
