@@ -103,7 +103,8 @@ class Shard:
         at = (2**32 - 1 - place[low].astype(np.int64)).astype(np.int64)
         left, right = np.minimum(at - begins[doc], NEAR - 1), np.minimum(ends[doc] - at, SPAN)
         around = ta.mix(ta.span_hash(prefix, at - left, at + right) ^ (left * 256 + right).astype(np.uint64))
-        return at + base, low + base, high + base, left, right, own[doc] + first_doc, value[at], around
+        # Anchors have small hashes, so they are spread anew: parts go by leading bits.
+        return at + base, low + base, high + base, left, right, own[doc] + first_doc, ta.mix(value[at]), around
 
     def parts(self, bits: int) -> list[np.ndarray]:
         """Anchors of each part, by leading bits of the hash, in hash order."""
@@ -185,7 +186,7 @@ def later_strings(gram: np.ndarray, left: np.ndarray, right: np.ndarray, right_s
             # One more preceding symbol refines the classes of those whose strings reach that far.
             keep = low[member] >= o
             member, behind = member[keep], behind[keep]
-            _, behind = np.unique(behind * 256 + left[member, o - 1], return_inverse=True)
+            _, behind = np.unique(behind * 256 + left[member, o - 1].astype(np.int64), return_inverse=True)
         ahead = np.cumsum(common < SPAN - o)  # intervals of suffixes with SPAN - o common symbols
         inside = (low[member] >= o) & (high[member] <= o)
         own = member[inside]
@@ -285,10 +286,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         symbols = np.concatenate([_unpack(x.as_py(), np.uint8) for x in table.column("symbols")])
         back, ahead = shape[:, 0], shape[:, 1]
         anchor = np.cumsum(back + ahead) - ahead  # place of each anchor among the symbols
-        step = np.arange(NEAR - 1)
-        left = np.where(step < back[:, None], symbols[np.maximum(anchor[:, None] - 1 - step, 0)], 0)
-        step = np.arange(SPAN)
-        right = np.where(step < ahead[:, None], symbols[np.minimum(anchor[:, None] + step, len(symbols) - 1)], 0).astype(np.uint8)
+        left, right = np.zeros((len(ids), NEAR - 1), np.uint8), np.zeros((len(ids), SPAN), np.uint8)
+        for k in range(NEAR - 1):
+            left[:, k] = np.where(k < back, symbols[np.maximum(anchor - 1 - k, 0)], 0)
+        for k in range(SPAN):
+            right[:, k] = np.where(k < ahead, symbols[np.minimum(anchor + k, len(symbols) - 1)], 0)
         rank = _rank(ids, np.repeat(table.column("shard").to_numpy(), sizes))
         gone = later_strings(np.concatenate(gram), left, right, ahead, shape[:, 2], shape[:, 3], rank)
         gone = np.concatenate(gone, axis=1) if gone else np.zeros((2, 0), np.int64)
