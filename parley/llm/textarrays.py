@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in slices of about this many bytes, which bounds a task's memory; a longer text is a slice alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -53,7 +53,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``size`` of each."""
-    return _powers(max(1 << 21, 1 << int(size).bit_length()))
+    return _powers(max(1 << 20, 1 << int(size).bit_length()))
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
