@@ -20,10 +20,11 @@ def edge_rows() -> list[tuple]:
     base = words(rng, 120)
     near = base.replace(base.split()[60], "changed", 1)
     long = words(rng, 30_000)
+    twice = (12, words(rng, 60) + " " + base[:300], "fr", "c", 2)
     rows = [
         (1, base, "en", "a", 9), (2, base, "en", "b", 9), (3, near, "en", "a", None), (4, None, None, None, None), (5, "", "en", "b", 0), (6, " \t\n ", "en", "b", 4),
         (7, long, "en", "c", 1), (8, "x" * 5_000, "de", "c", 5), (9, "one two", "en", None, 7), (10, "One  TWO", "en", "a", 8), (None, "no id here at all", "en", "a", 3),
-        (11, base.replace(" ", "\n", 3), "en", "b", 1), (12, words(rng, 60) + " " + base[:300], "fr", "c", 2), (12, words(rng, 60) + " " + base[:300], "fr", "c", 2), (13, "é ½ 日本語 🎉 ▁x\x00y", "xx", "a", 1),
+        (11, base.replace(" ", "\n", 3), "en", "b", 1), twice, twice, (13, "é ½ 日本語 🎉 ▁x\x00y", "xx", "a", 1),
     ]
     rows += [(100 + k, words(rng, rng.randint(1, 200)), "en", rng.choice("abc"), k) for k in range(60)]
     rows += [(200 + k, near + f" tail{k}", "en", "hot", k) for k in range(25)]
