@@ -89,13 +89,15 @@ def long_words(text="text"):
 def topic_coherence(segments: DataFrame) -> DataFrame:
     """Mean Jaccard similarity of the long words of neighbouring segments: (file_id, pairs, coherence).
 
-    Pairs without any long word are left out; a file without pairs has coherence 0.
+    Pairs with a segment without long words are left out; a file without pairs has coherence 0, one of a single
+    segment 1.
     """
     w = ordered(["file_id"], _ORDER)
     rows = segments.withColumn("_own", long_words()).withColumn("_prev", F.lag("_own").over(w))
-    union = F.size(F.array_union("_own", "_prev"))
-    rows = rows.withColumn("_sim", F.when(F.col("_prev").isNotNull() & (union > 0), F.size(F.array_intersect("_own", "_prev")) / union))
-    return rows.groupBy("file_id").agg(F.count("_sim").alias("pairs"), F.coalesce(F.avg("_sim"), F.lit(0.0)).alias("coherence"))
+    said = F.col("_prev").isNotNull() & (F.size("_prev") > 0) & (F.size("_own") > 0)
+    rows = rows.withColumn("_sim", F.when(said, F.size(F.array_intersect("_own", "_prev")) / F.size(F.array_union("_own", "_prev"))))
+    alone = F.when(F.count(F.lit(1)) < 2, 1.0).otherwise(0.0)
+    return rows.groupBy("file_id").agg(F.count("_sim").alias("pairs"), F.coalesce(F.avg("_sim"), alone).alias("coherence"))
 
 
 def energy_flow(segments: DataFrame, size_ms: int = 30_000, arousal: str | None = None) -> DataFrame:

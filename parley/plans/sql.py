@@ -144,8 +144,8 @@ SQL: dict[str, str] = {
     "flow_topic_coherence": SEG + r"""
         , l AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(text), '\S+'), lambda w: length(w) > 3)) AS own FROM seg),
         p AS (SELECT file_id, own, lag(own) OVER (PARTITION BY file_id ORDER BY start_ms, ord) AS prev FROM l),
-        j AS (SELECT file_id, CASE WHEN prev IS NOT NULL AND len(list_distinct(list_concat(own, prev))) > 0 THEN len(list_intersect(own, prev)) / len(list_distinct(list_concat(own, prev))) END AS sim FROM p)
-        SELECT file_id, count(sim) AS pairs, round(coalesce(avg(sim), 0), 6) AS coherence FROM j GROUP BY file_id""",
+        j AS (SELECT file_id, CASE WHEN len(prev) > 0 AND len(own) > 0 THEN len(list_intersect(own, prev)) / len(list_distinct(list_concat(own, prev))) END AS sim FROM p)
+        SELECT file_id, count(sim) AS pairs, round(coalesce(avg(sim), CASE WHEN count(*) < 2 THEN 1 ELSE 0 END), 6) AS coherence FROM j GROUP BY file_id""",
     "flow_energy_buckets": SEG + """
         , f AS (SELECT file_id, max(end_ms) AS total_ms FROM seg GROUP BY file_id),
         w AS (SELECT file_id, total_ms, unnest(range(0, greatest(total_ms // 30000, 1))) AS win FROM f WHERE total_ms > 0),

@@ -34,7 +34,7 @@ def label_groups(spark: SparkSession, path: str) -> DataFrame:
 def speaker_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry of a JSON file, flat or wrapped with metadata: (name, centroid, samples, last_seen)."""
     entry = "struct<centroid:array<float>,samples:bigint,last_seen:string>"
-    text = spark.read.option("wholetext", True).text(path).select("value")
+    text = spark.read.text(path, wholetext=True).select("value")
     wrapped = F.from_json("value", f"struct<speakers:map<string,{entry}>>")["speakers"]
     flat = F.map_filter(F.from_json("value", f"map<string,{entry}>"), lambda _, v: v["centroid"].isNotNull())
     return text.select(F.explode(F.coalesce(wrapped, flat)).alias("name", "e")).select("name", "e.centroid", "e.samples", "e.last_seen")
