@@ -96,3 +96,108 @@ def smooth(frames: DataFrame, value: str, alpha: float) -> DataFrame:
     weight = lambda i: F.when((i == 0) & (F.col("_p") == n - 1), F.pow(F.lit(1 - alpha), (n - 1).cast("double"))).otherwise(alpha * F.pow(F.lit(1 - alpha), (n - 1 - i).cast("double")))
     terms = F.transform("_near", lambda x, i: x * weight(i))
     return rows.withColumn(f"{value}_smooth", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)).drop("_p", "_near")
+
+
+def loudness(frames: DataFrame, window: int = 40, gate_db: float = 10.0) -> DataFrame:
+    """Approximate loudness of a file: mean power of its windows that lie at most ``gate_db`` below the mean of all."""
+    w = ordered(["file_id"], ["frame"]).rowsBetween(-(window - 1), 0)
+    power = frames.select("file_id", F.avg(F.col("rms") * F.col("rms")).over(w).alias("p"))
+    level = power.groupBy("file_id").agg(decibels(F.sqrt(F.avg("p"))).alias("mean_db"))
+    loud = power.join(level, "file_id").where(decibels(F.sqrt("p")) >= F.col("mean_db") - gate_db)
+    return loud.groupBy("file_id").agg(decibels(F.sqrt(F.avg("p"))).alias("loudness_db"))
+
+
+def mel_energies(chunks: DataFrame, bands: int = 40, frame_ms: int = FRAME_MS, hop_ms: int = HOP_MS) -> DataFrame:
+    """Log energies in mel bands of each frame: (file_id, frame, mel array<float>)."""
+
+    def bank(rate: int, size: int) -> np.ndarray:
+        mel = lambda hz: 2595 * np.log10(1 + hz / 700)
+        edges = 700 * (10 ** (np.linspace(0, mel(rate / 2), bands + 2) / 2595) - 1)
+        hz = np.fft.rfftfreq(size, 1 / rate)
+        up, down = (hz - edges[:-2, None]) / np.diff(edges)[:-1, None], (edges[2:, None] - hz) / np.diff(edges)[1:, None]
+        return np.maximum(0, np.minimum(up, down))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                x, size, hop = np.asarray(row.samples, float), max(1, row.rate * frame_ms // 1000), max(1, row.rate * hop_ms // 1000)
+                if len(x) < size or not row.rate:
+                    continue
+                frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+                power = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)) ** 2
+                mel = np.log(power @ bank(row.rate, size).T + 1e-10).astype(np.float32)
+                yield pd.DataFrame({"file_id": row.file_id, "frame": row.start_ms // hop_ms + np.arange(len(mel)), "mel": list(mel)})
+
+    kind = dict(chunks.dtypes)["file_id"]
+    return chunks.select("file_id", "start_ms", "rate", "samples").mapInPandas(run, f"file_id {kind}, frame long, mel array<float>")
+
+
+def pitch(chunks: DataFrame, low_hz: float = 60.0, high_hz: float = 400.0, frame_ms: int = 40, hop_ms: int = HOP_MS, voiced: float = 0.5) -> DataFrame:
+    """Pitch of each frame by its autocorrelation: (file_id, frame, hz), null where no period stands out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                x, size, hop = np.asarray(row.samples, float), row.rate * frame_ms // 1000, max(1, row.rate * hop_ms // 1000)
+                if not row.rate or len(x) < size:
+                    continue
+                frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+                frames = frames - frames.mean(axis=1, keepdims=True)
+                power = np.abs(np.fft.rfft(frames, 2 * size, axis=1)) ** 2
+                own = np.fft.irfft(power, axis=1)[:, :size]
+                lags = slice(int(row.rate / high_hz), int(row.rate / low_hz) + 1)
+                ratio = own[:, lags] / (own[:, :1] + 1e-12) * (size / (size - np.arange(size)[lags]))
+                best = ratio.argmax(axis=1)
+                hz = np.where(ratio[np.arange(len(best)), best] >= voiced, row.rate / (best + lags.start), np.nan)
+                yield pd.DataFrame({"file_id": row.file_id, "frame": row.start_ms // hop_ms + np.arange(len(hz)), "hz": hz})
+
+    kind = dict(chunks.dtypes)["file_id"]
+    found = chunks.select("file_id", "start_ms", "rate", "samples").mapInPandas(run, f"file_id {kind}, frame long, hz double")
+    return found.withColumn("hz", F.when(~F.isnan("hz"), F.col("hz")))
+
+
+def pitch_slope(pitches: DataFrame, hop_ms: int = HOP_MS) -> DataFrame:
+    """Median step of a file's pitch between voiced neighbours, in hertz a second: (file_id, slope)."""
+    w = ordered(["file_id"], ["frame"])
+    voiced = pitches.where("hz is not null")
+    step = (F.col("hz") - F.lag("hz").over(w)) * 1000 / ((F.col("frame") - F.lag("frame").over(w)) * hop_ms)
+    return voiced.withColumn("step", step).groupBy("file_id").agg(F.median("step").alias("slope"))
+
+
+def high_pass(chunks: DataFrame, cut_hz: float = 80.0) -> DataFrame:
+    """Chunks without what lies below ``cut_hz``: zero phase, a second-order roll-off in the frequency domain."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x, rate in zip(batch["samples"], batch["rate"]):
+                if len(x) and rate:
+                    hz = np.fft.rfftfreq(len(x), 1 / rate)
+                    gain = hz**4 / (hz**4 + cut_hz**4)
+                    x = np.fft.irfft(np.fft.rfft(np.asarray(x, float)) * gain, len(x)).astype(np.float32)
+                out.append(x)
+            yield batch.assign(samples=out)
+
+    return chunks.mapInPandas(run, chunks.schema)
+
+
+def level(chunks: DataFrame, loudness_by_file: DataFrame, target_db: float = -20.0, most_db: float = 12.0, limit: float = 0.95) -> DataFrame:
+    """Chunks with their file's gain towards a loudness, at most ``most_db`` either way, limited in amplitude."""
+    gain = F.greatest(F.lit(-most_db), F.least(F.lit(most_db), target_db - F.col("loudness_db")))
+    rows = chunks.join(loudness_by_file, "file_id", "left").withColumn("_g", F.pow(F.lit(10.0), F.coalesce(gain, F.lit(0.0)) / 20))
+    out = F.transform("samples", lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), x * F.col("_g"))).cast("float"))
+    return rows.withColumn("samples", out).select(*chunks.columns)
+
+
+def resample(chunks: DataFrame, rate: int = 16_000) -> DataFrame:
+    """Chunks at another rate, by linear interpolation."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x, own in zip(batch["samples"], batch["rate"]):
+                n = len(x) * rate // own if own else 0
+                out.append(np.interp(np.arange(n) * own / rate, np.arange(len(x)), x).astype(np.float32) if n else np.zeros(0, np.float32))
+            yield batch.assign(samples=out, rate=np.int32(rate))
+
+    return chunks.mapInPandas(run, chunks.schema)
