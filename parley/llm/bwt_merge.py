@@ -213,15 +213,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns every row as (id, n_bytes, n_removed, n_spans, kept_sha256, kept binary): maximal removed runs, and the
     remaining bytes one after the other. Earlier means a smaller id, or the same id and an earlier start; rows that
-    repeat an id go by their bytes and among equal rows one is the first. A null id comes after all others. Strings do not
-    cross rows. Null text is empty; texts shorter than 100 bytes stay as they are. An empty table gives an empty result.
+    repeat an id go by their bytes and among equal rows one is the first. A null id comes after all others; of rows
+    without an id, those of one text have one first. Strings do not cross rows. Null text is empty; texts shorter than 100 bytes stay as they are. An empty table gives an empty result.
     """
     last = np.iinfo(np.int64).max
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    # Rows without an id are spread by their text, so that however many there are they are no hot shard.
+    spread = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col(id_col).cast("long")))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc_id"), text.alias("text"), spread.alias("spread"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     bits = max(1, int(np.ceil(np.log2(max(1, total / (NEAR / 2) / part_anchors)))))
-    by_shard = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard")
+    by_shard = rows.select("doc_id", "text", F.pmod("spread", F.lit(shards)).alias("shard")).groupBy("shard")
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         shard = _shard(table)

@@ -28,7 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path nobody has used yet in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder; call it once results are written themselves."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

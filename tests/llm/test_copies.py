@@ -167,3 +167,20 @@ def test_interleave_tells_common_prefixes():
         x, y = text[order[i - 1]][: sizes[order[i - 1]]], text[order[i]][: sizes[order[i]]]
         want = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
         assert common[i] == want
+
+
+def test_written_tables_can_be_cleared(spark):
+    shared.clear(spark)
+    kept = shared.materialise(spark.range(3), "some")
+    path = kept.inputFiles()[0]
+    shared.clear(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://")) and not shared._written
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"{k % 3} " + "same words over and over " * 10, None, None, None) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = bwt_merge.remove_repeats(docs, shard_bytes=2_000).collect()
+    assert len(found) == 60 and sum(r["n_removed"] < r["n_bytes"] - 10 for r in found) <= 3
