@@ -314,3 +314,41 @@ SQL: dict[str, str] = {
         SELECT user_id, event_type, min(ts) FILTER (st = 1) AS opened_at, max(ts) FILTER (st = 0) AS closed_at, round(max(value), 6) AS peak
         FROM s4 WHERE st = 1 OR was = 1 GROUP BY user_id, event_type, ev HAVING count(*) FILTER (st = 0) > 0""",
 }
+
+SQL["tail_windows"] = SEG + """
+    , b AS (SELECT *, CASE WHEN dur <= 1000 THEN 1 ELSE (dur - 1000) // 500 + 1 END AS n, greatest(end_ms - 1000, start_ms) AS tail FROM seg),
+    w AS (
+        SELECT file_id, ord, unnest(range(0, n)) AS k, start_ms, end_ms, NULL AS tail FROM b
+        UNION ALL SELECT file_id, ord, n, start_ms, end_ms, tail FROM b WHERE NOT ((tail - start_ms) % 500 = 0 AND (tail - start_ms) // 500 < n)
+    )
+    SELECT file_id, ord, k AS "window", coalesce(tail, start_ms + k * 500) AS win_start_ms, least(coalesce(tail, start_ms + k * 500) + 1000, end_ms) AS win_end_ms FROM w"""
+SQL["flow_metrics"] = f"""
+    SELECT p.*, b.speakers, b.balance, c.coherence, l.avg_sec, l.median_sec, l.count AS latencies
+    FROM ({SQL["flow_silence_pace"]}) p JOIN ({SQL["flow_balance_entropy"]}) b USING (file_id) JOIN ({SQL["flow_topic_coherence"]}) c USING (file_id) JOIN ({SQL["flow_latency"]}) l USING (file_id)"""
+SQL["speaker_table"] = f"""
+    SELECT c.*, coalesce(m.made, 0) AS made, coalesce(m.received, 0) AS received, round(m.overlap_ms / greatest(c.duration_ms, 1), 6) AS overlap_ratio
+    FROM ({SQL["speaker_rollup_core"]}) c LEFT JOIN ({SQL["interrupt_full_outer"]}) m USING (file_id, speaker)"""
+SQL["midpoint_overlap_split"] = SEG.replace("WITH wc", "WITH RECURSIVE wc") + """
+    , own AS (SELECT file_id, ord, start_ms AS s, end_ms AS e, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, ord, end_ms) AS i FROM seg WHERE end_ms - start_ms >= 50),
+    fold AS (
+        SELECT file_id, i, [{'ord': ord, 's': s, 'e': e}] AS done FROM own WHERE i = 1
+        UNION ALL
+        SELECT o.file_id, o.i,
+            CASE WHEN o.e - CASE WHEN o.s < f.done[-1].e THEN (f.done[-1].e + o.s) // 2 ELSE o.s END >= 50 THEN list_append(
+                CASE WHEN o.s < f.done[-1].e THEN list_append(f.done[:-2], {'ord': f.done[-1].ord, 's': f.done[-1].s, 'e': (f.done[-1].e + o.s) // 2}) ELSE f.done END,
+                {'ord': o.ord, 's': CASE WHEN o.s < f.done[-1].e THEN (f.done[-1].e + o.s) // 2 ELSE o.s END, 'e': o.e})
+            ELSE CASE WHEN o.s < f.done[-1].e THEN list_append(f.done[:-2], {'ord': f.done[-1].ord, 's': f.done[-1].s, 'e': (f.done[-1].e + o.s) // 2}) ELSE f.done END END
+        FROM fold f JOIN own o ON o.file_id = f.file_id AND o.i = f.i + 1
+    ),
+    last AS (SELECT file_id, unnest(arg_max(done, i)) AS d FROM fold GROUP BY file_id)
+    SELECT file_id, d.ord AS ord, d.s AS start_ms, d.e AS end_ms FROM last"""
+SQL["batch_packing"] = SEG.replace("WITH wc", "WITH RECURSIVE wc") + """
+    , own AS (SELECT file_id, ord, dur AS d, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, ord) AS i FROM seg),
+    fold AS (
+        SELECT file_id, i, ord, CAST(0 AS BIGINT) AS batch, d AS ms, CAST(1 AS BIGINT) AS n FROM own WHERE i = 1
+        UNION ALL
+        SELECT o.file_id, o.i, o.ord, CASE WHEN f.ms + o.d > 60000 OR f.n >= 4 THEN f.batch + 1 ELSE f.batch END,
+            CASE WHEN f.ms + o.d > 60000 OR f.n >= 4 THEN 0 ELSE f.ms END + o.d, CASE WHEN f.ms + o.d > 60000 OR f.n >= 4 THEN 0 ELSE f.n END + 1
+        FROM fold f JOIN own o ON o.file_id = f.file_id AND o.i = f.i + 1
+    )
+    SELECT file_id, ord, batch FROM fold"""
