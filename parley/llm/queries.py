@@ -97,4 +97,35 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM d
     """,
+    "op6_bwt_merge": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+        w AS (SELECT doc_id, i, md5_number(substring(x, 2 * i - 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(1, n - 98)) AS i FROM d WHERE n >= 100)),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM w),
+        g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS c FROM f WHERE r > 1),
+        k AS (SELECT doc_id, i, sum(c) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+        s AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS b FROM k GROUP BY doc_id, run),
+        t AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS p FROM s),
+        y AS (
+            SELECT t.doc_id, p, substring(x, 2 * p - 1, 2 * (a - p)) AS part FROM t JOIN d USING (doc_id)
+            UNION ALL SELECT d.doc_id, coalesce(m.b, 0) + 1, substring(x, 2 * coalesce(m.b, 0) + 1) FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM s GROUP BY doc_id) m USING (doc_id)
+        ),
+        z AS (SELECT doc_id, string_agg(part, '' ORDER BY p) AS x FROM y GROUP BY doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(q.r, 0) AS n_removed, coalesce(q.c, 0) AS n_spans, sha256(unhex(z.x)) AS kept_sha256
+        FROM d JOIN z USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(b - a + 1) AS BIGINT) AS r, count(*) AS c FROM s GROUP BY doc_id) q USING (doc_id)
+    """,
+    "op10_sketch_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(seen) FROM r WHERE r.id = d.doc_id) AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
 }
