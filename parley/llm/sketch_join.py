@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import components, materialise
+from .shared import components, materialise, small_batches
 
 #: Least size in 64-bit words of the sketch that is compared before texts are looked at again. Larger sets have a bit for
 #: each shingle at least, so that the distance of unrelated sets stays far above what a link allows.
@@ -208,7 +208,12 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str
     id links with nothing and has a null component. Repeated ids are one node; each of their rows is returned. An
     empty table gives an empty result; further columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        return _groups(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), width, percent, id_col)
+
+
+def _groups(rows: DataFrame, width: int, percent: int, id_col: str) -> DataFrame:
+    """``near_groups`` of (id, text); all but the last join runs inside."""
     prints = materialise(_prints(rows, width, percent), "prints")
     known = prints.where("id is not null and n > 0")
     first = known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("n").alias("n2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "rep")
