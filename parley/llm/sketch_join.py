@@ -179,6 +179,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, width: int,
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "tokens": pa.array([np.unique(value[x:y]).tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())})
 
     found = docs.join(ids, docs["id"] == ids["_id"], "left_semi").mapInArrow(sets, "id long, tokens binary")
+    # Written, so that no task runs this and the comparison at once: each holds a Python process.
+    found = materialise(found, "sets")
     left, right = (found.select(F.col("id").alias(f"id_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     both = close.join(left, close["a"] == left["id_a"]).join(right, close["b"] == right["id_b"]).select("a", "b", "tokens_a", "tokens_b")
 
