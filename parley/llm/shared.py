@@ -50,6 +50,13 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
 _written: list[str] = []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this process from the shared folder that nothing reads any more."""
+    _written.remove(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this process has written to the shared folder; call it once results are written themselves."""
     jvm = spark.sparkContext._jvm
