@@ -16,12 +16,14 @@ from . import textarrays as ta
 #: A parameter of every entry point; the file itself stays outside the repository.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Share of candidate merges that are skipped, and number of keys that the places of a text draw from.
-DROPOUT, KEYS = 0.1, 8
+#: Share of candidate merges that are skipped.
+DROPOUT = 0.1
 #: Bytes of text that share their segmented units.
 SLICE_BYTES = 1_000_000
 #: Units of at most so many symbols advance side by side in matrices; longer ones take an agenda each.
 _WIDTHS = (8, 16, 32, 64)
+#: Rows of such a matrix.
+_ROWS = 50_000
 _NEVER = np.int32(2**31 - 1)
 
 
@@ -106,13 +108,22 @@ def load(model_file: str = MODEL_FILE) -> Pieces:
     )
 
 
+def _place(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the candidate merge of the symbols [start, middle) and [middle, end) of a unit."""
+    with np.errstate(over="ignore"):
+        place = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+        return ta.mix(place + np.uint64(1))
+
+
+def _verdict(key: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
+    return (ta.mix(key ^ place) >> np.uint64(11)).astype(float) * 2.0**-53 < dropout
+
+
 def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
     """The keyed hash's verdict on candidate merges of the symbols [start, middle) and [middle, end) of their units."""
     if dropout <= 0:
         return np.zeros(np.shape(start), bool)
-    with np.errstate(over="ignore"):
-        place = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
-        return (ta.mix(key ^ ta.mix(place + np.uint64(1))) >> np.uint64(11)).astype(float) * 2.0**-53 < dropout
+    return _verdict(key, _place(start, middle, end), dropout)
 
 
 def agenda(pieces: Pieces, symbols: list[int], key: int, dropout: float) -> list[int]:
@@ -148,8 +159,11 @@ def agenda(pieces: Pieces, symbols: list[int], key: int, dropout: float) -> list
     return [p for p in piece if p >= 0]
 
 
-def _together(pieces: Pieces, symbols: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """``agenda`` for all rows of a matrix at once (-1 fills short rows): each round takes each row's best candidate."""
+def _together(pieces: Pieces, symbols: np.ndarray, key: np.ndarray, dropout: float, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``agenda`` for all rows of a matrix at once (-1 fills short rows): each round takes each row's best candidate.
+
+    Rows and hashed places of the merges go to the list ``taken``.
+    """
     n, width = symbols.shape
     out, sizes = symbols.copy(), (symbols >= 0).sum(axis=1)
     live = np.flatnonzero(sizes > 1)
@@ -181,6 +195,8 @@ def _together(pieces: Pieces, symbols: np.ndarray, key: np.ndarray, dropout: flo
                 break
         row = np.arange(len(live))
         _, into = pieces.lookup(sym[row, best], sym[row, best + 1])
+        if taken is not None:
+            taken.append((live, _place(start[row, best], start[row, best + 1], start[row, best + 2])))
         shift = columns + (columns > best[:, None])  # the right symbol of the merge falls out
         inner = np.minimum(shift[:, :width], width - 1)
         last = shift[:, :width] >= width
@@ -196,13 +212,36 @@ def _together(pieces: Pieces, symbols: np.ndarray, key: np.ndarray, dropout: flo
     return out, sizes
 
 
-def encode_slice(pieces: Pieces, column: pa.Array, text_key: np.ndarray, dropout: float = DROPOUT, keys: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
+def _segment(pieces: Pieces, symbol: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, dropout: float, taken: list | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Units [begin, begin + size) of the symbols segmented: their numbers, numbers of ids, and ids one after the other."""
+    found = []
+    low = 0
+    for width in _WIDTHS:
+        fits = np.flatnonzero((size > low) & (size <= width))
+        low = width
+        columns = np.arange(width)
+        for at in range(0, len(fits), _ROWS):
+            own = fits[at : at + _ROWS]
+            inside = columns < size[own][:, None]
+            matrix = np.where(inside, symbol[np.minimum(begin[own][:, None] + columns, len(symbol) - 1)], -1)
+            merges = None if taken is None else []
+            matrix, count = _together(pieces, matrix, key[own], dropout, merges)
+            found.append((own, count, matrix[columns < count[:, None]]))
+            for row, place in merges or ():
+                taken.append((own[row], place))
+    for k in np.flatnonzero(size > _WIDTHS[-1]):
+        ids = agenda(pieces, symbol[begin[k] : begin[k] + size[k]].tolist(), int(key[k]), dropout)
+        found.append((np.array([k]), np.array([len(ids)]), np.array(ids, np.int32)))
+    return found
+
+
+def encode_slice(pieces: Pieces, column: pa.Array, text_key: np.ndarray, dropout: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts of a slice, one after the other, and the number of each text's ids.
 
     A text is led by a blank and falls into units that no merge can cross: blanks with the word behind them, and
     single characters without a piece, which become bytes (so does a literal U+2581). The keyed hash of a unit's merges
-    depends on its symbols and one of ``keys`` keys that text and place draw; equal units with equal keys are
-    segmented once.
+    depends on its symbols, its text's key and its place there. Equal units are segmented once without dropout; a unit
+    whose hash skips none of the merges made there has that segmentation, any other takes an agenda of its own.
     """
     data, offsets = ta.flat(column)
     chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -227,37 +266,39 @@ def encode_slice(pieces: Pieces, column: pa.Array, text_key: np.ndarray, dropout
         prefix = np.zeros(len(symbol) + 1, np.uint64)
         np.cumsum(ta.mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(symbol)], out=prefix[1:])
         value = ta.mix((prefix[starts + length] - prefix[starts]) * down[starts] + length.astype(np.uint64))
-        if dropout > 0:
-            place = np.arange(len(starts)) - before[np.searchsorted(full, text_of)]
-            drawn = ta.mix(text_key[text_of] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(keys)
-            value = ta.mix(value + (drawn + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
     kinds, sample, inverse = np.unique(value, return_index=True, return_inverse=True)
     begin, size = starts[sample], length[sample]
-    count = np.zeros(len(kinds), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []  # kinds, and their ids one after the other
     odd_kind = odd[begin]
-    low = 0
-    for width in _WIDTHS:
-        own = np.flatnonzero(~odd_kind & (size > low) & (size <= width))
-        low = width
-        if len(own):
-            columns = np.arange(width)
-            inside = columns < size[own][:, None]
-            matrix = np.where(inside, symbol[np.minimum(begin[own][:, None] + columns, len(symbol) - 1)], -1)
-            matrix, count[own] = _together(pieces, matrix, kinds[own], dropout)
-            found.append((own, matrix[columns < count[own][:, None]]))
-    for k in np.flatnonzero(~odd_kind & (size > _WIDTHS[-1])):
-        ids = agenda(pieces, symbol[begin[k] : begin[k] + size[k]].tolist(), int(kinds[k]), dropout)
-        count[k] = len(ids)
-        found.append((np.array([k]), np.array(ids, np.int32)))
+    # With dropout, long units hardly ever come through whole; each takes its own agenda at once.
+    whole = np.flatnonzero(~odd_kind & ((size <= _WIDTHS[-1]) | (dropout <= 0)))
+    taken: list | None = [] if dropout > 0 else None
+    found = [(whole[k], n, ids) for k, n, ids in _segment(pieces, symbol, begin[whole], size[whole], kinds[whole], 0.0, taken)]
     for k in np.flatnonzero(odd_kind):
         raw = np.frombuffer(chr(points[begin[k]]).encode("utf-8", "surrogatepass"), np.uint8)
-        count[k] = len(raw)
-        found.append((np.array([k]), raw.astype(np.int32) + pieces.byte0))
-    order = np.concatenate([k for k, _ in found])
-    flat = np.concatenate([v for _, v in found]).astype(np.int32)
-    where = np.empty(len(kinds), np.int64)
+        found.append((np.array([k]), np.array([len(raw)]), raw.astype(np.int32) + pieces.byte0))
+    n_kinds = len(kinds)
+    if dropout > 0:
+        with np.errstate(over="ignore"):
+            place = np.arange(len(starts)) - before[np.searchsorted(full, text_of)]
+            key = ta.mix(value + ta.mix(text_key[text_of] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        of_kind = whole[np.concatenate([k for k, _ in taken])] if taken else np.zeros(0, np.int64)
+        merge = np.concatenate([p for _, p in taken])[np.argsort(of_kind, kind="stable")] if taken else np.zeros(0, np.uint64)
+        merges = np.bincount(of_kind, minlength=n_kinds)
+        own = ~odd_kind[inverse] & (length > _WIDTHS[-1])
+        first_merge = np.cumsum(merges) - merges
+        for at in range(0, len(starts), 4 * _ROWS):
+            kind = inverse[at : at + 4 * _ROWS]
+            unit, nth = ta.ragged(merges[kind])
+            own[at + unit[_verdict(key[at + unit], merge[first_merge[kind[unit]] + nth], dropout)]] = True
+        own = np.flatnonzero(own)
+        found += [(n_kinds + k, n, ids) for k, n, ids in _segment(pieces, symbol, starts[own], length[own], key[own], dropout)]
+        inverse[own] = n_kinds + np.arange(len(own))
+        n_kinds += len(own)
+    count, where = np.zeros(n_kinds, np.int64), np.zeros(n_kinds, np.int64)
+    order = np.concatenate([k for k, _, _ in found])
+    count[order] = np.concatenate([n for _, n, _ in found])
     where[order] = np.cumsum(count[order]) - count[order]
+    flat = np.concatenate([ids for _, _, ids in found]).astype(np.int32)
     per_unit = count[inverse]
     unit, place = ta.ragged(per_unit)
     ids = flat[where[inverse[unit]] + place]
@@ -278,7 +319,7 @@ def decode_ids(pieces: Pieces, ids: np.ndarray, counts: np.ndarray) -> tuple[np.
 def encode(docs: DataFrame, seed: int = 11, dropout: float = DROPOUT, model_file: str = MODEL_FILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segment every whole text: (id, n_tokens, ids array<int>, n_bytes, lossless).
 
-    Each candidate merge is skipped with probability ``dropout`` by a hash keyed with seed, id, place and unit, so
+    Each candidate merge is skipped with probability ``dropout`` by a hash keyed with all of seed, id, place and unit, so
     reruns agree while other seeds, ids and places give other segmentations; with a dropout of 0 the ids are the model's
     own. ``lossless`` tells whether decoding gave the text's bytes back; it always should. Null and empty texts have no
     ids. Rows that repeat an id and a text get equal ids; a null id counts as an empty one. Further columns are ignored.
