@@ -53,7 +53,10 @@ class Page:
         #: Of each container: path, number of the one around it, tag.
         self.containers: list[tuple[str, int, str]] = [("", -1, "")]
         self.links = [0]
+        #: Containers whose class or id has one of the marks.
+        self.marked: set[int] = set()
         self._read(html)
+        self._settle()
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, skipped, in a link
@@ -124,11 +127,15 @@ class Page:
                 self.links.append(0)
                 inside = len(self.containers) - 1
             if not skipped:
+                # Whether a marked container goes is settled at the end of the page.
                 words = set(_SPLIT.split(f"{names.get('class', '')} {names.get('id', '')}".lower())) if names else set()
                 in_article = any(entry[0] in ("article", "main") for entry in stack)
+                marked = tag not in ("html", "body", "main") and bool(words & MARKS)
+                if marked and tag in CONTAINER:
+                    self.marked.add(inside)
                 skipped = (
                     tag in NOT_ARTICLE
-                    or tag not in ("html", "body", "main") and bool(words & MARKS)
+                    or marked and tag not in CONTAINER
                     or not in_article and tag not in ("html", "body", "main", "article") and (tag == "header" or bool(words & {"header", "masthead"}))
                     or names.get("role", "").lower() in ROLES
                     or bool(rest) and bool(_HIDDEN.search(rest))
@@ -136,23 +143,59 @@ class Page:
             stack.append((tag, inside, skipped, link or tag == "a"))
         flush()
 
+    def _settle(self) -> None:
+        """Drop marked containers, but for wrappers: those around an unmarked article or main element, and on pages that
+        have none those with most of the page's text."""
+        size = [0] * len(self.containers)
+        for text, c in self.blocks:
+            size[c] += len(text)
+        self.main = [c not in self.marked and tag in ("article", "main") for c, (_, _, tag) in enumerate(self.containers)]
+        if not self.marked:
+            dropped = [False] * len(size)
+        else:
+            beside = any(m and not self._within_marked(c) for c, m in enumerate(self.main))
+            around_main = list(self.main)
+            for c in range(len(size) - 1, 0, -1):
+                around = self.containers[c][1]
+                size[around] += size[c]
+                around_main[around] |= around_main[c]
+            dropped = [False] * len(size)
+            for c, (_, around, _) in enumerate(self.containers):
+                wrapper = not beside and (around_main[c] or not around_main[0] and 2 * size[c] > size[0])
+                dropped[c] = around >= 0 and dropped[around] or c in self.marked and not wrapper
+        self.blocks = [(text, c) for text, c in self.blocks if not dropped[c]]
+        self.links = [0 if gone else n for n, gone in zip(self.links, dropped)]
+        self.main = [tag in ("article", "main") and not gone for (_, _, tag), gone in zip(self.containers, dropped)]
+
+    def _within_marked(self, c: int) -> bool:
+        while c > 0:
+            if c in self.marked:
+                return True
+            c = self.containers[c][1]
+        return False
+
     def best(self) -> int:
         """The container that holds the article: inwards from the page while one container has most of the text.
 
-        Link text counts against a container. The first article or main element on the way ends the search.
+        Link text counts against a container. The first article or main element on the way ends the search. Other
+        containers are entered only if what lies beside them is no text or mostly links, so headings and neighbours stay.
         """
         weight = [-2 * n for n in self.links]
         for text, c in self.blocks:
             weight[c] += len(text)
+        own, main = list(weight), list(self.main)
         inner: list[list[int]] = [[] for _ in weight]
         for c in range(len(weight) - 1, 0, -1):
             inner[self.containers[c][1]].append(c)
             weight[self.containers[c][1]] += max(weight[c], 0)
+            main[self.containers[c][1]] |= main[c]
         at = 0
-        while self.containers[at][2] not in ("article", "main"):
+        while not self.main[at]:
             ahead = max(inner[at], key=lambda c: (weight[c], -c), default=None)
             if ahead is None or weight[ahead] < MAIN_SHARE * weight[at] or weight[ahead] <= 0:
                 break
+            if not main[ahead] and (own[at] > 0 or any(weight[c] > 0 for c in inner[at] if c != ahead)):
+                break
             at = ahead
         return at
 
