@@ -238,7 +238,7 @@ _add("cache_left_anti", "conversations", _uncached)
 _add("qc_summary", "segments", _report)
 
 
-# Streams, drained into a table in memory.
+# Streams, drained into a table in the shared folder.
 def _add_stream(name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         batch = tables.table(spark, folder, "events")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..llm.shared import new_path
+
 #: Times of the windows and how late a row may come.
 WINDOW, SLIDE, GAP, LATE = "1 hour", "15 minutes", "30 minutes", "2 hours"
 
@@ -74,10 +76,20 @@ def switch_events(events: DataFrame, enter: float, leave: float) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there into a table in memory; for tests and small reports."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all that is there into a table in the shared folder, and read that table.
+
+    In complete mode each micro-batch writes the whole table anew, else rows are added. No rows pass through the driver.
+    """
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    spark.createDataFrame([], stream.schema).write.parquet(path)  # for a stream without any micro-batch
+    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, f"{name}-checkpoint")).trigger(availableNow=True)
+    if mode == "complete":
+        query = sink.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
+    else:
+        query = sink.format("parquet").start(path)
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
