@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..llm.shared import new_path
+from ..storage import new_path
 
 #: Times of the windows and how late a row may come.
 WINDOW, SLIDE, GAP, LATE = "1 hour", "15 minutes", "30 minutes", "2 hours"
