@@ -2,12 +2,14 @@
 
 A byte goes if a string of 100 bytes around it also starts earlier in the corpus. Suffixes are sampled: of each 64
 neighbouring 32-byte strings the one with the least hash is an anchor, so every 100-byte string has an anchor that it
-shares, at the same place, with all strings equal to it. A shard of documents holds its anchors' suffixes and the bytes
-before them, which are the symbols of its transform. Shards send these to parts by the anchors' hashes. A part merges
-the runs of the shards: rounds over the next symbols split the interleave's buckets until they are single or 100 bytes
-deep, and the round at which neighbours part gives their common prefix. Steps back over the preceding symbols then
-move the intervals from the anchors' suffixes to all the strings around them. No suffix array of the corpus is sorted
-and none is held in one place.
+shares, at the same place, with all strings equal to it. A shard of documents takes the windows around its anchors as a
+collection of strings and builds their transform: for each place of the window the symbols there, in the order of what
+follows in the window. Parts of the anchors get the transforms of all shards and merge them. A part keeps the interleave
+of the shards' rows, beginning with one shard after the other, and refines it once for each place from the right: the
+symbols before the rows, taken from each shard's transform in its own order, deal the rows out anew. Next to the
+interleave goes the place where a row first differs from the one before it, the common prefix, which each round derives
+from the last one. So the rows at a place that have 100 symbols in common are the intervals of repeated strings. No
+suffix is read again by a part, none is sorted there, and no suffix array of the corpus is held in one place.
 """
 
 from __future__ import annotations
@@ -21,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import materialise
+from .shared import materialise, whole_ids
 
 #: Bytes of a repeated string, of an anchor, and neighbouring anchors of which the least is taken (GRAM + NEAR <= SPAN + 1).
 SPAN, GRAM, NEAR = 100, 32, 64
 #: Bytes of text in a shard and anchors in a part, about; and bytes of text that are hashed at a time.
 SHARD_BYTES, PART_ANCHORS, SLICE_BYTES = 2_000_000, 400_000, 400_000
-_REPEATED, _UNIFORM, _LATER = 1, 2, 4
+#: Of an anchor with more different surroundings than this, the strings around it are dealt out by what they share.
+HOT = 20_000
+#: Parts of the strings around a hot anchor, by their distance from it.
+RANGES = 8
+_LATER, _OPEN, _HOT = 1, 2, 4
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -62,19 +68,30 @@ class Shard:
             stop = max(start + 1, int(np.searchsorted(self.offsets, self.offsets[start] + SLICE_BYTES, "right")) - 1)
             found.append(self._anchors(start, stop))
             start = stop
-        columns = list(zip(*found)) or [()] * 8
-        kinds = (np.int64,) * 6 + (np.uint64,) * 2
-        self.at, self.low, self.high, self.left, self.right, self.doc, self.gram, self.around = (np.concatenate([np.zeros(0, k), *c]).astype(k, copy=False) for c, k in zip(columns, kinds))
-        self.order = np.argsort(self.gram, kind="stable")  # equal anchors stay in the order of documents and places
+        columns = list(zip(*found)) or [()] * 9
+        kinds = (np.int64,) * 6 + (np.uint64,) * 3
+        self.at, self.low, self.high, self.left, self.right, self.doc, self.gram, self.around, self.other = (np.concatenate([np.zeros(0, k), *c]).astype(k, copy=False) for c, k in zip(columns, kinds))
+        order = np.argsort(self.gram, kind="stable")  # equal anchors stay in the order of documents and places
+        # Of anchors with equal surroundings the shard asks for the first only; the others come later in any case.
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = self.gram[order[1:]] != self.gram[order[:-1]]
+        again = order[~(new[:-1] & new[1:])]
+        by, head = _buckets(self.gram[again], self.around[again], self.other[again])
+        self.later = again[by[~head]]
+        if len(self.later):
+            first = np.ones(len(self.gram), bool)
+            first[self.later] = False
+            order = order[first[order]]
+        self.order = order
 
     def _anchors(self, first_doc: int, end_doc: int) -> tuple[np.ndarray, ...]:
-        """Anchors of some documents; ``around`` hashes the known bytes around each, and where they are cut."""
+        """Anchors of some documents; two hashes stand for the known bytes around each and for where they are cut."""
         base = self.offsets[first_doc]
         offsets = self.offsets[first_doc : end_doc + 1] - base
         data = self.data[base : base + offsets[-1]]
         own = np.flatnonzero(np.diff(offsets) >= SPAN)
         if not len(own):
-            return (np.zeros(0, np.int64),) * 6 + (np.zeros(0, np.uint64),) * 2
+            return (np.zeros(0, np.int64),) * 6 + (np.zeros(0, np.uint64),) * 3
         begins, ends = offsets[own], offsets[own + 1]
         prefix = ta.prefix_hash(data)
         grams = len(data) - GRAM + 1
@@ -102,9 +119,11 @@ class Shard:
         high[last] = ends[doc[last]] - SPAN
         at = (2**32 - 1 - place[low].astype(np.int64)).astype(np.int64)
         left, right = np.minimum(at - begins[doc], NEAR - 1), np.minimum(ends[doc] - at, SPAN)
-        around = ta.mix(ta.span_hash(prefix, at - left, at + right) ^ (left * 256 + right).astype(np.uint64))
+        cut = (left * 256 + right).astype(np.uint64)
+        around = ta.mix(ta.span_hash(prefix, at - left, at + right) ^ cut)
+        other = ta.mix(ta.span_hash(ta.prefix_hash(data, ta.OTHER_VALUE), at - left, at + right) ^ cut)
         # Anchors have small hashes, so they are spread anew: parts go by leading bits.
-        return at + base, low + base, high + base, left, right, own[doc] + first_doc, ta.mix(value[at]), around
+        return at + base, low + base, high + base, left, right, own[doc] + first_doc, ta.mix(value[at]), around, other
 
     def parts(self, bits: int) -> list[np.ndarray]:
         """Anchors of each part, by leading bits of the hash, in hash order."""
@@ -125,80 +144,95 @@ def _buckets(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _first_rounds(gram: np.ndarray, around: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Flags of anchors: repeated (a bucket of several), uniform (all of it alike around), later (not its first)."""
-    order, new = _buckets(gram)
-    bucket = np.cumsum(new) - 1
-    begins = np.flatnonzero(new)
-    size = np.diff(np.append(begins, len(order)))
-    value = around[order]
-    same = np.ones(len(order), bool)
-    same[1:] = new[1:] | (value[1:] == value[:-1])
-    uniform = np.logical_and.reduceat(same, begins)
-    least = np.minimum.reduceat(rank[order], begins)
-    flags = np.zeros(len(order), np.uint8)
-    flags[order] = (size > 1)[bucket] * _REPEATED + uniform[bucket] * _UNIFORM + (rank[order] != least[bucket]) * _LATER
+def compare(gram: np.ndarray, around: np.ndarray, other: np.ndarray, rank: np.ndarray, hot: int) -> np.ndarray:
+    """Flags of anchors: later (not the first with its surroundings), else open if the anchor has several surroundings,
+    and hot if it has very many. Anchors of different bytes that share a number only are open without need."""
+    flags = np.zeros(len(gram), np.uint8)
+    order = np.argsort(gram, kind="stable")
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = gram[order[1:]] != gram[order[:-1]]
+    again = order[~(new[:-1] & new[1:])]
+    if not len(again):
+        return flags
+    by, head = _buckets(gram[again], around[again], other[again])
+    again = again[by]
+    begins = np.flatnonzero(head)
+    kind = np.cumsum(head) - 1
+    least = np.minimum.reduceat(rank[again], begins)[kind]
+    bucket = np.ones(len(again), bool)
+    bucket[1:] = gram[again[1:]] != gram[again[:-1]]
+    kinds = np.add.reduceat(head.astype(np.int64), np.flatnonzero(bucket))[np.cumsum(bucket) - 1]
+    first = rank[again] == least
+    flags[again] = np.where(first, (kinds > 1) * _OPEN + (kinds > hot) * _HOT, _LATER)
     return flags
 
 
-def merge_runs(gram: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the suffixes at anchors, and the common prefix of each with the one before it.
-
-    ``right`` has a suffix in a row, ``sizes`` its length. The interleave starts in buckets of equal anchors; each
-    round refines those that still have several members by the next eight symbols.
-    """
-    words = np.zeros((len(gram), -(-SPAN // 8) * 8), np.uint8)
-    words[:, : right.shape[1]] = right
-    words = words.view(">u8")
-    order, new = _buckets(gram)
-    for column in (*words.T, sizes):  # at last the size: a cut suffix is not one that goes on with zero bytes
-        bucket = np.cumsum(new) - 1
-        at = np.flatnonzero(~new | np.append(~new[1:], False))
-        if not len(at):
-            break
-        inner, split = _buckets(bucket[at], column[order[at]])
-        order[at] = order[at][inner]
-        new[at] |= split
-    common = np.full(len(order), SPAN)
-    common[:1] = 0
-    pair = np.flatnonzero(new)[1:]
-    differ = right[order[pair]] != right[order[pair - 1]]
-    common[pair] = np.where(differ.any(axis=1), differ.argmax(axis=1), SPAN)
-    common[1:] = np.minimum(common[1:], np.minimum(sizes[order[1:]], sizes[order[:-1]]))
-    return order, common
-
-
-def later_strings(gram: np.ndarray, left: np.ndarray, right: np.ndarray, right_size: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
-    """For each anchor the distances (from its place back to a string's start) at which the string also starts earlier.
-
-    ``left`` has the preceding symbols, nearest first. Step o goes back over one more of them: anchors stay together
-    while these agree, and strings are equal if also the suffixes have SPAN - o symbols in common, which neighbours in
-    the interleave tell. Within an interval all but the least rank are later ones.
+def transform(symbols: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Transform of windows (place, row) whose rows are in order of their parts: for each place, from the last one on, the
+    symbols there, rows of a part being in the order of what follows in their windows."""
+    out = np.empty_like(symbols)
+    order = np.arange(symbols.shape[1])
+    high = (np.unique(part, return_inverse=True)[1] if len(part) else part).astype(np.uint32) << np.uint32(8)
+    if len(high) and high[-1] < 1 << 16:
+        high = high.astype(np.uint16)
+    for k in range(len(symbols) - 1, -1, -1):
+        out[k] = symbols[k][order]
+        order = order[np.argsort(high | out[k], kind="stable")]
+    return out
+
+
+def _nearest(differ: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Least value of ``differ`` over (before, after], for each pair."""
+    span = after - before
+    level = np.frexp(span)[1] - 1  # of the largest power of two within the span
+    table = [differ]
+    for k in range(int(level.max(initial=0))):
+        table.append(table[-1].copy())
+        np.minimum(table[k][: -(1 << k)], table[k][1 << k :], out=table[-1][: -(1 << k)])
+    flat, n = np.concatenate(table), len(differ)
+    return np.minimum(flat[level * n + before + 1], flat[level * n + after + 1 - (1 << level)])
+
+
+def later_strings(transforms: list[np.ndarray], near: np.ndarray, far: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and distances (from an anchor's place back to a string's start) of strings that also start earlier.
+
+    ``transforms`` are those of the shards, rows one shard after the other; a row stands for the strings that begin
+    ``near`` to ``far`` before its anchor. ``who`` is the interleave: rows in the order of what follows the present place.
+    ``differ`` is the place where a row first differs from the row before it.
     """
-    order, common = merge_runs(gram, right, right_size)
-    gone: list[np.ndarray] = []
-    rank, low, high = rank[order], low[order], high[order]
-    left = left[order]
-    member = np.arange(len(order))
-    behind = np.zeros(len(order), np.int64)  # class of the preceding symbols so far
-    for o in range(NEAR):
-        if o:
-            # One more preceding symbol refines the classes of those whose strings reach that far.
-            keep = low[member] >= o
-            member, behind = member[keep], behind[keep]
-            _, behind = np.unique(behind * 256 + left[member, o - 1].astype(np.int64), return_inverse=True)
-        ahead = np.cumsum(common < SPAN - o)  # intervals of suffixes with SPAN - o common symbols
-        inside = (low[member] >= o) & (high[member] <= o)
-        own = member[inside]
+    sizes = [t.shape[1] for t in transforms]
+    n = sum(sizes)
+    shard = np.repeat(np.arange(len(sizes)), sizes)
+    shard = shard.astype(np.uint16 if len(sizes) <= 1 << 16 else np.uint32)
+    who, slot, differ = np.arange(n), np.arange(n), np.full(n, SPAN, np.uint8)
+    if n:
+        differ[0] = 0
+    rows, back = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for k in range(NEAR - 1 + SPAN - 1, -1, -1):
+        place = k - (NEAR - 1)
+        symbol = np.concatenate([t[k] for t in transforms])[slot]
+        order = np.argsort(symbol, kind="stable")
+        same = np.zeros(n, bool)
+        same[1:] = symbol[order[1:]] == symbol[order[:-1]]
+        pair = np.flatnonzero(same)
+        new = np.full(n, max(place, 0), np.uint8)
+        new[:1] = 0
+        new[pair] = _nearest(differ, order[pair - 1], order[pair])
+        who, shard, differ = who[order], shard[order], new
+        slot = np.empty(n, np.int64)
+        slot[np.argsort(shard, kind="stable")] = np.arange(n)
+        if place > 0:
+            continue
+        own = np.flatnonzero((near[who] <= -place) & (far[who] >= -place))
         if len(own) < 2:
             continue
-        key, new = _buckets(ahead[own], behind[inside])
-        begins = np.flatnonzero(new)
-        least = np.minimum.reduceat(rank[own[key]], begins)
-        later = own[key][rank[own[key]] != least[np.cumsum(new) - 1]]
-        if len(later):
-            gone.append(np.stack([order[later], np.full(len(later), o)]))
-    return gone
+        interval = np.cumsum(differ < SPAN + place)[own]  # rows with SPAN common symbols from this place on
+        begins = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
+        found = rank[who[own]]
+        first = np.repeat(np.minimum.reduceat(found, begins), np.diff(np.append(begins, len(own))))
+        rows.append(who[own[found != first]])
+        back.append(np.full(len(rows[-1]), -place, np.uint8))
+    return np.concatenate(rows), np.concatenate(back)
 
 
 def _rank(docs: np.ndarray, message: np.ndarray) -> np.ndarray:
@@ -208,14 +242,15 @@ def _rank(docs: np.ndarray, message: np.ndarray) -> np.ndarray:
     return rank
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, part_anchors: int = PART_ANCHORS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, part_anchors: int = PART_ANCHORS, hot: int = HOT) -> DataFrame:
     """Remove each byte that a 100-byte string covers which also starts earlier; strings are judged on the input.
 
     Returns every row as (id, n_bytes, n_removed, n_spans, kept_sha256, kept binary): maximal removed runs, and the
     remaining bytes one after the other. Earlier means a smaller id, or the same id and an earlier start; rows that
     repeat an id go by their bytes and among equal rows one is the first. A null id comes after all others; of rows
-    without an id, those of one text have one first. Strings do not cross rows. Null text is empty; texts shorter than 100 bytes stay as they are. An empty table gives an empty result.
+    without an id, those of one text have one first. Strings do not cross rows. Null text is empty; texts shorter than 100 bytes stay as they are. An empty table gives an empty result. Ids that are no whole numbers are refused; further columns are ignored.
     """
+    whole_ids(docs, id_col)
     last = np.iinfo(np.int64).max
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     # Rows without an id are spread by their text, so that however many there are they are no hot shard.
@@ -226,24 +261,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = max(1, int(np.ceil(np.log2(max(1, total / (NEAR / 2) / part_anchors)))))
     by_shard = rows.select("doc_id", "text", F.pmod("spread", F.lit(shards)).alias("shard")).groupBy("shard")
 
+    def number(gram: np.ndarray) -> np.ndarray:
+        """What tells the anchors of a part apart: 32 further bits of their hashes."""
+        return ((gram << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+
     def send(key: tuple, table: pa.Table) -> pa.Table:
         shard = _shard(table)
         if not len(shard.at):
             return pa.Table.from_pylist([], schema=_FIRST)
-        around, parts = shard.around, shard.parts(bits)
+        parts = shard.parts(bits)
         full = [p for p in range(len(parts)) if len(parts[p])]
         return pa.Table.from_pydict({
-            "part": full, "shard": [key[0].as_py()] * len(full), "gram": [shard.gram[parts[p]].tobytes() for p in full],
-            "around": [around[parts[p]].tobytes() for p in full], "docs": [_pack(shard.ids[shard.doc[parts[p]]]) for p in full],
+            "part": full, "shard": [key[0].as_py()] * len(full), "gram": [number(shard.gram[parts[p]]).tobytes() for p in full],
+            "around": [shard.around[parts[p]].tobytes() + shard.other[parts[p]].tobytes() for p in full], "docs": [_pack(shard.ids[shard.doc[parts[p]]]) for p in full],
         }, schema=_FIRST)
 
     def flag(table: pa.Table) -> pa.Table:
-        gram = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("gram")]
+        gram = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("gram")]
         sizes = [len(g) for g in gram]
-        around = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("around")])
+        around = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in table.column("around")], axis=1)
         ids = np.concatenate([_unpack(x.as_py(), np.int64) for x in table.column("docs")])
         rank = _rank(ids, np.repeat(table.column("shard").to_numpy(), sizes))
-        flags = np.split(_first_rounds(np.concatenate(gram), around, rank), np.cumsum(sizes)[:-1])
+        flags = np.split(compare(np.concatenate(gram), *around, rank, hot), np.cumsum(sizes)[:-1])
         return pa.Table.from_pydict({"shard": table.column("shard"), "part": table.column("part"), "flags": pa.array([_pack(f) for f in flags], pa.binary())})
 
     sent = by_shard.applyInArrow(send, "part long, shard long, gram binary, around binary, docs binary")
@@ -256,56 +295,62 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out[shard.order] = np.concatenate([_unpack(f, np.uint8) for f in rows_["flags"]])
         return out
 
-    def mixed(shard: Shard, flag_: np.ndarray) -> list[np.ndarray]:
-        """Anchors of each part that are repeated and not alike around."""
-        open_ = (flag_ & _REPEATED > 0) & (flag_ & _UNIFORM == 0)
-        return [p[open_[p]] for p in shard.parts(bits)]
+    def units(shard: Shard, flag_: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What goes to be merged, by part: part, anchor, and the least and largest distance of its strings."""
+        anchor = shard.order[flag_[shard.order] & _OPEN > 0]
+        near, far = (shard.at - shard.high)[anchor], (shard.at - shard.low)[anchor]
+        part = (shard.gram[anchor] >> np.uint64(64 - bits)).astype(np.int64)
+        hot = flag_[anchor] & _HOT > 0
+        found = [(part[~hot], anchor[~hot], near[~hot], far[~hot])]
+        for a in range(0, NEAR, NEAR // RANGES) if hot.any() else ():
+            # Strings that begin a to b before the anchor all hold the bytes from a before it to SPAN - b behind it.
+            b = a + NEAR // RANGES - 1
+            own = np.flatnonzero(hot & (near <= b) & (far >= a))
+            core = shard.data[shard.at[anchor[own], None] + np.arange(-a, SPAN - b)]
+            with np.errstate(over="ignore"):
+                value = ta.mix((ta.BYTE_VALUE[core] * ta.powers(SPAN)[0][: core.shape[1]]).sum(axis=1, dtype=np.uint64) + np.uint64(a))
+            found.append(((value >> np.uint64(64 - bits)).astype(np.int64), anchor[own], np.maximum(near[own], a), np.minimum(far[own], b)))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(c[order] for c in columns)
 
     def contexts(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         shard = _shard(table)
-        if not len(shard.at):
+        part, anchor, near, far = units(shard, read_flags(shard, answers))
+        if not len(anchor):
             return pa.Table.from_pylist([], schema=_SECOND)
-        parts = mixed(shard, read_flags(shard, answers))
-        full = [p for p in range(len(parts)) if len(parts[p])]
-
-        def pieces(own: np.ndarray) -> np.ndarray:
-            size = shard.left[own] + shard.right[own]
-            row, place = ta.ragged(size)
-            return shard.data[(shard.at - shard.left)[own][row] + place]
-
-        shape = np.stack([shard.left, shard.right, shard.at - shard.low, shard.at - shard.high], axis=1).astype(np.uint8)
+        at, left, right = shard.at[anchor], shard.left[anchor], shard.right[anchor]
+        window = np.zeros((NEAR - 1 + SPAN, len(at)), np.uint8)
+        for k in range(len(window)):
+            place = k - (NEAR - 1)
+            inside = (place < right) & (place >= -left)
+            window[k, inside] = shard.data[at[inside] + place]
+        found = transform(window, part)
+        full, begins = np.unique(part, return_index=True)
+        cuts = list(zip(begins, np.append(begins[1:], len(part))))
+        shape = np.stack([near, far], axis=1).astype(np.uint8)
         return pa.Table.from_pydict({
-            "part": full, "shard": [key[0].as_py()] * len(full), "gram": [shard.gram[parts[p]].tobytes() for p in full],
-            "docs": [_pack(shard.ids[shard.doc[parts[p]]]) for p in full], "shape": [_pack(shape[parts[p]]) for p in full],
-            "symbols": [_pack(pieces(parts[p])) for p in full],
+            "part": full, "shard": [key[0].as_py()] * len(full), "docs": [_pack(shard.ids[shard.doc[anchor[a:b]]]) for a, b in cuts],
+            "shape": [_pack(shape[a:b]) for a, b in cuts], "symbols": [_pack(found[:, a:b]) for a, b in cuts],
         }, schema=_SECOND)
 
     def merge(table: pa.Table) -> pa.Table:
-        gram = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("gram")]
-        sizes = np.array([len(g) for g in gram])
-        message = np.repeat(np.arange(len(sizes)), sizes)
+        shape = [_unpack(x.as_py(), np.uint8).reshape(-1, 2) for x in table.column("shape")]
+        sizes = np.array([len(x) for x in shape])
         ids = np.concatenate([_unpack(x.as_py(), np.int64) for x in table.column("docs")])
-        shape = np.concatenate([_unpack(x.as_py(), np.uint8).reshape(-1, 4) for x in table.column("shape")]).astype(np.int64)
-        symbols = np.concatenate([_unpack(x.as_py(), np.uint8) for x in table.column("symbols")])
-        back, ahead = shape[:, 0], shape[:, 1]
-        anchor = np.cumsum(back + ahead) - ahead  # place of each anchor among the symbols
-        left, right = np.zeros((len(ids), NEAR - 1), np.uint8), np.zeros((len(ids), SPAN), np.uint8)
-        for k in range(NEAR - 1):
-            left[:, k] = np.where(k < back, symbols[np.maximum(anchor - 1 - k, 0)], 0)
-        for k in range(SPAN):
-            right[:, k] = np.where(k < ahead, symbols[np.minimum(anchor + k, len(symbols) - 1)], 0)
+        near, far = np.concatenate(shape).T.astype(np.int64)
         rank = _rank(ids, np.repeat(table.column("shard").to_numpy(), sizes))
-        gone = later_strings(np.concatenate(gram), left, right, ahead, shape[:, 2], shape[:, 3], rank)
-        gone = np.concatenate(gone, axis=1) if gone else np.zeros((2, 0), np.int64)
-        gone = gone[:, np.argsort(gone[0], kind="stable")]
-        first = np.cumsum(sizes) - sizes
-        cuts = np.searchsorted(message[gone[0]], np.arange(len(sizes) + 1))
-        which = [(gone[0, a:b] - first[k]).astype(np.int32) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
-        back_by = [gone[1, a:b].astype(np.uint8) for a, b in zip(cuts[:-1], cuts[1:])]
+        rows_, back = later_strings([_unpack(x.as_py(), np.uint8).reshape(NEAR - 1 + SPAN, -1) for x in table.column("symbols")], near, far, rank)
+        by_row = np.argsort(rows_, kind="stable")
+        rows_, back = rows_[by_row], back[by_row]
+        begins = np.cumsum(sizes) - sizes
+        cuts = np.searchsorted(rows_, np.append(begins, len(ids)))
+        which = [(rows_[a:b] - begins[k]).astype(np.int32) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+        back_by = [back[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.Table.from_pydict({"shard": table.column("shard"), "part": table.column("part"), "which": pa.array(map(_pack, which), pa.binary()), "back": pa.array(map(_pack, back_by), pa.binary())})
 
     own_flags = flags.groupBy("shard")
-    opened = by_shard.cogroup(own_flags).applyInArrow(contexts, "part long, shard long, gram binary, docs binary, shape binary, symbols binary")
+    opened = by_shard.cogroup(own_flags).applyInArrow(contexts, "part long, shard long, docs binary, shape binary, symbols binary")
     strings = opened.groupBy("part").applyInArrow(merge, "shard long, part long, which binary, back binary")
     empty = F.lit(None).cast("binary")
     answers = flags.select("shard", "part", "flags", empty.alias("which"), empty.alias("back")).unionByName(strings.select("shard", "part", empty.alias("flags"), "which", "back"))
@@ -318,13 +363,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             import pyarrow.compute as pc
 
             flag_ = read_flags(shard, answers_.filter(pc.is_valid(answers_.column("flags"))))
-            whole = np.flatnonzero((flag_ & _LATER > 0) & (flag_ & _UNIFORM > 0))
+            whole = np.append(np.flatnonzero(flag_ & _LATER > 0), shard.later)
             np.add.at(edge, shard.low[whole], 1)
             np.subtract.at(edge, shard.high[whole] + SPAN, 1)
-            parts = mixed(shard, flag_)
+            part_of, anchor, _, _ = units(shard, flag_)
             found = answers_.filter(pc.is_valid(answers_.column("which"))).to_pydict()
             for part, which, back in zip(found["part"], found["which"], found["back"]):
-                start = shard.at[parts[part][_unpack(which, np.int32)]] - _unpack(back, np.uint8)
+                own = anchor[np.searchsorted(part_of, part) + _unpack(which, np.int32)]
+                start = shard.at[own] - _unpack(back, np.uint8)
                 np.add.at(edge, start, 1)
                 np.subtract.at(edge, start + SPAN, 1)
         removed = np.cumsum(edge, dtype=np.int32)[:-1] > 0
@@ -347,4 +393,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 _FIRST = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("gram", pa.binary()), ("around", pa.binary()), ("docs", pa.binary())])
-_SECOND = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("gram", pa.binary()), ("docs", pa.binary()), ("shape", pa.binary()), ("symbols", pa.binary())])
+_SECOND = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("docs", pa.binary()), ("shape", pa.binary()), ("symbols", pa.binary())])

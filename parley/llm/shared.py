@@ -1,39 +1,20 @@
-"""Helpers that several corpus operators need: shared storage, sizes and connected components."""
+"""Helpers that several corpus operators need: sizes, batches, plain column names and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import broadcast_if_small, clear, materialise, new_path, remove, shared_folder  # noqa: F401
+
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (a local test session) a
-    temporary folder of this machine takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="parley-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has used yet in the shared folder."""
-    _written.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
     """Arrow batches of at most so many rows for what runs inside; executors hold a batch outside their heap, twice while
@@ -47,30 +28,11 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-_written: list[str] = []
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of this process from the shared folder that nothing reads any more."""
-    _written.remove(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete what this process has written to the shared folder; call it once results are written themselves."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Refuse a table whose ids are no whole numbers, before any job runs."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"column {id_col} must hold whole numbers, not {kind}")
 
 
 def word_count(text) -> F.Column:
@@ -107,11 +69,3 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int = 8_000_000) -> DataFrame:
-    """``df``, a written table, marked for broadcast if its measured size is within the bound; else as it is, for a
-    shuffled join. Strings count with their length, other columns with 8 bytes."""
-    width = sum((F.coalesce(F.length(c), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes), F.lit(16))
-    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= limit_bytes else df

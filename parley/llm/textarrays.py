@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-BYTE_VALUE = _table(7)
+BYTE_VALUE, OTHER_VALUE = _table(7), _table(1 << 20)
 SPACE_BYTE = np.zeros(256, bool)
 SPACE_BYTE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -95,12 +95,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums of byte values times powers of the base; see ``span_hash``."""
+def prefix_hash(data: np.ndarray, value: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """Sums of byte values times powers of the base; see ``span_hash``. Another table of values gives another hash."""
     up, _ = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=total[1:])
+        np.cumsum(value[data] * up[: len(data)], out=total[1:])
     return total
 
 

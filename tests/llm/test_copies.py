@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import bwt_merge, exact_dedup, shared, sketch_join
 
-from .conftest import SPACES, edge_rows
+from .conftest import SPACES, edge_rows, words
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -154,19 +155,50 @@ def test_repeats_of_nothing(no_docs):
     assert bwt_merge.remove_repeats(no_docs).count() == 0
 
 
-def test_interleave_tells_common_prefixes():
-    rng = np.random.default_rng(2)
-    text = [bytes(rng.choice(list(b"ab"), 60)) for _ in range(80)]
-    right = np.zeros((80, 100), np.uint8)
-    sizes = np.array([int(rng.integers(20, 60)) for _ in text])
-    for k, t in enumerate(text):
-        right[k, : sizes[k]] = list(t[: sizes[k]])
-    order, common = bwt_merge.merge_runs(np.zeros(80, np.uint64), right, sizes)
-    assert sorted(order) == list(range(80))
-    for i in range(1, 80):
-        x, y = text[order[i - 1]][: sizes[order[i - 1]]], text[order[i]][: sizes[order[i]]]
-        want = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-        assert common[i] == want
+def test_interleave_finds_strings_that_start_earlier():
+    """Transforms of three shards merged: all strings of 100 symbols in the windows, against a plain table of them."""
+    rng = np.random.default_rng(6)
+    pool = [rng.integers(97, 100, 100 + bwt_merge.NEAR - 1) for _ in range(4)]
+    windows = []
+    for _ in range(90):
+        w = pool[rng.integers(4)].copy()
+        w[: rng.integers(0, 40)] = rng.integers(97, 100)
+        w[len(w) - rng.integers(0, 40) :] = rng.integers(97, 100)
+        windows.append(w)
+    sizes, windows = [40, 1, 49], np.array(windows, np.uint8)
+    near, rank = rng.integers(0, 30, 90), rng.permutation(90)
+    far = near + rng.integers(0, 34, 90)
+    shards = np.split(windows, np.cumsum(sizes)[:-1])
+    for w in shards:  # a transform has the windows' symbols, place by place
+        made = bwt_merge.transform(w.T.copy(), np.zeros(len(w), np.int64))
+        assert (np.sort(made, axis=1) == np.sort(w.T, axis=1)).all()
+    rows, back = bwt_merge.later_strings([bwt_merge.transform(w.T.copy(), np.zeros(len(w), np.int64)) for w in shards], near, far, rank)
+    first: dict = {}
+    strings = {(r, o): (o, windows[r][63 - o : 163 - o].tobytes()) for r in range(90) for o in range(near[r], far[r] + 1)}
+    for (r, _), s in strings.items():
+        first[s] = min(first.get(s, 1_000), rank[r])
+    want = {(r, o) for (r, o), s in strings.items() if rank[r] > first[s]}
+    assert want and set(zip(rows.tolist(), back.tolist())) == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors_are_split(spark, hot):
+    """A line that stands in most texts, with other text around it, is dealt out by what the strings share."""
+    rng = random.Random(8)
+    line = words(rng, 30)
+    rows = [(k, " ".join((words(rng, rng.randint(0, 12)), line, words(rng, rng.randint(0, 3)), line[:80], words(rng, 9)))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in bwt_merge.remove_repeats(docs, shard_bytes=1_500, part_anchors=300, hot=hot).collect():
+        found.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+    assert {i: sorted(v) for i, v in found.items()} == plain_removal(rows)
+    assert sum(v[0][1] for v in found.values()) > 39 * 100
+
+
+def test_text_ids_are_refused(spark):
+    for run in (bwt_merge.remove_repeats,):
+        with pytest.raises(TypeError):
+            run(spark.createDataFrame([("d0", "x")], "doc_id string, text string"))
 
 
 def test_written_tables_can_be_cleared(spark):
