@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_if_small, clear, materialise, new_path, remove, shared_folder  # noqa: F401
+from ..storage import broadcast_if_small, clear, materialise, new_path, remove_table, shared_folder  # noqa: F401
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -156,11 +156,3 @@ def test_scores_equal_plain_counts(spark, edge_docs, no_docs):
     for a, b in zip(want, found):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and np.isfinite(b[6])
     assert len(found) == len(rows) and hs.score(no_docs).count() == 0
-
-
-def test_model_is_a_distribution_over_known_words_and_one_more():
-    classes = hs.Classes(np.array([5, 9], np.uint64), np.zeros(1 << hs.SHARED_BITS, np.int64), np.zeros(1 << hs.SHARED_BITS, np.int64))
-    classes.tokens[0], classes.types[0] = 10, 3
-    parts = 10 ** classes.within(np.array([2, 2, 2, 2]), np.array([4, 5, 1, 0]))
-    assert parts.sum() == pytest.approx(1)
-    assert 10 ** classes.within(np.array([0]), np.array([7]))[0] == 1
