@@ -41,6 +41,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def remove_table(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` has written."""
+    for path in [p for p in _written if any(f"{p.split('://')[-1]}/" in f for f in df.inputFiles()[:1])]:
+        remove(df.sparkSession, path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this process has written to the shared folder; call it once results are written themselves."""
     while _written:
