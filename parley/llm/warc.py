@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from .shared import broadcast_if_small, materialise, new_path
 #: Payloads from this size on are written once; equal ones become revisits.
 REVISIT_BYTES = 100
 #: A record's block is cut into segments of this size, its payload into transfer chunks of that size.
-SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 32_768, 4_096, 4_000
+SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 2_048, 1_024, 4_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -63,7 +65,9 @@ def _record(headers: dict[str, object], block: bytes) -> bytes:
 def records(page_id: object, url: str | None, payload: bytes, digest: str, first: object, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES) -> Iterator[bytes]:
     """WARC records of one page: a revisit without payload if ``first`` is another page's id, else one or more segments."""
     own = {
-        "WARC-Record-ID": record_id(page_id, digest), "WARC-Date": "1970-01-01T00:00:00Z", "X-Page-ID": page_id,
+        "WARC-Record-ID": record_id(page_id, digest), "WARC-Date": "1970-01-01T00:00:00Z", "X-Page-ID": None if page_id is None else quote(str(page_id), safe=""),
+        # Rows that are alike have one record identifier; what each of them has written is told apart by this.
+        "X-Write-ID": uuid.uuid4().hex,
         "WARC-Target-URI": None if url is None else url.replace("\r", "%0D").replace("\n", "%0A"),
     }
     if first is not None and first != page_id:
@@ -79,7 +83,7 @@ def records(page_id: object, url: str | None, payload: bytes, digest: str, first
     for number, i in enumerate(starts, 1):
         last = {"WARC-Segment-Total-Length": len(block)} if number == len(starts) else {}
         if number > 1:
-            head = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{number}')}>", "WARC-Segment-Origin-ID": own["WARC-Record-ID"], "WARC-Date": own["WARC-Date"]}
+            head = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{number}')}>", "WARC-Segment-Origin-ID": own["WARC-Record-ID"], "WARC-Date": own["WARC-Date"], "X-Write-ID": own["X-Write-ID"]}
         yield _record(head | {"WARC-Segment-Number": number} | last, block[i : i + segment])
 
 
@@ -108,7 +112,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
     Of rows with equal payloads of at least 100 bytes the smallest page_id is written in full, the others as revisits.
     Spark's text writer puts the record ends between records, so any store it reaches can hold the archives; files
-    are cut by a number of records. Null html is an empty payload; a null page_id is always written in full.
+    are compressed, and cut by a number of records, none of which is longer than a segment with its headers. Null html is an empty payload; a null page_id is always written in full.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
@@ -131,7 +135,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
     made = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 _FIELDS = "record_id string, record_type string, page_id string, url string, digest string, refers_to string"
@@ -140,60 +144,68 @@ _FIELDS = "record_id string, record_type string, page_id string, url string, dig
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All logical records of the archives under ``path`` with their payloads.
 
-    Returns (record_id, record_type, page_id string, url, digest, refers_to, payload). Whole records are decoded as
-    they are read. Segments are grouped by the identifier of their origin record, ordered by segment number, checked
+    Returns (record_id, record_type, page_id string, url, digest, refers_to, payload). Segments are grouped by the
+    identifier of their origin record, ordered by segment number, checked
     for gaps and against the total length, and then decoded. A record that is written several times comes back as
     often. A revisit has a null payload: it stands in the record it refers to. Broken archives raise an error.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
-    def reader(whole: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    rows, size = [], 0
-                    for headers, block in parse(batch.column("content")[k].as_buffer().to_pybytes()):
-                        number = headers.get("warc-segment-number")
-                        if whole != (number is None):
-                            continue
-                        kind = headers["warc-type"]
-                        row = (headers["warc-record-id"], kind, headers.get("x-page-id"), headers.get("warc-target-uri"), headers.get("warc-payload-digest", "").removeprefix("sha256:"), headers.get("warc-refers-to"))
-                        if whole:
-                            row += (None if kind == "revisit" else http_payload(block),)
-                        else:
-                            row += (headers.get("warc-segment-origin-id", headers["warc-record-id"]), int(number), int(headers.get("warc-segment-total-length", -1)), block)
-                        rows.append(row)
-                        size += len(block)
-                        if size > 4_000_000:
-                            yield _batch(rows, whole)
-                            rows, size = [], 0
-                    if rows:
-                        yield _batch(rows, whole)
-
-        return run
-
-    complete = files.mapInArrow(reader(True), f"{_FIELDS}, payload binary")
-    parts = files.mapInArrow(reader(False), f"{_FIELDS}, origin string, number int, total long, block binary")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, size = [], 0
+                for headers, block in parse(unpacked(batch.column("content")[k].as_buffer().to_pybytes())):
+                    page, kind = headers.get("x-page-id"), headers["warc-type"]
+                    own = headers["warc-record-id"]
+                    rows.append((
+                        own, kind, None if page is None else unquote(page), headers.get("warc-target-uri"), headers.get("warc-payload-digest", "").removeprefix("sha256:"), headers.get("warc-refers-to"),
+                        f"{headers.get('warc-segment-origin-id', own)} {headers.get('x-write-id', '')}", int(headers.get("warc-segment-number", 0)), int(headers.get("warc-segment-total-length", -1)), block,
+                    ))
+                    size += len(block)
+                    if size > 4_000_000:
+                        yield _batch(rows, _PARTS)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows, _PARTS)
+
+    # Archives are read and parsed once; whole records are groups of one row.
+    parts = files.mapInArrow(read, f"{_FIELDS}, origin string, number int, total long, block binary")
     groups = parts.groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("number", "record_id", "record_type", "page_id", "url", "digest", "refers_to", "total", "block"))).alias("segments")
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for segments in batch.column("segments"):
-                yield _batch(_joined(segments.as_py()), True)
+            rows = [row for segments in batch.column("segments") for row in _joined(segments.as_py())]
+            if rows:
+                yield _batch(rows, _WHOLE)
+
+    return groups.mapInArrow(join, f"{_FIELDS}, payload binary")
+
 
-    return complete.unionByName(groups.mapInArrow(join, f"{_FIELDS}, payload binary"))
+def unpacked(data: bytes) -> bytes:
+    """An archive file without its compression, if it has any; it may consist of several compressed members."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join([*out, data])
 
 
-def _batch(rows: list[tuple], whole: bool) -> pa.RecordBatch:
-    names = ["record_id", "record_type", "page_id", "url", "digest", "refers_to"] + (["payload"] if whole else ["origin", "number", "total", "block"])
-    kinds = [pa.string()] * 6 + ([pa.binary()] if whole else [pa.string(), pa.int32(), pa.int64(), pa.binary()])
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+_WHOLE = pa.schema([(c, pa.string()) for c in ("record_id", "record_type", "page_id", "url", "digest", "refers_to")] + [("payload", pa.binary())])
+_PARTS = pa.schema([*list(_WHOLE)[:6], pa.field("origin", pa.string()), pa.field("number", pa.int32()), pa.field("total", pa.int64()), pa.field("block", pa.binary())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _joined(segments: list[dict]) -> list[tuple]:
-    """The logical record of sorted segments, once for each time that it was written."""
+    """The logical record of sorted segments, once for each time that it was written. Number 0 is a whole record."""
+    if segments[-1]["number"] == 0:
+        return [_logical(s, s["block"]) for s in segments]
     times = sum(s["number"] == 1 for s in segments)
     single = segments[:: max(times, 1)]
     if not times or [s["number"] for s in single] != list(range(1, len(single) + 1)) or len(single) * times != len(segments):
@@ -201,8 +213,12 @@ def _joined(segments: list[dict]) -> list[tuple]:
     block = b"".join(s["block"] for s in single)
     if single[-1]["total"] != len(block):
         raise ValueError(f"the total length of {single[0]['record_id']} is {single[-1]['total']}, its segments have {len(block)}")
-    head = single[0]
-    return [(head["record_id"], head["record_type"], head["page_id"], head["url"], head["digest"], head["refers_to"], http_payload(block))] * times
+    return [_logical(single[0], block)] * times
+
+
+def _logical(head: dict, block: bytes) -> tuple:
+    payload = None if head["record_type"] == "revisit" else http_payload(block)
+    return head["record_id"], head["record_type"], head["page_id"], head["url"], head["digest"], head["refers_to"], payload
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def test_pages_are_described(spark):
 
 
 def test_missing_or_short_segments_are_told(spark, tmp_path):
-    made = list(warc.records(1, "u", b"x" * 90_000, "d", None))
+    made = list(warc.records(1, "u", b"x" * 90_000, "d", None, segment=40_000))
     assert len(made) == 3
     heads = [(warc.parse(r).__next__()) for r in made]
     row = lambda h, b: {"number": int(h["warc-segment-number"]), "record_id": h["warc-record-id"], "record_type": h["warc-type"], "page_id": None, "url": None, "digest": "", "refers_to": None, "total": int(h.get("warc-segment-total-length", -1)), "block": b}
