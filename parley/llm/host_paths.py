@@ -15,7 +15,7 @@ from .shared import broadcast_if_small, materialise
 
 #: Elements without an end tag, elements whose content is not markup, and elements that end a block of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select option".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object select option".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -25,20 +25,30 @@ CONTAINER = frozenset("html body main article section div td center".split())
 #: Elements, roles and words of class names or ids that mark what is not the article.
 NOT_ARTICLE = frozenset("nav aside footer form button dialog menu head".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert form menu menubar".split())
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
-    "cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice popup promo promotion recommended related "
-    "replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+MARKS = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie "
+    "cookies footer gdpr menu modal nav navbar navigation newsletter notice popup promo promotion recommended related "
+    "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 #: A container is entered if it holds this share of the text around it.
 MAIN_SHARE = 0.6
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Stands between the labels of a path.
+PATH = "\x1f"
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag by their names in lower case; the first of a name counts. Values are no names."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
 def _label(tag: str, names: dict[str, str]) -> str:
     """Tag and classes with digits generalised, so that numbered classes of one template look alike."""
     classes = sorted({re.sub(r"\d+", "#", c) for c in names.get("class", "").split()})
@@ -50,18 +60,22 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.blocks: list[tuple[str, int]] = []
-        #: Of each container: path, number of the one around it, tag.
+        #: Of each container: tag and generalised classes, number of the one around it, tag.
         self.containers: list[tuple[str, int, str]] = [("", -1, "")]
         self.links = [0]
-        #: Containers whose class or id has one of the marks.
+        #: Containers whose class or id has one of the marks; those among them that hold comments.
         self.marked: set[int] = set()
+        self.comments: set[int] = set()
         self._read(html)
         self._settle()
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, skipped, in a link
+        open_tags: dict[str, int] = {}  # open elements of each tag, so that no tag is looked for in vain
+        open_blocks: list[int] = []  # their places in the stack
         pieces: list[str] = []
         at, size = 0, len(html)
+        last = html.rfind(">") + 1  # no tag ends beyond it
 
         def flush() -> None:
             if pieces:
@@ -71,12 +85,16 @@ class Page:
                 pieces.clear()
 
         def close(k: int) -> None:
-            if any(entry[0] in BLOCK for entry in stack[k:]):
+            if open_blocks and open_blocks[-1] >= k:
                 flush()
+            while open_blocks and open_blocks[-1] >= k:
+                open_blocks.pop()
+            for tag, *_ in stack[k:]:
+                open_tags[tag] -= 1
             del stack[k:]
 
         while at < size:
-            found = _TAG.search(html, at)
+            found = _TAG.search(html, at, last) if at < last else None
             end = found.start() if found else size
             if end > at and not stack[-1][2]:
                 piece = html[at:end]
@@ -92,13 +110,10 @@ class Page:
             if not tag:
                 continue
             if found[1] or found[4]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                else:
-                    if tag in BLOCK:
-                        flush()
+                if open_tags.get(tag):
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
+                elif tag in BLOCK:
+                    flush()
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -113,66 +128,90 @@ class Page:
                 continue
             if tag in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    open_tag = stack[k][0]
-                    if open_tag == "p" or open_tag == tag and tag in ("li", "td", "th", "tr", "option") or {open_tag, tag} <= {"dt", "dd"}:
-                        close(k)
-                        break
-                    if open_tag in BLOCK:
-                        break
+                if open_blocks:
+                    open_tag = stack[open_blocks[-1]][0]
+                    if open_tag == "p" or open_tag == tag and tag in ("li", "td", "th", "tr") or {open_tag, tag} <= {"dt", "dd"}:
+                        close(open_blocks[-1])
             _, inside, skipped, link = stack[-1]
-            names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(rest)} if "=" in rest else {}
+            names = attributes(rest) if rest else {}
             if tag in CONTAINER and not skipped:
-                self.containers.append((f"{self.containers[inside][0]}>{_label(tag, names)}", inside, tag))
+                self.containers.append((_label(tag, names), inside, tag))
                 self.links.append(0)
                 inside = len(self.containers) - 1
             if not skipped:
                 # Whether a marked container goes is settled at the end of the page.
                 words = set(_SPLIT.split(f"{names.get('class', '')} {names.get('id', '')}".lower())) if names else set()
-                in_article = any(entry[0] in ("article", "main") for entry in stack)
+                in_article = bool(open_tags.get("article") or open_tags.get("main"))
                 marked = tag not in ("html", "body", "main") and bool(words & MARKS)
                 if marked and tag in CONTAINER:
                     self.marked.add(inside)
+                    if words & COMMENTS:
+                        self.comments.add(inside)
                 skipped = (
                     tag in NOT_ARTICLE
                     or marked and tag not in CONTAINER
                     or not in_article and tag not in ("html", "body", "main", "article") and (tag == "header" or bool(words & {"header", "masthead"}))
                     or names.get("role", "").lower() in ROLES
-                    or bool(rest) and bool(_HIDDEN.search(rest))
+                    or "hidden" in names
+                    or names.get("aria-hidden", "").lower() == "true"
                 )
+            if tag in BLOCK:
+                open_blocks.append(len(stack))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
             stack.append((tag, inside, skipped, link or tag == "a"))
         flush()
 
     def _settle(self) -> None:
-        """Drop marked containers, but for wrappers: those around an unmarked article or main element, and on pages that
-        have none those with most of the page's text."""
-        size = [0] * len(self.containers)
+        """Drop marked containers, but for wrappers.
+
+        Those are: around an unmarked article or main element; on pages that have none, with most of the page's text;
+        inside an article or main element, with most of its text, unless they hold comments.
+        """
+        n = len(self.containers)
+        size = [0] * n
         for text, c in self.blocks:
             size[c] += len(text)
         self.main = [c not in self.marked and tag in ("article", "main") for c, (_, _, tag) in enumerate(self.containers)]
-        if not self.marked:
-            dropped = [False] * len(size)
-        else:
-            beside = any(m and not self._within_marked(c) for c, m in enumerate(self.main))
-            around_main = list(self.main)
-            for c in range(len(size) - 1, 0, -1):
+        dropped = [False] * n
+        if self.marked:
+            around_main, within = list(self.main), [False] * n  # within: a marked container or inside one
+            inside_main = [-1] * n  # the innermost main element around a container
+            for c in range(1, n):
+                around = self.containers[c][1]
+                within[c] = within[around] or c in self.marked
+                inside_main[c] = around if self.main[around] else inside_main[around]
+            beside = any(m and not within[c] for c, m in enumerate(self.main))
+            for c in range(n - 1, 0, -1):
                 around = self.containers[c][1]
                 size[around] += size[c]
                 around_main[around] |= around_main[c]
-            dropped = [False] * len(size)
-            for c, (_, around, _) in enumerate(self.containers):
-                wrapper = not beside and (around_main[c] or not around_main[0] and 2 * size[c] > size[0])
-                dropped[c] = around >= 0 and dropped[around] or c in self.marked and not wrapper
+            for c in range(1, n):
+                main = inside_main[c]
+                if main >= 0:
+                    wrapper = c not in self.comments and 2 * size[c] > size[main]
+                else:
+                    wrapper = not beside and (around_main[c] or not around_main[0] and 2 * size[c] > size[0])
+                dropped[c] = dropped[self.containers[c][1]] or c in self.marked and not wrapper
         self.blocks = [(text, c) for text, c in self.blocks if not dropped[c]]
-        self.links = [0 if gone else n for n, gone in zip(self.links, dropped)]
+        self.links = [0 if gone else k for k, gone in zip(self.links, dropped)]
         self.main = [tag in ("article", "main") and not gone for (_, _, tag), gone in zip(self.containers, dropped)]
 
-    def _within_marked(self, c: int) -> bool:
+    def path(self, c: int) -> str:
+        """Labels from the page to a container; no label has the character between them, as it counts as white space."""
+        out = []
         while c > 0:
-            if c in self.marked:
-                return True
+            out.append(self.containers[c][0])
             c = self.containers[c][1]
-        return False
+        return PATH.join(reversed(out))
+
+    def at(self, path: str) -> set[int]:
+        """Containers that have a path."""
+        labels = path.split(PATH) if path else []
+        depth = [0] * len(self.containers)  # labels that agree from the page on, -1 once one does not
+        for c, (label, around, _) in enumerate(self.containers[1:], 1):
+            d = depth[around]
+            depth[c] = d + 1 if 0 <= d < len(labels) and labels[d] == label else -1
+        return {c for c, d in enumerate(depth) if d == len(labels)}
 
     def best(self) -> int:
         """The container that holds the article: inwards from the page while one container has most of the text.
@@ -211,7 +250,7 @@ def main_text(html: str, path: str | None = None) -> str:
     """Text of the containers with the given path; of the page's own best container where those have none."""
     page = Page(html)
     if path is not None:
-        found = page.text({c for c, (p, _, _) in enumerate(page.containers) if p == path})
+        found = page.text(page.at(path))
         if found:
             return found
     return page.text({page.best()})
@@ -231,7 +270,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
             for html in batch.column("html"):
                 page = Page(html.as_py() or "")
                 best = page.best()
-                paths.append(page.containers[best][0])
+                paths.append(page.path(best))
                 sizes.append(len(page.text({best})))
             yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "path": pa.array(paths, pa.string()), "chars": pa.array(sizes, pa.int64())})
 
