@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .rule_ensemble import labelled_sample
+from .rule_ensemble import held_out, labelled_sample
 from .statistics import COUNTS, LINE_FEATURES, Texts
 
 #: The field is fitted on at most so many labelled documents of each class, those whose ids have the smallest hashes.
 FIT_DOCUMENTS = 1_500
+#: Of a labelled document so many lines count for the fit, so that a few very long ones do not outweigh all others.
+FIT_LINES = 200
 #: Share of words in content lines from which a document is kept; shortest text; most repeated words in percent.
 CONTENT_SHARE, LEAST_WORDS, MOST_REPEATED = 0.5, 50, 50
 
@@ -56,49 +58,58 @@ class LineField:
         return out
 
 
-def fit_field(texts: list[tuple[np.ndarray, int]], rounds: int = 120, ridge: float = 1e-2) -> LineField | None:
-    """Maximum conditional likelihood by gradient steps; each text is (line features, label of its lines).
+def likelihood(line: np.ndarray, step: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, part: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted log likelihood of labelled sequences less a ridge, and its gradient by line features and by steps.
 
-    None if a label has no text. Texts count alike within a label, and both labels count alike. For the fit, texts are
-    cut into pieces of at most 64 lines.
+    ``x`` (place, sequence, feature) and ``y`` (place, sequence) hold the longest sequences first; ``part`` has weights.
     """
-    labels = [y for f, y in texts if len(f)]
-    if len(set(labels)) < 2:
+    top, n = y.shape
+    active = np.searchsorted(-size, -np.arange(top), "left")
+    score = x @ line
+    ahead, back = np.zeros((top, n, 2)), np.zeros((top, n, 2))
+    ahead[0] = score[0]
+    for t in range(1, top):
+        k = active[t]
+        ahead[t, :k] = np.logaddexp.reduce(ahead[t - 1, :k, :, None] + step, axis=1) + score[t, :k]
+    for t in range(top - 2, -1, -1):
+        k = active[t + 1]
+        back[t, :k] = np.logaddexp.reduce(step + (score[t + 1, :k] + back[t + 1, :k])[:, None, :], axis=2)
+    total = np.logaddexp.reduce(ahead[size - 1, np.arange(n)], axis=1)
+    value = -(part @ total) - ridge / 2 * ((line**2).sum() + (step**2).sum())
+    up_line, up_step = -ridge * line, -ridge * step
+    for t in range(top):
+        k = active[t]
+        row = np.arange(k)
+        value += part[:k] @ score[t, row, y[t, :k]]
+        seen = np.eye(2)[y[t, :k]] - np.exp(ahead[t, :k] + back[t, :k] - total[:k, None])
+        up_line += x[t, :k].T @ (seen * part[:k, None])
+        if t:
+            value += part[:k] @ step[y[t - 1, :k], y[t, :k]]
+            pair = -np.exp(ahead[t - 1, :k, :, None] + step + (score[t, :k] + back[t, :k])[:, None, :] - total[:k, None, None])
+            pair[row, y[t - 1, :k], y[t, :k]] += 1
+            up_step += (pair * part[:k, None, None]).sum(axis=0)
+    return value, up_line, up_step
+
+
+def fit_field(texts: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, ridge: float = 1e-2) -> LineField | None:
+    """Maximum conditional likelihood by gradient steps; each text is (line features, labels of its lines).
+
+    None if a label has no line. All texts count alike. For the fit, texts are cut into pieces of at most 64 lines.
+    """
+    texts = [(f, np.asarray(y, np.int64)) for f, y in texts if len(f)]
+    if len({k for _, y in texts for k in np.unique(y)}) < 2:
         return None
-    pieces = [(f[i : i + 64], y, 1.0 / (len(f) * labels.count(y))) for f, y in texts for i in range(0, len(f), 64)]
+    pieces = [(f[i : i + 64], y[i : i + 64], 1.0 / (len(f) * len(texts))) for f, y in texts for i in range(0, len(f), 64)]
     pieces.sort(key=lambda p: -len(p[0]))
     n, top, width = len(pieces), len(pieces[0][0]), len(LINE_FEATURES)
-    x = np.zeros((top, n, width))
-    for k, (f, _, _) in enumerate(pieces):
-        x[: len(f), k] = f
-    size = np.array([len(f) for f, _, _ in pieces])
-    y = np.array([y for _, y, _ in pieces])
-    part = np.array([w for _, _, w in pieces]) / 2
-    active = np.searchsorted(-size, -np.arange(top), "left")
+    x, y = np.zeros((top, n, width)), np.zeros((top, n), np.int64)
+    for k, (f, label, _) in enumerate(pieces):
+        x[: len(f), k], y[: len(f), k] = f, label
+    size, part = np.array([len(f) for f, _, _ in pieces]), np.array([w for _, _, w in pieces])
     line, step = np.zeros((width, 2)), np.zeros((2, 2))
     moments = [np.zeros_like(line), np.zeros_like(line), np.zeros_like(step), np.zeros_like(step)]
     for r in range(1, rounds + 1):
-        score = x @ line
-        ahead = np.zeros((top, n, 2))
-        ahead[0] = score[0]
-        for t in range(1, top):
-            k = active[t]
-            ahead[t, :k] = np.logaddexp.reduce(ahead[t - 1, :k, :, None] + step, axis=1) + score[t, :k]
-        back = np.zeros((top, n, 2))
-        for t in range(top - 2, -1, -1):
-            k = active[t + 1]
-            back[t, :k] = np.logaddexp.reduce(step + (score[t + 1, :k] + back[t + 1, :k])[:, None, :], axis=2)
-        total = np.logaddexp.reduce(ahead[size - 1, np.arange(n)], axis=1)
-        up_line, up_step = -ridge * line, -ridge * step
-        for t in range(top):
-            k = active[t]
-            seen = np.eye(2)[y[:k]] - np.exp(ahead[t, :k] + back[t, :k] - total[:k, None])
-            up_line += x[t, :k].T @ (seen * part[:k, None])
-            if t:
-                pair = np.exp(ahead[t - 1, :k, :, None] + step + (score[t, :k] + back[t, :k])[:, None, :] - total[:k, None, None])
-                own = np.zeros_like(pair)
-                own[np.arange(k), y[:k], y[:k]] = 1
-                up_step += ((own - pair) * part[:k, None, None]).sum(axis=0)
+        _, up_line, up_step = likelihood(line, step, x, y, size, part, ridge)
         for value, up, i in ((line, up_line, 0), (step, up_step, 2)):
             moments[i] = 0.9 * moments[i] + 0.1 * up
             moments[i + 1] = 0.99 * moments[i + 1] + 0.01 * up * up
@@ -106,9 +117,38 @@ def fit_field(texts: list[tuple[np.ndarray, int]], rounds: int = 120, ridge: flo
     return LineField(line, step)
 
 
+def spliced(good: list[np.ndarray], poor: list[np.ndarray], seed: int = 7, run: float = 4.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training sequences in which both kinds of lines follow each other: runs of lines of good texts (label 1) and of poor
+    ones (label 0) in turn, ``run`` lines on average, until all lines of all texts are used up.
+
+    The shorter of the two kinds begins again as often as it takes, so that both have about as many lines.
+    """
+    if not any(map(len, good)) or not any(map(len, poor)):
+        return []
+    rng = np.random.default_rng(seed)
+    pools = [np.concatenate([f for f in kind if len(f)]) for kind in (poor, good)]
+    at, want = [0, 0], max(map(len, pools))
+    out: list = []
+    while min(at) < want:
+        label, features, labels = int(rng.integers(2)), [], []
+        for _ in range(int(rng.integers(1, 9))):
+            length = int(rng.geometric(1 / run))
+            own = np.arange(at[label], at[label] + length) % len(pools[label])
+            features.append(pools[label][own])
+            labels.append(np.full(length, label))
+            at[label] += length
+            label = 1 - label
+        out.append((np.concatenate(features), np.concatenate(labels)))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> LineField | None:
-    """Fit from labelled documents: lines of good ones are taken as content, lines of poor ones as boilerplate."""
-    sample = labelled_sample(docs, labels, documents)
+    """Fit on runs of lines of good and of poor labelled documents, spliced so that the labels change within a sequence.
+
+    Rows of the held-out third are never used, so agreement can be measured on them. At most ``documents`` of each class
+    are; their lines' features are what reaches the driver.
+    """
+    sample = labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> L
 
     rows = sample.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, features binary").orderBy("doc_id", "features").toPandas()
     width = len(LINE_FEATURES)
-    return fit_field([(np.frombuffer(f, bool).reshape(-1, width), int(y)) for f, y in zip(rows["features"], rows["label"])])
+    good, poor = ([np.frombuffer(f, bool).reshape(-1, width)[:FIT_LINES] for f, y in zip(rows["features"], rows["label"]) if y == label] for label in (1, 0))
+    return fit_field(spliced(good, poor))
 
 
 def apply_rules(docs: DataFrame, model: LineField | None) -> DataFrame:
