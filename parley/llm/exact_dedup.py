@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE
+from .shared import SPACE, named, plain
 
 
 def normalised(text: Column) -> Column:
@@ -57,15 +58,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Rows that stay, with all their columns; of rows that repeat both the kept id and the text, one stays.
 
     The row with the smallest id of each class is chosen by one aggregate over (hash, bytes), so texts cross the
-    network once. Ties of the id are broken by the remaining columns' order.
+    network once. Ties of the id are broken by the columns' order. Columns may have any name and type.
     """
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    clean = normalised(docs[text_col])
-    keyed = docs.select(
-        F.md5(clean).alias("_hash"),
-        clean.alias("_clean"),
-        F.struct(docs[id_col].isNull().alias("n"), docs[id_col].alias("i"), docs[text_col].alias("t"), *[docs[c].alias(f"c{k}") for k, c in enumerate(others)]).alias("_row"),
-    )
-    kept = keyed.groupBy("_hash", "_clean").agg(F.min("_row").alias("_row"))
-    names = {id_col: "_row.i", text_col: "_row.t"} | {c: f"_row.c{k}" for k, c in enumerate(others)}
-    return kept.select(*[F.col(names[c]).alias(c) for c in docs.columns])
+    rows, names = plain(docs)
+    ident, text = F.col(names[id_col]), F.col(names[text_col])
+    # Maps and variants have no order; as JSON they do.
+    tie = [F.to_json(F.struct(c)) if re.search("map<|variant", kind) else F.col(c) for c, kind in rows.dtypes]
+    order = F.struct(ident.isNull().alias("n"), ident.alias("i"), *[c.alias(f"t{k}") for k, c in enumerate(tie)])
+    keyed = rows.select(F.md5(normalised(text)).alias("hash"), normalised(text).alias("clean"), F.struct(*rows.columns).alias("row"), order.alias("place"))
+    kept = keyed.groupBy("hash", "clean").agg(F.min_by("row", "place").alias("row"))
+    return named(kept.select("row.*"), docs)

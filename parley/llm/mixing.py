@@ -9,12 +9,16 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, word_count
+from .shared import materialise, named, plain, word_count
 
 #: Fixed values of the production mix: weights repeat over the sorted sources; all targets share this part of all words.
 WEIGHTS, SHARE, MOST_PASSES = (3, 1, 2), Fraction(3, 2), 2
 
 
+#: The flow is solved on the driver; a mix of more sources or membership patterns than this is refused.
+MOST_NODES = 50_000
+
+
 def fill_targets(sizes: Mapping, weights: Mapping, total: Fraction, most: int) -> dict:
     """Split ``total`` by weight; a target stops at ``most`` times its source's size, the excess goes to the others.
 
@@ -112,17 +116,16 @@ def mix(
     """
     rows = materialise(_drawn(sized, F.col("id"), F.col("members"), F.col("size"), seed), "sized")
     table = _solve(rows, quotas, most)
-    #: The plan has a row for a membership pattern; it is as small as what the driver has just solved.
+    # The plan has a row for a membership pattern, at most MOST_NODES, as the driver has just solved it.
     joined = rows.join(F.broadcast(table), rows["_pattern"] == table["_of"], "left").withColumns(_given())
     return joined.select("id", "members", F.col("_size").alias("size"), F.col("_passes").alias("passes"), F.col("_part").alias("part"), (F.col("_passes") * F.col("_size") + F.col("_part")).alias("taken"))
 
 
 def _drawn(rows: DataFrame, ident: Column, members: Column, size: Column, seed: int) -> DataFrame:
-    """``rows`` with size, membership pattern (null without members) and seeded draw of each document."""
+    """``rows`` with size, membership pattern (the sorted sources; null without members) and seeded draw of each document."""
     size = F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).cast("long")
-    key = F.concat_ws("\x01", F.transform(F.array_sort(F.array_distinct(members)), lambda s: F.concat(F.when(s.isNull(), "0").otherwise("1"), F.coalesce(s, F.lit("")))))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), ident.cast("string"), size), 8)
-    return rows.withColumns({"_size": size, "_pattern": F.when(F.size(members) > 0, key), "_draw": draw})
+    return rows.withColumns({"_size": size, "_pattern": F.when(F.size(members) > 0, F.array_sort(F.array_distinct(members))), "_draw": draw})
 
 
 def _solve(rows: DataFrame, quotas: Mapping, most: int) -> DataFrame:
@@ -131,20 +134,24 @@ def _solve(rows: DataFrame, quotas: Mapping, most: int) -> DataFrame:
     ``_all`` whole passes go to every document; in the last pass draws below ``_cut`` go whole and those at it share
     ``_left`` of their ``_tied`` words.
     """
-    #: One row for a distinct set of sources, however many documents there are.
-    totals = {r["_pattern"]: r["words"] for r in rows.where("_pattern is not null").groupBy("_pattern").agg(F.sum("_size").alias("words")).collect()}
-
-    def sources(pattern: str) -> tuple:
-        return tuple(None if x[0] == "0" else x[1:] for x in pattern.split("\x01"))
-
-    capacity = {sources(p): w for p, w in totals.items()}
+    capacity = {tuple(r["_pattern"]): r["words"] for r in _few(rows.where("_pattern is not null").groupBy("_pattern").agg(F.sum("_size").alias("words")))}
     flow = least_cost_flow({p: w for p, w in capacity.items() if w}, {k: int(v + Fraction(1, 2)) for k, v in quotas.items()}, most)
     plan = {}
-    for pattern, words in totals.items():
-        routed = sum(v for (p, _), v in flow.items() if p == sources(pattern))
-        plan[pattern] = divmod(routed, words) if words else (0, 0)
+    routed: dict = {}
+    for (pattern, _), v in flow.items():
+        routed[pattern] = routed.get(pattern, 0) + v
+    for pattern, words in capacity.items():
+        plan[pattern] = divmod(routed.get(pattern, 0), words) if words else (0, 0)
     cuts = _thresholds(rows, {p: rest for p, (_, rest) in plan.items()})
-    return rows.sparkSession.createDataFrame([(p, int(plan[p][0]), *map(int, cuts[p])) for p in plan], "_of string, _all int, _cut long, _left long, _tied long")
+    return rows.sparkSession.createDataFrame([(list(p), int(plan[p][0]), *map(int, cuts[p])) for p in plan], "_of array<string>, _all int, _cut long, _left long, _tied long")
+
+
+def _few(table: DataFrame) -> list:
+    """Rows of a table that the driver may hold: the flow's nodes are few, or else it is no plan for one machine."""
+    rows = table.limit(MOST_NODES + 1).collect()
+    if len(rows) > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} sources or membership patterns")
+    return rows
 
 
 def _given() -> dict[str, Column]:
@@ -161,7 +168,7 @@ def _copies() -> Column:
     return (F.col("_passes") + F.when((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("_size")), 1).otherwise(0)).cast("int")
 
 
-def _thresholds(rows: DataFrame, wanted: Mapping[str, int]) -> dict:
+def _thresholds(rows: DataFrame, wanted: Mapping[tuple, int]) -> dict:
     """For each pattern (cut, left, tied): draws below ``cut`` fit whole; those at it share ``left`` of ``tied`` words."""
     bits = 56
     found = {p: (-1, 0, 0) if not w else None for p, w in wanted.items()}
@@ -169,13 +176,13 @@ def _thresholds(rows: DataFrame, wanted: Mapping[str, int]) -> dict:
     used = 0
     while at:
         used += 8
-        table = rows.sparkSession.createDataFrame([(p, lead) for p, (lead, _) in at.items()], "_of string, lead long")
+        table = rows.sparkSession.createDataFrame([(list(p), lead) for p, (lead, _) in at.items()], "_of array<string>, lead long")
         branch = F.shiftright("_draw", bits - used)
         inside = rows.join(F.broadcast(table), (rows["_pattern"] == table["_of"]) & (F.shiftright(branch, 8) == F.col("lead")))
         sums: dict = {}
         summed = inside.groupBy("_pattern", branch.alias("branch")).agg(F.sum("_size").alias("words"), F.min("_draw").alias("least"), F.max("_draw").alias("most"))
         for r in summed.collect():
-            sums.setdefault(r["_pattern"], []).append((r["branch"], r["words"], r["least"], r["most"]))
+            sums.setdefault(tuple(r["_pattern"]), []).append((r["branch"], r["words"], r["least"], r["most"]))
         ahead = {}
         for p, (_, want) in at.items():
             for b, words, least, most in sorted(sums[p]):
@@ -214,19 +221,20 @@ def mix_documents(docs: DataFrame, seed: int = 17, id_col: str = "doc_id") -> Da
 def _standing(docs: DataFrame, id_col: str) -> tuple[DataFrame, dict, dict]:
     """Documents with their sizes, and the sizes and targets of the sources; a row for a source reaches the driver."""
     sized = materialise(docs.select(F.col(id_col).alias("id"), F.col("source"), word_count(F.col("text")).alias("size")), "words")
-    sizes = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    sizes = {r["source"]: r["words"] for r in _few(sized.groupBy("source").agg(F.sum("size").alias("words")))}
     return sized, sizes, production_targets(sizes)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the standing mix takes it as a whole; others are left out.
 
-    The plan is solved on sizes alone and then applied in one pass over the rows, so texts are not shuffled.
+    The plan is solved on sizes alone and then applied in one pass over the rows, so texts are not shuffled. Columns may
+    have any name, and sources any characters.
     """
     sized, _, targets = _standing(docs, id_col)
     small = materialise(_drawn(sized, F.col("id"), F.array("source"), F.col("size"), seed), "sized")
     table = F.broadcast(_solve(small, targets, MOST_PASSES))
-    rows = _drawn(docs, F.col(id_col), F.array("source"), word_count(F.col("text")), seed)
+    rows, names = plain(docs)
+    rows = _drawn(rows, F.col(names[id_col]), F.array(names["source"]), word_count(F.col(names["text"])), seed)
     joined = rows.join(table, F.col("_pattern") == F.col("_of"), "left").withColumns(_given()).withColumn("_copies", _copies())
-    repeated = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    return named(joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs)

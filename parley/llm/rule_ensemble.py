@@ -130,13 +130,15 @@ def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str = "quality") -> DataFrame:
     """Documents (id, text, label) of at most ``rows`` labelled ids of each class, by the ids' hashes.
 
-    Ids labelled twice count once, with the smaller label. The sample's ids are broadcast: their number is bounded.
+    Ids labelled twice count once, with the smaller label; of rows that repeat an id one counts, that with the smallest
+    text. The sample's ids are broadcast: their number is bounded. Further columns, whatever their names, are ignored.
     """
-    ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    ids = labels.select("doc_id", F.col(label).alias(label)).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = ids.where("label = 0").orderBy(*order).limit(rows).unionByName(ids.where("label = 1").orderBy(*order).limit(rows))
     chosen = chosen.withColumnRenamed("doc_id", "_id")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 5) -> RuleModel:

@@ -28,6 +28,18 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named c0, c1 and so on, so that no name of theirs meets one that an operator uses, and
+    the plain name of each column."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of rows with plain names, under their own names."""
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def whole_ids(docs: DataFrame, id_col: str) -> None:
     """Refuse a table whose ids are no whole numbers, before any job runs."""
     kind = dict(docs.dtypes)[id_col]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import components, materialise, small_batches
+from .shared import components, materialise, named, plain, small_batches, whole_ids
 
 #: Least size in 64-bit words of the sketch that is compared before texts are looked at again. Larger sets have a bit for
 #: each shingle at least, so that the distance of unrelated sets stays far above what a link allows.
@@ -208,8 +208,9 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str
 
     Texts without words (null, empty, blanks) have 0 shingles, link with nothing and are their own component. A null
     id links with nothing and has a null component. Repeated ids are one node; each of their rows is returned. An
-    empty table gives an empty result; further columns are ignored.
+    empty table gives an empty result; further columns are ignored. Ids that are no whole numbers are refused.
     """
+    whole_ids(docs, id_col)
     with small_batches(docs.sparkSession):
         return _groups(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), width, percent, id_col)
 
@@ -308,8 +309,9 @@ def _close(rows: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows that stay when each group of near copies keeps its smallest doc_id; all columns are kept.
 
-    Rows with a null id stay, and so do all rows that repeat a kept id.
+    Rows with a null id stay, and so do all rows that repeat a kept id. Further columns may have any name.
     """
     groups = near_groups(docs, width, percent)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    rows, names = plain(docs)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return named(rows.join(gone, F.col(names["doc_id"]) == F.col("gone"), "left_anti"), docs)
