@@ -11,7 +11,6 @@ FILLER_WORDS = (
     "um", "uh", "erm", "er", "mm", "hmm", "like", "kinda", "right", "okay", "ok", "so", "well", "uhh", "umm", "basically",
     "literally", "actually", "totally", "absolutely", "definitely", "anyway",
 )
-UNCOUNTED_FILLERS = ("pretty much", "you see")
 NOT_REPEATED = ("the", "a", "an", "to", "of", "in", "on", "at", "by")
 DASHES = (" - ", "—", " -- ", "... ", " … ")
 RESTARTS = (" i - i ", " we - we ", " they - they ", " you - you ", " he - he ", " she - she ", " it - it ")
@@ -64,8 +63,7 @@ def fillers(text: Column, words: Column) -> Column:
 def repetitions(words: Column) -> Column:
     """Words said twice in a row, and words that come back after one filler or short word."""
     twice = _places(words, 1, lambda at: (at(0) == at(1)) & (F.length(at(0)) > 2) & ~at(0).isin(*NOT_REPEATED))
-    all_fillers = (*FILLER_WORDS, *FILLER_PHRASES, *UNCOUNTED_FILLERS)
-    repair = _places(words, 3, lambda at: (at(0) == at(2)) & (F.length(at(0)) > 3) & (at(1).isin(*all_fillers) | (F.length(at(1)) <= 2)))
+    repair = _places(words, 3, lambda at: (at(0) == at(2)) & (F.length(at(0)) > 3) & (at(1).isin(*FILLER_WORDS) | (F.length(at(1)) <= 2)))
     return twice + repair
 
 

@@ -201,3 +201,30 @@ def resample(chunks: DataFrame, rate: int = 16_000) -> DataFrame:
             yield batch.assign(samples=out, rate=np.int32(rate))
 
     return chunks.mapInPandas(run, chunks.schema)
+
+
+def quality_gate(samples: DataFrame, rate: int) -> DataFrame:
+    """Whether voice figures of a piece of audio can be relied on: (key, snr_db, clipping, range_db, reliable, status).
+
+    ``samples`` has key, pos (from 0) and x. Energies are those of frames of 50 ms, at most a twentieth of the piece, half
+    overlapping; the noise floor is their 5th percentile, the level their 85th. Frames come from each sample's places, so
+    no piece is gathered in one row.
+    """
+    size = samples.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("x") * F.col("x")).alias("power"), F.avg((F.abs("x") > 0.95).cast("double")).alias("clipping"))
+    size = size.withColumn("frame", F.least(F.lit(rate // 20), F.floor(F.col("n") / 20)).cast("long")).withColumn("hop", F.greatest(F.floor(F.col("frame") / 2), F.lit(1)).cast("long"))
+    placed = samples.join(size.where("frame >= 64").select("key", "n", "frame", "hop"), "key")
+    first = F.greatest(F.floor((F.col("pos") - F.col("frame")) / F.col("hop")) + 1, F.lit(0))
+    frames = placed.select("key", "x", "n", "frame", "hop", F.explode(F.sequence(first, F.floor(F.col("pos") / F.col("hop")))).alias("k")).where("k * hop < n - frame")
+    energy = frames.groupBy("key", "k").agg(F.avg(F.col("x") * F.col("x")).alias("e"))
+    part = lambda p: F.percentile("e", F.lit(p))
+    level = energy.groupBy("key").agg(F.count(F.lit(1)).alias("frames"), part(0.05).alias("floor"), part(0.85).alias("level"), F.max("e").alias("top"))
+    rows = size.join(level, "key", "left")
+    over = lambda c: 10 * F.log10((F.col(c) + 1e-12) / (F.col("floor") + 1e-12))
+    early = [(F.col("n") < 0.1 * rate, -40.0, "too_short"), (F.sqrt("power") < 1e-8, -60.0, "silent"), (F.col("frame") < 64, -30.0, "insufficient_length"), (F.coalesce("frames", F.lit(0)) < 5, -30.0, "insufficient_frames")]
+    snr, status = F.when(F.col("floor") <= 0, 10.0).otherwise(over("level")), None
+    fine = (F.col("n") >= 0.2 * rate) & (snr >= 6.0) & (F.col("clipping") < 0.03) & (over("top") >= 12.0)
+    status = F.when(fine, "reliable").when(snr < 6.0, "low_snr").when(F.col("clipping") >= 0.03, "clipping").when(over("top") < 12.0, "low_dr").otherwise("short_duration")
+    usable = F.lit(True)
+    for test, value, word in reversed(early):
+        snr, status, usable = F.when(test, value).otherwise(snr), F.when(test, word).otherwise(status), F.when(test, False).otherwise(usable)
+    return rows.select("key", snr.alias("snr_db"), "clipping", over("top").alias("range_db"), (usable & F.coalesce(fine, F.lit(False))).alias("reliable"), status.alias("status"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import blend, dot, norm, unit
+from ..functions.vectors import dot, norm, unit
+from .folds import fold
 
 #: Cosine from which a name is given, and from which a name is proposed for review.
 ASSIGN, REVIEW = 0.70, 0.60
@@ -53,36 +54,66 @@ def match(vectors: DataFrame, registry: DataFrame, ident: str, vector: str) -> D
 
 def moving_centroids(vectors: DataFrame, key: str, order: str, vector: str, alpha: float = 0.30) -> DataFrame:
     """Centroid of each key after all its vectors in order, each blended in with weight ``alpha``: (key, samples, centroid)."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, F.col(vector).alias("v"))))
-    rows = vectors.groupBy(key).agg(ordered.alias("_l"))
-    first = unit(F.transform(F.col("_l")[0]["v"], lambda x: x.cast("double")))
-    rest = F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(1)))
-    fold = F.when(F.size("_l") > 1, F.aggregate(rest, first, lambda c, e: blend(c, e["v"], alpha))).otherwise(first)
-    return rows.select(key, F.size("_l").cast("long").alias("samples"), fold.alias("centroid"))
+    rows = vectors.select(F.col(key).alias("key"), F.col(order).alias("place"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        v = np.array(row[2])
+        if state is None:
+            return (1, v / (np.linalg.norm(v) + 1e-9)), []
+        mixed = (1 - alpha) * state[1] + alpha * v
+        return (state[0] + 1, mixed / (np.linalg.norm(mixed) + 1e-9)), []
+
+    done = fold(rows, "key", ["place", "v"], step, lambda row, state: [(row[0], state[0], state[1].tolist())], f"key {dict(rows.dtypes)['key']}, samples long, centroid array<double>")
+    return done.withColumnRenamed("key", key)
 
 
 def _average_linkage(x: np.ndarray, threshold: float, clusters: int | None) -> np.ndarray:
-    """Labels of average-linkage clustering by cosine distance, numbered by first row."""
+    """Labels of average-linkage clustering by cosine distance, numbered by first row.
+
+    Chains of nearest neighbours find the merges in a time that grows with the square of the rows; merges are then
+    taken by their distance, as far as the threshold or until so many clusters are left.
+    """
     n = len(x)
     unit_ = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
-    sums, size, own = 1.0 - unit_ @ unit_.T, np.ones(n), np.arange(n)
-    np.fill_diagonal(sums, np.inf)
-    alive = np.ones(n, bool)
-    left = n
-    while left > (clusters or 1):
-        mean = np.where(alive[:, None] & alive, sums / (size[:, None] * size), np.inf)
-        i, j = divmod(int(mean.argmin()), n)
-        if clusters is None and mean[i, j] > threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        sums[i] += sums[j]
-        sums[:, i] = sums[i]
-        sums[i, i] = np.inf
+    mean, size, alive = 1.0 - unit_ @ unit_.T, np.ones(n), np.ones(n, bool)
+    np.fill_diagonal(mean, np.inf)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            row = mean[chain[-1]]
+            near = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                break
+            chain.append(near)
+        j, i = sorted((chain.pop(), chain.pop()), reverse=True)
+        merges.append((float(mean[i, j]), i, j))
+        new = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+        new[i], new[j] = np.inf, np.inf
+        new[~alive] = np.inf
+        mean[i], mean[:, i] = new, new
+        mean[j], mean[:, j] = np.inf, np.inf
         size[i] += size[j]
         alive[j] = False
-        own[own == j] = i
+    own = np.arange(n)
+
+    def root(k: int) -> int:
+        while own[k] != k:
+            own[k] = own[own[k]]
+            k = own[k]
+        return k
+
+    left = n
+    for height, i, j in sorted(merges):
+        if left <= (clusters or 1) or clusters is None and height > threshold:
+            break
+        a, b = sorted((root(i), root(j)))
+        own[b] = a
         left -= 1
-    return np.unique(own, return_inverse=True)[1]
+    _, first, label = np.unique([root(k) for k in range(n)], return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[label]
 
 
 def cluster(windows: DataFrame, file: str, order: str, vector: str, threshold: float = 0.15, clusters: int | None = None) -> DataFrame:

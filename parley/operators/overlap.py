@@ -48,12 +48,16 @@ def file_overlap(segments: DataFrame) -> DataFrame:
 
 
 def interruption_map(segments: DataFrame) -> DataFrame:
-    """Made and received interruptions of each speaker, from the speaker sums and the single interruptions.
+    """Made and received interruptions of each speaker with any overlap, from one pass over the overlapping pairs.
 
-    A speaker whom the sums know keeps the number there; others get the number of their interruptions. Full outer
-    join, so speakers that were only interrupted appear.
+    The same as ``merge_interruptions`` of the speaker sums and the single interruptions of these segments.
     """
-    return merge_interruptions(overlap_by_speaker(segments), interruptions(segments))
+    pairs = overlap_pairs(segments)
+    cut = (F.col("speaker") != F.col("r_speaker")) & (F.col("r_start_ms") - F.col("start_ms") <= ONSET_MS)
+    tie = F.col("r_start_ms") == F.col("start_ms")
+    side = lambda who, made: F.struct(F.col(who).alias("speaker"), (cut & made).cast("long").alias("made"), (cut & ~made).cast("long").alias("received"), "overlap_ms")
+    sides = pairs.select("file_id", F.explode(F.array(side("speaker", tie), side("r_speaker", ~tie))).alias("s")).select("file_id", "s.*")
+    return sides.groupBy("file_id", "speaker").agg(*[F.sum(c).alias(c) for c in ("made", "received", "overlap_ms")])
 
 
 def merge_interruptions(by_speaker: DataFrame, single: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,3 +141,33 @@ def without_outliers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     per = near.groupBy(*keys).agg(F.max("n").alias("n"), F.count("_v").alias("kept"), F.median("_v").alias("m1"), (F.percentile("_v", 0.75) - F.percentile("_v", 0.25)).alias("r1"), F.median(value).alias("m0"), (q(0.75) - q(0.25)).alias("r0"))
     most = F.col("kept") * 2 > F.col("n")
     return per.select(*keys, "n", "kept", F.when(most, F.col("m1")).otherwise(F.col("m0")).alias("median"), F.when(most, F.col("r1")).otherwise(F.col("r0")).alias("iqr"))
+
+
+def text_emotions(rows: DataFrame, keys: list[str], full: str, top: str, known: Sequence[str], neutral: str = "neutral") -> DataFrame:
+    """Shares of emotion labels by key: (keys, label, share).
+
+    Rows give their whole distribution (``full``, a map) or, where that is null, their best labels (``top``, an array of
+    label and score). A key's whole distributions count if they have any mass on known labels, else its best labels, of
+    these the known ones; a key without any is neutral.
+    """
+    item = lambda kind, label, score: F.struct(F.lit(kind).alias("kind"), label.alias("label"), score.cast("double").alias("score"))
+    whole = F.transform(F.map_entries(full), lambda x: item("full", x["key"], x["value"]))
+    best = F.transform(top, lambda x: item("top", x["label"], x["score"]))
+    said = rows.select(*keys, F.explode(F.when(F.col(full).isNotNull(), whole).otherwise(best)).alias("x")).select(*keys, "x.*")
+    sums = said.where(F.col("label").isin(*known)).groupBy(*keys, "kind", "label").agg(F.sum("score").alias("s")).where("s > 0")
+    chosen = sums.withColumn("first", F.min("kind").over(W.partitionBy(*keys))).where("kind = first")  # "full" before "top"
+    shares = chosen.select(*keys, "label", (F.col("s") / F.sum("s").over(W.partitionBy(*keys))).alias("share"))
+    rest = rows.select(*keys).distinct().join(shares.select(*keys).distinct(), keys, "left_anti")
+    return shares.unionByName(rest.select(*keys, F.lit(neutral).alias("label"), F.lit(1.0).alias("share")))
+
+
+def longest_segment(segments: DataFrame) -> DataFrame:
+    """The segment of each file that a language is pinned by, the first of equally long ones: (file_id, ord, length_ms)."""
+    length = F.col("end_ms") - F.col("start_ms")
+    best = F.max_by(F.struct("ord", length.alias("length_ms")), F.struct(length, -F.col("start_ms"), -F.col("ord")))
+    return segments.groupBy("file_id").agg(best.alias("b")).select("file_id", "b.ord", "b.length_ms")
+
+
+def pinned_language(guesses: DataFrame, least: float = 0.75) -> DataFrame:
+    """Languages sure enough to hold for a whole file: (file_id, language) of guesses (file_id, language, probability)."""
+    return guesses.where((F.coalesce("language", F.lit("")) != "") & (F.coalesce("probability", F.lit(0.0)) >= least)).select("file_id", "language")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 from ..functions.numbers import positive
 from .intervals import overlap_join, overlap_ms
 
@@ -65,41 +67,39 @@ def split_overlaps(segments: DataFrame, least_ms: int = 50) -> DataFrame:
     """Resolve overlaps of a file's segments one after the other: two that overlap meet at the middle of their overlap.
 
     What becomes shorter than ``least_ms`` is dropped, but the segment before keeps its cut. Each step depends on the
-    result of the one before it, so the file's segments are folded in order inside the JVM. (file_id, ord, start_ms,
+    result of the one before it, so the file's segments stream through a fold in order. (file_id, ord, start_ms,
     end_ms), halves of a millisecond rounded down.
     """
-    item = "struct<start_ms:bigint,ord:bigint,end_ms:bigint>"
-    rows = segments.select("file_id", F.struct(F.greatest("start_ms", F.lit(0)).cast("long").alias("start_ms"), F.col("ord").cast("long").alias("ord"), F.col("end_ms").cast("long").alias("end_ms")).alias("s"))
-    rows = rows.where(F.col("s.end_ms") - F.col("s.start_ms") >= least_ms)
-    lists = rows.groupBy("file_id").agg(F.array_sort(F.collect_list("s")).alias("l"))
+    rows = segments.select("file_id", F.greatest("start_ms", F.lit(0)).cast("long").alias("start_ms"), F.col("ord").cast("long").alias("ord"), F.col("end_ms").cast("long").alias("end_ms"))
+    rows = rows.where(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
-    def step(done: Column, s: Column) -> Column:
-        prev = F.get(done, F.size(done) - 1)
-        meets = (F.size(done) > 0) & (s["start_ms"] < prev["end_ms"])
-        middle = F.floor((prev["end_ms"] + s["start_ms"]) / 2)
-        start = F.when(meets, middle).otherwise(s["start_ms"])
-        cut = F.struct(prev["start_ms"].alias("start_ms"), prev["ord"].alias("ord"), middle.alias("end_ms"))
-        head = F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(cut))).otherwise(done)
-        own = F.array(F.struct(start.alias("start_ms"), s["ord"].alias("ord"), s["end_ms"].alias("end_ms")))
-        return F.when(s["end_ms"] - start >= least_ms, F.concat(head, own)).otherwise(head).cast(f"array<{item}>")
+    def step(last: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        file_id, start, number, end = row
+        out = []
+        if last is not None and start < last[3]:
+            start = (last[3] + start) // 2
+            last = (*last[:3], start)
+        if end - start < least_ms:
+            return last, out
+        if last is not None:
+            out.append(last)
+        return (file_id, number, start, end), out
 
-    folded = F.aggregate("l", F.array().cast(f"array<{item}>"), step)
-    return lists.select("file_id", F.explode(folded).alias("s")).select("file_id", "s.ord", "s.start_ms", "s.end_ms")
+    schema = f"file_id {dict(rows.dtypes)['file_id']}, ord long, start_ms long, end_ms long"
+    return fold(rows, "file_id", ["start_ms", "ord", "end_ms"], step, lambda _, last: [] if last is None else [last], schema)
 
 
 def pack_batches(segments: DataFrame, most_ms: int = 300_000, most_rows: int = 50) -> DataFrame:
     """Number the batches of a file: segments in order, a new batch where length or number would be exceeded."""
-    lists = segments.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "ord", (F.col("end_ms") - F.col("start_ms")).cast("long").alias("d")))).alias("l"))
-    state = "struct<batch:bigint,ms:bigint,n:bigint,out:array<struct<ord:bigint,batch:bigint>>>"
-    zero = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("ms"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<ord:bigint,batch:bigint>>").alias("out"))
+    rows = segments.select("file_id", "start_ms", F.col("ord").cast("long").alias("ord"), (F.col("end_ms") - F.col("start_ms")).cast("long").alias("d"))
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] > 0) & ((s["ms"] + x["d"] > most_ms) | (s["n"] >= most_rows))
-        batch = s["batch"] + F.when(full, 1).otherwise(0)
-        out = F.concat(s["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), batch.alias("batch"))))
-        return F.struct(batch.alias("batch"), (F.when(full, 0).otherwise(s["ms"]) + x["d"]).alias("ms"), (F.when(full, 0).otherwise(s["n"]) + 1).alias("n"), out.alias("out")).cast(state)
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        batch, ms, n = state or (0, 0, 0)
+        if n and (ms + row[3] > most_ms or n >= most_rows):
+            batch, ms, n = batch + 1, 0, 0
+        return (batch, ms + row[3], n + 1), [(row[0], row[2], batch)]
 
-    return lists.select("file_id", F.explode(F.aggregate("l", zero, step, lambda s: s["out"])).alias("o")).select("file_id", "o.ord", "o.batch")
+    return fold(rows, "file_id", ["start_ms", "ord", "d"], step, lambda *_: [], f"file_id {dict(rows.dtypes)['file_id']}, ord long, batch long")
 
 
 def share_words(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import flow, identity, intervals, islands, overlap, rollup, segments, timeline
+from ..operators import audio, flow, identity, intervals, islands, overlap, rollup, segments, timeline
 from ..sources import sinks, tables
 from ..streaming import events as streams
 
@@ -78,11 +78,24 @@ _add("key_moments", "segments", lambda s: rollup.key_moments(s.withColumn("lengt
 _add("pattern_stats", "events", lambda e: rollup.pattern_stats(_props(e), ["user_id"], ["value", "k"]))
 _add("percentile_iqr", "events", lambda e: rollup.without_outliers(e, ["user_id"], "value"))
 
+_add("longest_segment", "segments", rollup.longest_segment)
+
+
+def _emotions(e: DataFrame) -> DataFrame:
+    label = F.when(F.col("user_id") % 11 == 0, "other").otherwise(F.col("event_type"))
+    full = F.when((F.col("event_id") % 3 == 0) & (F.col("user_id") % 7 != 0), F.create_map(label, "value"))
+    rows = e.select("user_id", full.alias("full"), F.array(F.struct(label.alias("label"), F.col("value").alias("score"))).alias("top"))
+    return rollup.text_emotions(rows, ["user_id"], "full", "top", ("click", "error", "purchase"))
+
+
+_add("text_emotion_rollup", "events", _emotions)
+
 # Overlaps.
 _add("overlap_pairs", "segments", lambda s: overlap.overlap_pairs(s).select("file_id", F.col("ord").alias("ord_a"), F.col("r_ord").alias("ord_b"), "overlap_ms"))
 _add("overlap_by_speaker", "segments", overlap.overlap_by_speaker)
 _add("overlap_by_file", "segments", overlap.file_overlap)
-_add("interruption_onsets", "segments", overlap.interruptions)
+# Turns that begin within the same four seconds begin together, so that onsets lie close.
+_add("interruption_onsets", "segments", lambda s: overlap.interruptions(s.withColumn("start_ms", F.col("start_ms") - F.col("start_ms") % 4_000)))
 _add("interrupt_full_outer", "segments", overlap.interruption_map)
 
 
@@ -156,8 +169,9 @@ def _syllables(c: DataFrame) -> DataFrame:
 
 
 def _backchannels(c: DataFrame) -> DataFrame:
-    length = tables.WORD_MS * text.word_count(F.col("text"))
-    rows = c.select("conv_id", "turn", text.backchannel(F.col("text"), length, 1_200).alias("confidence_text"))
+    """Every word of a turn as a turn of its own."""
+    words = c.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("place", "word"))
+    rows = words.select("conv_id", "turn", "place", text.backchannel(F.col("word"), tables.WORD_MS * text.word_count(F.col("word")), 1_200).alias("confidence_text"))
     return rows.where("confidence_text is not null").withColumn("confidence_combined", F.col("confidence_text") / 2)
 
 
@@ -179,8 +193,8 @@ def _pool(e: DataFrame) -> DataFrame:
 QUERIES["cosine_nearest"] = lambda spark, folder: rounded(_matched(spark, folder).select("vec_id", "name", "similarity"), 5)
 QUERIES["registry_threshold_bands"] = lambda spark, folder: _matched(spark, folder).select("vec_id", "assigned", "needs_review")
 _add("centroid_pool", "embeddings", _pool)
-_add("ema_centroid", "embeddings", lambda e: identity.moving_centroids(e, "label", "vec_id", "embedding"))
-_add("agglomerative_clusters", "embeddings", lambda e: identity.cluster(e.withColumn("file_id", F.col("vec_id") % 25), "file_id", "vec_id", "embedding", 0.5))
+_add("ema_centroid", "embeddings", lambda e: identity.moving_centroids(e, "label", "vec_id", "embedding").select("label", "samples", F.posexplode("centroid").alias("place", "x")))
+_add("agglomerative_clusters", "embeddings", lambda e: identity.cluster(e.withColumn("file_id", F.floor(F.col("vec_id") / 20)), "file_id", "vec_id", "embedding", 0.5))
 
 # Distributions and rules.
 _add("softmax_norm", "events", lambda e: _share_lists(e).select("user_id", F.explode(F.arrays_zip(F.col("names").alias("names"), numbers.softmax(F.col("p")).alias("p"))).alias("x")).select("user_id", F.col("x.names").alias("event_type"), F.col("x.p").alias("p")))
@@ -229,6 +243,17 @@ def _report(s: DataFrame) -> DataFrame:
     return sinks.quality_report(rows).select(F.col("file_id").cast("long").alias("file_id"), "segments", "speakers", "flagged", "vq_jitter_pct_mean")
 
 
+def _gate(r: DataFrame) -> DataFrame:
+    """Made-up audio: a piece for each region, with quiet and loud stretches."""
+    key = F.col("r_regionkey")
+    rows = r.select(key.alias("key"), F.explode(F.sequence(F.lit(0), (key + 1) * 700)).alias("pos"))
+    x = ((F.col("pos") * 7919 + F.col("key") * 31) % 2001 - 1000) / 1000.0
+    loud = F.when(F.col("pos") % 500 < 350, F.when(F.col("key") == 3, 0.9).otherwise(0.01)).otherwise(F.when(F.col("key") == 4, 1.2).otherwise(0.9))
+    return audio.quality_gate(rows.select("key", "pos", (x * loud).alias("x")), 8_000)
+
+
+_add("audio_quality_gate", "region", _gate)
+_add("event_rows", "frames", lambda f: sinks.formatted_events(timeline.events_to_exit(f)))
 _add("schema_completion", "segments", _completed)
 _add("midpoint_overlap_split", "segments", segments.split_overlaps)
 _add("batch_packing", "segments", lambda s: segments.pack_batches(s, 60_000, 4))

@@ -174,7 +174,38 @@ SQL: dict[str, str] = {
     "overlap_by_file": OVERLAPS + """
         , f AS (SELECT file_id, max(end_ms) - min(start_ms) AS span FROM seg GROUP BY file_id), p AS (SELECT file_id, sum(overlap_ms) AS o, count(*) AS n FROM pair GROUP BY file_id)
         SELECT file_id, CAST(coalesce(o, 0) AS BIGINT) AS overlap_ms, coalesce(n, 0) AS pairs, round(coalesce(coalesce(o, 0) / nullif(span, 0), 0), 6) AS overlap_ratio FROM f LEFT JOIN p USING (file_id)""",
-    "interruption_onsets": OVERLAPS + "SELECT * FROM onset",
+    "interruption_onsets": OVERLAPS.replace("\npair AS (", "\nsnap AS (SELECT file_id, ord, speaker, start_ms - start_ms % 4000 AS start_ms, end_ms FROM seg),\npair AS (").replace("FROM seg a JOIN seg b", "FROM snap a JOIN snap b") + "SELECT * FROM onset",
+    "ema_centroid": """
+        WITH RECURSIVE o AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+        m AS (
+            SELECT label, r, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-9)) AS c FROM o WHERE r = 1
+            UNION ALL SELECT label, r, list_transform(b, lambda x: x / (sqrt(list_dot_product(b, b)) + 1e-9))
+            FROM (SELECT o.label, o.r, list_transform(range(1, len(o.e) + 1), lambda i: 0.7 * m.c[i] + 0.3 * o.e[i]) AS b FROM m JOIN o ON o.label = m.label AND o.r = m.r + 1)
+        )
+        SELECT label, r AS samples, CAST(unnest(range(0, len(c))) AS INTEGER) AS place, round(unnest(c), 6) AS x FROM m QUALIFY r = max(r) OVER (PARTITION BY label)""",
+    "longest_segment": SEG + "SELECT file_id, ord, end_ms - start_ms AS length_ms FROM seg QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY end_ms - start_ms DESC, start_ms, ord) = 1",
+    "text_emotion_rollup": """
+        WITH r AS (
+            SELECT user_id, event_type AS label, value, CASE WHEN event_id % 3 = 0 AND user_id % 7 <> 0 THEN 1 ELSE 0 END AS f
+            FROM events WHERE user_id % 11 <> 0 AND event_type IN ('click', 'error', 'purchase')
+        ),
+        s AS (SELECT user_id, label, f, sum(value) AS s FROM r GROUP BY ALL),
+        p AS (SELECT user_id, label, s FROM s WHERE s > 0 QUALIFY f = max(f) OVER (PARTITION BY user_id))
+        SELECT user_id, label, round(s / sum(s) OVER (PARTITION BY user_id), 6) AS share FROM p
+        UNION ALL SELECT DISTINCT user_id, 'neutral', 1.0 FROM events WHERE user_id NOT IN (SELECT user_id FROM p)""",
+    "event_rows": SWITCH + "SELECT file_id, printf('%.6f', start_ms / 1000) AS start, printf('%.6f', end_ms / 1000) AS \"end\", label, printf('%.4f', score) AS score, 'frames' AS source, '0.50' AS enter, '0.35' AS leave, 5 AS median_k FROM eva",
+    "audio_quality_gate": """
+        WITH s AS (SELECT r_regionkey AS key, unnest(range(0, (r_regionkey + 1) * 700 + 1)) AS pos FROM region),
+        x AS (SELECT key, pos, ((pos * 7919 + key * 31) % 2001 - 1000) / 1000.0::DOUBLE * CASE WHEN pos % 500 < 350 THEN CASE WHEN key = 3 THEN 0.9::DOUBLE ELSE 0.01::DOUBLE END WHEN key = 4 THEN 1.2::DOUBLE ELSE 0.9::DOUBLE END AS x FROM s),
+        n AS (SELECT key, count(*) AS n, avg(x * x) AS power, avg(CASE WHEN abs(x) > 0.95 THEN 1.0 ELSE 0.0 END) AS clipping, least(400, count(*) // 20) AS frame, least(400, count(*) // 20) // 2 AS hop FROM x GROUP BY key),
+        f AS (SELECT key, frame, hop, unnest(range(0, n - frame, hop)) AS a FROM n WHERE frame >= 64),
+        e AS (SELECT f.key, a, avg(x * x) AS e FROM f JOIN x ON x.key = f.key AND pos >= a AND pos < a + frame GROUP BY f.key, a),
+        l AS (SELECT key, count(*) AS k, quantile_cont(e, 0.05) AS lo, quantile_cont(e, 0.85) AS hi, max(e) AS top FROM e GROUP BY key),
+        g AS (SELECT n.*, k, lo, CASE WHEN lo <= 0 THEN 10 ELSE 10 * log10((hi + 1e-12) / (lo + 1e-12)) END AS snr, 10 * log10((top + 1e-12) / (lo + 1e-12)) AS r FROM n LEFT JOIN l USING (key)),
+        h AS (SELECT *, n >= 1600 AND snr >= 6 AND clipping < 0.03 AND r >= 12 AS fine, CASE WHEN n < 800 THEN 'too_short' WHEN sqrt(power) < 1e-8 THEN 'silent' WHEN frame < 64 THEN 'insufficient_length' WHEN coalesce(k, 0) < 5 THEN 'insufficient_frames' END AS early FROM g)
+        SELECT key, round(CASE early WHEN 'too_short' THEN -40 WHEN 'silent' THEN -60 WHEN 'insufficient_length' THEN -30 WHEN 'insufficient_frames' THEN -30 ELSE snr END, 6) AS snr_db, round(clipping, 6) AS clipping, round(r, 6) AS range_db,
+               early IS NULL AND coalesce(fine, false) AS reliable,
+               coalesce(early, CASE WHEN fine THEN 'reliable' WHEN snr < 6 THEN 'low_snr' WHEN clipping >= 0.03 THEN 'clipping' WHEN r < 12 THEN 'low_dr' ELSE 'short_duration' END) AS status FROM h""",
     "interrupt_full_outer": OVERLAPS + """
         , a AS (SELECT file_id, speaker, b.interruptions, m.n AS m, b.overlap_ms FROM byspk b FULL JOIN made m USING (file_id, speaker))
         SELECT file_id, speaker, coalesce(interruptions, m, 0) AS made, coalesce(g.n, 0) AS received, CAST(coalesce(overlap_ms, 0) AS BIGINT) AS overlap_ms FROM a FULL JOIN got g USING (file_id, speaker)""",
@@ -248,11 +279,11 @@ SQL: dict[str, str] = {
         v AS (SELECT *, len(regexp_extract_all(x, '[aeiouy]+')) AS c FROM u)
         SELECT conv_id, turn, CAST(sum(CASE WHEN length(x) <= 1 THEN 1 ELSE greatest(1, c - CASE WHEN x LIKE '%e' AND length(x) > 2 AND c > 1 THEN 1 ELSE 0 END
             + CASE WHEN regexp_matches(x, '(tion|sion|cial|tial|ious|eous)$') THEN 1 ELSE 0 END) END) AS BIGINT) AS syllables FROM v GROUP BY ALL""",
-    "backchannel": TOKENS + """
-        , s AS (SELECT conv_id, turn, array_to_string(w, ' ') AS j, len(w) AS n, 400 * len(regexp_extract_all(text, '\\S+')) AS d FROM tk),
+    "backchannel": TOKENS.replace("role, text,", "role, place, text,").replace("FROM conversations", "FROM (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS text, CAST(unnest(range(0, len(string_split(text, ' ')))) AS INTEGER) AS place FROM conversations)") + """
+        , s AS (SELECT conv_id, turn, place, array_to_string(w, ' ') AS j, len(w) AS n, 400 * len(regexp_extract_all(text, '\\S+')) AS d FROM tk),
         b AS (SELECT *, CASE WHEN n <= 3 AND j IN ('mm','mmm','mhmm','uh-huh','yeah','yep','yes','okay','ok','right','sure','exactly','absolutely','definitely','totally','i see','oh','wow','really','interesting','hmm') THEN 1.0
             WHEN n = 1 AND regexp_matches(j, 'mm|oh|ah|um') THEN 0.7 END AS c FROM s WHERE d <= 1200)
-        SELECT conv_id, turn, c AS confidence_text, c / 2 AS confidence_combined FROM b WHERE c IS NOT NULL""",
+        SELECT conv_id, turn, place, c AS confidence_text, c / 2 AS confidence_combined FROM b WHERE c IS NOT NULL""",
     "action_items": "SELECT conv_id, turn, role, text FROM conversations WHERE role = 'system' OR contains(lower(text), 'let''s ') OR contains(lower(text), 'we will')",
     "key_moments": SEG + "SELECT file_id, ord, place FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY dur DESC, start_ms, ord) AS place FROM seg) WHERE place <= 5 AND dur > 20000",
     "cosine_nearest": UNIT + "SELECT vec_id, name, round(s, 5) AS similarity FROM best",

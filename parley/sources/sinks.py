@@ -33,11 +33,12 @@ def speakers_csv(parts: list[DataFrame], path: str) -> None:
     rows.select(*sorted(rows.columns)).write.mode("overwrite").option("header", True).csv(path)
 
 
-def formatted_events(events: DataFrame) -> DataFrame:
-    """Events with fixed decimals: seconds with three, scores with six, weights with four."""
-    seconds = lambda c: F.format_string("%.3f", F.col(c) / 1000)
-    length = (F.col("end_ms") - F.col("start_ms")) / 1000
-    return events.select("file_id", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), "label", F.format_string("%.6f", "score").alias("score"), F.format_string("%.4f", length * F.col("score")).alias("weight"))
+def formatted_events(events: DataFrame, enter: float = 0.50, leave: float = 0.35, median: int = 5, source: str = "frames") -> DataFrame:
+    """Events with fixed decimals: seconds with six, scores with four, and the settings they were found with, with two."""
+    fixed = lambda c, places: F.format_string(f"%.{places}f", c.cast("double"))
+    seconds = lambda c: fixed(F.col(c) / 1000, 6)
+    setting = lambda x: F.lit(f"{x:.2f}")
+    return events.select("file_id", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), "label", fixed(F.coalesce("score", F.lit(0.0)), 4).alias("score"), F.lit(source).alias("source"), setting(enter).alias("enter"), setting(leave).alias("leave"), F.lit(median).alias("median_k"))
 
 
 def events_csv(events: DataFrame, path: str) -> None:
