@@ -58,13 +58,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Rows that stay, with all their columns; of rows that repeat both the kept id and the text, one stays.
 
     The row with the smallest id of each class is chosen by one aggregate over (hash, bytes), so texts cross the
-    network once. Ties of the id are broken by the columns' order. Columns may have any name and type.
+    network once. Ties of the id are broken by a hash of all columns, so the text is sent once. Columns may have any name and type.
     """
     rows, names = plain(docs)
     ident, text = F.col(names[id_col]), F.col(names[text_col])
-    # Maps and variants have no order; as JSON they do.
+    # Maps and variants cannot be hashed; as JSON they can.
     tie = [F.to_json(F.struct(c)) if re.search("map<|variant", kind) else F.col(c) for c, kind in rows.dtypes]
-    order = F.struct(ident.isNull().alias("n"), ident.alias("i"), *[c.alias(f"t{k}") for k, c in enumerate(tie)])
+    order = F.struct(ident.isNull().alias("n"), ident.alias("i"), F.xxhash64(*tie).alias("t"))
     keyed = rows.select(F.md5(normalised(text)).alias("hash"), normalised(text).alias("clean"), F.struct(*rows.columns).alias("row"), order.alias("place"))
     kept = keyed.groupBy("hash", "clean").agg(F.min_by("row", "place").alias("row"))
     return named(kept.select("row.*"), docs)
