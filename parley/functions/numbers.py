@@ -127,3 +127,29 @@ def tune(snr: Column, silence: Column, dynamic: Column, clipping: Column, vad: C
         "beam_size": F.when((snr < 10) & (beam < 2), 2).when((snr > 28) & (silence <= 0.7) & (beam > 1), 1).otherwise(beam),
         "no_speech_threshold": F.when(clipping, at_least(at_most(no_speech, 0.52), 0.32)).otherwise(quiet),
     }
+
+
+def tune_notes(snr: Column, silence: Column, dynamic: Column, clipping: Column, vad: Column, min_speech: Column, min_silence: Column, pad: Column, beam: Column, no_speech: Column) -> Column:
+    """Names of the rules that changed a parameter by more than 0.001 in ``tune``, in order; "noop" where none has a name."""
+    found = tune(snr, silence, dynamic, clipping, vad, min_speech, min_silence, pad, beam, no_speech)
+    other = lambda before, after: F.abs(before - after) > 1e-3
+    speech = lambda least, most: other(min_speech, F.greatest(F.lit(least), F.least(min_speech, F.lit(most))))
+    lower, raised = F.greatest(F.lit(0.32), F.least(no_speech - 0.1, F.lit(0.65))), F.least(F.lit(0.65), F.greatest(no_speech, F.lit(0.55)))
+    new_vad, new_silence = other(vad, found["vad_threshold"]), other(min_silence, found["vad_min_silence_sec"])
+    rules = [
+        (clipping, "clipping_detected"),
+        ((snr < 6) & new_vad, "snr<6_lower_vad"),
+        ((snr < 6) & speech(0.30, 0.45), "shorten_min_speech_low_snr"),
+        ((snr >= 6) & (snr < 12) & new_vad, "snr<12_lower_vad"),
+        ((snr > 26) & new_vad, "snr>26_raise_vad"),
+        ((silence > 0.65) & new_silence, "high_silence_extend_min_silence"),
+        ((silence < 0.25) & new_silence, "dense_speech_shorten_min_silence"),
+        ((dynamic < 12) & speech(0.28, 0.40), "low_dynamic_range_shorter_min_speech"),
+        ((snr < 10) & (beam < 2), "low_snr_raise_beam"),
+        ((snr < 10) & other(no_speech, lower), "low_snr_lower_no_speech"),
+        (~F.coalesce(snr < 10, F.lit(False)) & (silence > 0.7) & other(no_speech, raised), "high_silence_raise_no_speech"),
+        ((snr > 28) & ~F.coalesce(silence > 0.7, F.lit(False)) & (beam > 1), "high_snr_restore_beam"),
+        (clipping & other(no_speech, F.greatest(F.lit(0.32), F.least(no_speech, F.lit(0.52)))), "clipping_guard_no_speech"),
+    ]
+    notes = F.array_compact(F.array(*[F.when(rule, name) for rule, name in rules]))
+    return F.when(F.size(notes) == 0, F.array(F.lit("noop"))).otherwise(notes)

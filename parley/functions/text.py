@@ -117,6 +117,33 @@ def clock(ms: Column, rounded: bool = False) -> Column:
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60)))
 
 
+def short_clock(ms: Column) -> Column:
+    """h:mm:ss of milliseconds cut to seconds, mm:ss within the first hour; what is negative counts as 0."""
+    s = F.floor(F.greatest(ms, F.lit(0)) / 1000)
+    return _hours(s, F.format_string("%02d:%02d", F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60))))
+
+
+def fine_clock(ms: Column) -> Column:
+    """As ``short_clock``, with milliseconds behind a point."""
+    return F.concat(short_clock(ms), F.format_string(".%03d", F.pmod(F.greatest(ms, F.lit(0)), F.lit(1000))))
+
+
+def full_clock(ms: Column) -> Column:
+    """HH:MM:SS, cut to seconds, zero for what is negative."""
+    s = F.floor(F.greatest(ms, F.lit(0)) / 1000)
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60)))
+
+
+def _hours(seconds: Column, rest: Column) -> Column:
+    hours = F.floor(seconds / 3600)
+    return F.when(hours > 0, F.concat(hours.cast("string"), F.lit(":"), rest)).otherwise(rest)
+
+
+def issues(items: Column) -> Column:
+    """Each issue once, in order; nulls are left out."""
+    return F.array_sort(F.array_distinct(F.array_compact(items)))
+
+
 def preview(text: Column, most: int = 100) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import decibels
@@ -41,6 +42,43 @@ def frame_energies(chunks: DataFrame, frame_ms: int = FRAME_MS, hop_ms: int = HO
     return chunks.select("file_id", "chunk", "start_ms", "rate", "samples").mapInPandas(run, f"file_id {kind}, frame long, start_ms long, rms double, peak double, centroid_hz double, flatness double")
 
 
+def drop_laps(chunks: DataFrame) -> DataFrame:
+    """Chunks without the lead lap that the chunk before them holds too, so that a file's samples come once.
+
+    ``chunks`` has file_id, chunk, start_ms, lap_start_ms, rate, samples. A file's first chunk stays whole, and so does one
+    that is not longer than its lap. Samples stay in chunk rows, in order of start.
+    """
+    lead = F.floor((F.col("start_ms") - F.col("lap_start_ms")) * F.col("rate") / 1000).cast("int")
+    first = F.row_number().over(ordered(["file_id"], ["start_ms", "chunk"])) == 1
+    drop = F.when(first | (lead >= F.size("samples")), 0).otherwise(lead)
+    rows = chunks.withColumn("_drop", drop)
+    return rows.withColumn("samples", F.slice("samples", F.col("_drop") + 1, F.size("samples"))).drop("_drop")
+
+
+def loud_chunks(chunks: DataFrame, least_db: float = -60.0) -> DataFrame:
+    """Chunks whose root mean square is at least ``least_db``; adds it as ``rms_db``. Chunks without samples go."""
+    squares = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    level = 20.0 * F.log10(F.sqrt(squares / F.size("samples")) + 1e-10)
+    return chunks.where(F.size("samples") > 0).withColumn("rms_db", level).where(F.col("rms_db") >= least_db)
+
+
+def smooth_mask(frames: DataFrame, keys: Sequence[str], mask: str, order: str = "frame") -> DataFrame:
+    """Median-smoothed flags: adds ``smooth_mask``.
+
+    The width is a twentieth of the key's frames, 3 to 7, the next odd number up; keys of up to 7 frames stay as they
+    are. Frames beyond the ends count as not set; keys of more than 1,000 frames are smoothed in blocks of 500.
+    """
+    place = F.row_number().over(ordered(keys, [order])) - 1
+    rows = frames.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).withColumn("_p", place)
+    rows = rows.withColumn("_b", F.when(F.col("_n") > 1000, F.floor(F.col("_p") / 500)).otherwise(0))
+    half = F.floor(F.least(F.lit(7), F.greatest(F.lit(3), F.floor(F.col("_n") / 20))) / 2)
+    w = ordered([*keys, "_b"], ["_p"])
+    flag = F.coalesce(F.col(mask), F.lit(False)).cast("int")
+    near = [F.when(half >= abs(i), F.coalesce((F.lag(flag, -i) if i < 0 else F.lead(flag, i)).over(w), F.lit(0))).otherwise(0) for i in range(-3, 4) if i]
+    smooth = sum(near, flag) > half
+    return rows.withColumn("smooth_mask", F.when(F.col("_n") <= 7, flag == 1).otherwise(smooth)).drop("_n", "_p", "_b")
+
+
 def health(frames: DataFrame, silent_db: float = -50.0) -> DataFrame:
     """Per file: level, noise floor, signal-to-noise ratio, dynamic range, silence ratio and clipping."""
     level = decibels(F.col("rms"))
@@ -62,8 +100,9 @@ def combine_health(parts: DataFrame) -> DataFrame:
 
 
 def pauses(frames: DataFrame, silent_db: float = -40.0, hop_ms: int = HOP_MS, least_ms: int = 200, long_ms: int = 600) -> DataFrame:
-    """Per file: pauses of at least 200 ms, long ones, their time and share of all frames."""
-    silent = frames.withColumn("silent", decibels(F.col("rms")) < silent_db)
+    """Per file: pauses of at least 200 ms, long ones, their time and share of all frames; single frames are smoothed away."""
+    quiet = frames.withColumn("quiet", decibels(F.col("rms")) < silent_db)
+    silent = smooth_mask(quiet, ["file_id"], "quiet").withColumnRenamed("smooth_mask", "silent")
     spans = runs(silent, ["file_id"], "frame", "silent").withColumn("ms", F.col("n_rows") * hop_ms)
     counted = F.col("silent") & (F.col("ms") >= least_ms)
     return spans.groupBy("file_id").agg(
@@ -98,6 +137,20 @@ def smooth(frames: DataFrame, value: str, alpha: float) -> DataFrame:
     return rows.withColumn(f"{value}_smooth", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)).drop("_p", "_near")
 
 
+def hann_smooth(frames: DataFrame, keys: Sequence[str], value: str, width: int, order: str = "frame") -> DataFrame:
+    """Smoothing by a Hann window of an odd ``width``, end values repeated beyond the ends; adds ``<value>_hann``."""
+    if width < 1 or width % 2 == 0:
+        raise ValueError("width must be odd")
+    weights = np.hanning(width) if width > 1 else np.ones(1)
+    weights = weights / (weights.sum() + 1e-12)
+    w, half = ordered(keys, [order]), width // 2
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = frames.withColumns({"_first": F.first(value).over(whole), "_last": F.last(value).over(whole)})
+    taps = [F.coalesce(F.lag(value, -i).over(w), F.col("_first")) if i < 0 else F.coalesce(F.lead(value, i).over(w), F.col("_last")) if i else F.col(value) for i in range(-half, half + 1)]
+    terms = [float(k) * x for k, x in zip(weights, taps) if k]
+    return rows.withColumn(f"{value}_hann", sum(terms[1:], terms[0])).drop("_first", "_last")
+
+
 def loudness(frames: DataFrame, window: int = 40, gate_db: float = 10.0) -> DataFrame:
     """Approximate loudness of a file: mean power of its windows that lie at most ``gate_db`` below the mean of all."""
     w = ordered(["file_id"], ["frame"]).rowsBetween(-(window - 1), 0)

@@ -44,6 +44,31 @@ def fold(rows: DataFrame, key: str, order: Sequence[str], step: Step, finish: Ca
     return sorted_.mapInArrow(run, schema)
 
 
+def merged_chunks(segments: DataFrame) -> DataFrame:
+    """Merge a file's segments with the next one of the same speaker that begins before the last end or at it.
+
+    ``segments`` has file_id, start_ms, end_ms, speaker, embedding (array, may be null). The end is the latest, vectors are
+    averaged pair by pair. (file_id, start_ms, end_ms, speaker, n_spans, embedding).
+    """
+    rows = segments.select("file_id", "start_ms", "end_ms", "speaker", "embedding")
+
+    def step(state: list | None, row: tuple) -> tuple[list, list[tuple]]:
+        file_id, start, end, speaker, vector = row
+        vector = None if vector is None else np.array(vector, float)
+        if state is None or state[3] != speaker or start > state[2]:
+            return [file_id, start, end, speaker, 1, vector], [] if state is None else [_plain_state(state)]
+        pooled = vector if state[5] is None else state[5] if vector is None else (state[5] + vector) / 2
+        return [file_id, state[1], max(state[2], end), speaker, state[4] + 1, pooled], []
+
+    kind = dict(rows.dtypes)
+    schema = f"file_id {kind['file_id']}, start_ms long, end_ms long, speaker {kind['speaker']}, n_spans long, embedding array<double>"
+    return fold(rows, "file_id", ["start_ms", "end_ms", "speaker"], step, lambda _, state: [_plain_state(state)], schema)
+
+
+def _plain_state(state: list) -> tuple:
+    return (*state[:5], None if state[5] is None else state[5].tolist())
+
+
 def pooled_neighbours(segments: DataFrame, gap_ms: int = 1_000) -> DataFrame:
     """Merge a file's segments with the next one of the same speaker that starts at most ``gap_ms`` after the last end.
 
@@ -57,16 +82,13 @@ def pooled_neighbours(segments: DataFrame, gap_ms: int = 1_000) -> DataFrame:
         file_id, start, end, speaker, vector = row
         vector = None if vector is None else np.array(vector, float)
         if state is None or state[3] != speaker or start - state[2] > gap_ms:
-            return [file_id, start, end, speaker, 1, vector], [] if state is None else [_plain(state)]
+            return [file_id, start, end, speaker, 1, vector], [] if state is None else [_plain_state(state)]
         if state[5] is not None and vector is not None:
             pooled = state[5] * (state[2] - state[1]) + vector * (end - start)
             norm = np.linalg.norm(pooled)
             state[5] = pooled / (norm + 1e-8) if norm > 0 else pooled
         return [file_id, state[1], end, speaker, state[4] + 1, state[5]], []
 
-    def _plain(state: list) -> tuple:
-        return (*state[:5], None if state[5] is None else state[5].tolist())
-
     kind = dict(rows.dtypes)
     schema = f"file_id {kind['file_id']}, start_ms long, end_ms long, speaker {kind['speaker']}, n_spans long, embedding array<double>"
-    return fold(rows, "file_id", ["start_ms", "end_ms"], step, lambda _, state: [_plain(state)], schema)
+    return fold(rows, "file_id", ["start_ms", "end_ms"], step, lambda _, state: [_plain_state(state)], schema)

@@ -65,6 +65,30 @@ def windows_of(spans: DataFrame, size_ms: int, hop_ms: int, least_ms: int = 0, t
     return rows.where(F.col("win_end_ms") - F.col("win_start_ms") >= least_ms)
 
 
+def whole_windows(spans: DataFrame, size_ms: int, hop_ms: int) -> DataFrame:
+    """Windows of full size only, the last one ending at or before the span's end; a shorter span is one window.
+
+    Spans without length have none. Adds window, win_start_ms, win_end_ms (beyond the end of a short span: padding).
+    """
+    length = F.col("end_ms") - F.col("start_ms")
+    steps = F.sequence(F.lit(0), F.floor(F.greatest(length - size_ms, F.lit(0)) / hop_ms).cast("int"))
+    starts = F.transform(steps, lambda k: (F.col("start_ms") + k * hop_ms).cast("long"))
+    rows = spans.where(length > 0).select("*", F.posexplode(starts).alias("window", "win_start_ms"))
+    return rows.withColumn("win_end_ms", F.col("win_start_ms") + size_ms)
+
+
+def lapping_windows(spans: DataFrame, size_ms: int, lap_ms: int) -> DataFrame:
+    """Windows of a long span that step by size less lap; all but the first begin another lap earlier, for context.
+
+    Adds window, win_start_ms and win_end_ms on the span's own clock; spans without length have none.
+    """
+    step, length = size_ms - lap_ms, F.col("end_ms") - F.col("start_ms")
+    rows = spans.where(length > 0).select("*", F.explode(F.sequence(F.lit(0), (F.ceil(length / step) - 1).cast("int"))).alias("window"))
+    at = F.col("window").cast("long") * step
+    start = F.greatest(F.lit(0), at - F.when(F.col("window") > 0, lap_ms).otherwise(0))
+    return rows.withColumns({"win_start_ms": F.col("start_ms") + start, "win_end_ms": F.col("start_ms") + F.least(length, at + size_ms)})
+
+
 def chunks(files: DataFrame, least_ms: int, chunk_ms: int, lap_ms: int) -> DataFrame:
     """Chunk plan of files (file_id, duration_ms): files from ``least_ms`` on are cut into chunks that lap on both sides.
 

@@ -121,6 +121,24 @@ def key_moments(segments: DataFrame, score: str, k: int, above: float | None = N
     return best if above is None else best.where(F.col(score) > above)
 
 
+def moments_in_order(segments: DataFrame, score: str, k: int = 10) -> DataFrame:
+    """The ``k`` moments of each file to check, numbered by time: (file_id, moment, start_ms, speaker, description)."""
+    best = key_moments(segments.withColumn(score, F.coalesce(score, F.lit(0.0))), score, k)
+    number = F.row_number().over(W.partitionBy("file_id").orderBy("start_ms", "place")).cast("long")
+    said = F.substring(F.coalesce("text", F.lit("")), 1, 180)
+    return best.select("file_id", number.alias("moment"), "start_ms", "speaker", said.alias("description"))
+
+
+def quick_take(segments: DataFrame, valence: str = "valence") -> DataFrame:
+    """A sentence for each file: speakers, whole minutes and the tone of the speaker with the most speech, in bands at 0.2."""
+    length = F.col("end_ms") - F.col("start_ms")
+    per = segments.groupBy("file_id", "speaker").agg(F.sum(length).alias("ms"), F.avg(valence).alias("v"), F.max("end_ms").alias("end_ms"))
+    lead = per.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.max("end_ms").alias("end_ms"), F.min_by("v", F.struct((-F.col("ms")).alias("ms"), "speaker")).alias("v"))
+    tone = F.when(F.col("v") > 0.2, "positive").when(F.col("v") < -0.2, "negative").otherwise("neutral")
+    said = F.format_string("%d speakers over %d min; most-active tone %s.", F.col("n"), F.floor(F.greatest("end_ms", F.lit(0)) / 60_000), tone)
+    return lead.select("file_id", said.alias("quick_take"))
+
+
 def pattern_stats(features: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Mean, population deviation, median, least and most of each figure over values that are known and not 0.
 

@@ -118,6 +118,50 @@ def share_words(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "ord", F.when(text == "", "[silence]").otherwise(text).alias("text"))
 
 
+def words_to_spans(words: DataFrame, spans: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
+    """Give the words of a batch back to the spans it was put together from, on the spans' own clocks.
+
+    ``words`` has file_id, batch, place, word, start_ms, end_ms on the batch's clock; ``spans`` file_id, batch, ord,
+    start_ms (of its file), from_ms and to_ms (its place in the batch). A word that touches two spans goes to both.
+    Returns file_id, batch, ord, text ("[silence]" without words), n_words, first_ms and last_ms (null without words).
+    """
+    own = spans.select("file_id", "batch", "ord", F.col("start_ms").alias("own_ms"), F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))
+    pairs = overlap_join(own, words, ["file_id", "batch"], bucket_ms, "left", ["ord"])
+    moved = F.col("own_ms") - F.col("start_ms")
+    said = F.when(F.trim("r_word") != "", F.struct(F.col("r_start_ms").alias("at"), F.col("r_place").alias("place"), F.trim("r_word").alias("word")))
+    rows = pairs.groupBy("file_id", "batch", "ord").agg(
+        F.array_sort(F.collect_list(said)).alias("_w"), F.count("r_place").alias("n_words"), F.min(F.col("r_start_ms") + moved).alias("first_ms"), F.max(F.col("r_end_ms") + moved).alias("last_ms"),
+    )
+    text = F.array_join(F.transform("_w", lambda x: x["word"]), " ")
+    return rows.select("file_id", "batch", "ord", F.when(text == "", "[silence]").otherwise(text).alias("text"), "n_words", "first_ms", "last_ms")
+
+
+def join_windows(windows: DataFrame) -> DataFrame:
+    """Put the texts of a long segment's windows together in order: windows without text count for nothing.
+
+    ``windows`` has file_id, ord, window, text, logprob, language. Returns file_id, ord, text, n_windows, logprob (mean of
+    what is known), confidence (its exponential, 1 without) and the first window's language.
+    """
+    spoken = windows.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    rows = spoken.groupBy("file_id", "ord").agg(
+        F.array_sort(F.collect_list(F.struct("window", F.trim("text").alias("text")))).alias("_t"), F.count(F.lit(1)).alias("n_windows"),
+        F.avg("logprob").alias("logprob"), F.min_by("language", "window").alias("language"),
+    )
+    text = F.array_join(F.transform("_t", lambda x: x["text"]), " ")
+    return rows.select("file_id", "ord", text.alias("text"), "n_windows", "logprob", F.coalesce(F.exp("logprob"), F.lit(1.0)).alias("confidence"), "language")
+
+
+def unstable_voice(turns: DataFrame, files: DataFrame, most: float = 60.0) -> DataFrame:
+    """Files whose turns flip at boundaries more than ``most`` times a minute: (file_id, flips, vad_unstable).
+
+    ``turns`` has file_id and is_boundary_flip (null: none), ``files`` file_id and duration_ms; minutes are whole, 1 at least.
+    """
+    flips = turns.groupBy("file_id").agg(F.count_if(F.coalesce("is_boundary_flip", F.lit(False))).alias("flips"))
+    rows = files.join(flips, "file_id", "left").withColumn("flips", F.coalesce("flips", F.lit(0)))
+    minutes = F.greatest(F.lit(1), F.floor(F.col("duration_ms") / 60_000))
+    return rows.select("file_id", "flips", (F.col("flips") / minutes > most).alias("vad_unstable"))
+
+
 def sweep_votes(regions: DataFrame, spans: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
     """Cut regions where spans begin or end and give each piece the speaker with most of it: a sweep as joins.
 

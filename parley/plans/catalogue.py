@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import audio, flow, identity, intervals, islands, overlap, rollup, segments, timeline
+from ..operators import audio, flow, folds, identity, intervals, islands, overlap, rollup, segments, timeline
 from ..sources import sinks, tables
 from ..streaming import events as streams
 
@@ -252,6 +252,86 @@ def _gate(r: DataFrame) -> DataFrame:
     return audio.quality_gate(rows.select("key", "pos", (x * loud).alias("x")), 8_000)
 
 
+def _scored(s: DataFrame) -> DataFrame:
+    return s.withColumns({"arousal": (F.col("ord") * 7 + F.col("file_id")) % 10 / 10, "valence": (F.col("ord") % 2 * 2 - 1) * (F.col("file_id") % 5) / 10})
+
+
+def _shared_words(s: DataFrame) -> DataFrame:
+    """Four segments a batch, put together end to end; their words come 150 ms late, so that the last one reaches the next."""
+    own = s.withColumn("batch", F.floor(F.col("ord") / 4))
+    before = F.sum(F.col("end_ms") - F.col("start_ms")).over(islands.ordered(["file_id", "batch"], ["ord"]).rowsBetween(islands.W.unboundedPreceding, -1))
+    own = own.withColumn("from_ms", F.coalesce(before, F.lit(0))).withColumn("to_ms", F.col("from_ms") + F.col("end_ms") - F.col("start_ms"))
+    found = F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0))).alias("i", "word")
+    words = own.select("file_id", "batch", "ord", "from_ms", found).withColumn("start_ms", F.col("from_ms") + F.col("i") * tables.WORD_MS + 150)
+    words = words.select("file_id", "batch", (F.col("ord") * 10_000 + F.col("i")).alias("place"), "word", "start_ms", (F.col("start_ms") + tables.WORD_MS).alias("end_ms"))
+    return segments.words_to_spans(words, own.select("file_id", "batch", "ord", "start_ms", "from_ms", "to_ms"))
+
+
+def _joined(s: DataFrame) -> DataFrame:
+    rows = intervals.lapping_windows(s.select("file_id", "ord", "text", "start_ms", "end_ms"), 3_000, 400)
+    said = F.when(F.col("window") % 3 != 1, F.concat(F.lit(" "), F.substring("text", 1, 12), F.lit(" "), F.col("window").cast("string")))
+    return segments.join_windows(rows.select("file_id", "ord", "window", said.alias("text"), F.when(F.col("window") % 2 == 0, -0.1 * (F.col("window") + 1)).alias("logprob"), F.concat(F.lit("l"), F.col("window").cast("string")).alias("language")))
+
+
+def _unlapped(s: DataFrame) -> DataFrame:
+    plan = intervals.chunks(s.groupBy("file_id").agg(F.max("end_ms").alias("duration_ms")), 10_000, 4_000, 700).where("lap_end_ms > lap_start_ms")
+    made = plan.withColumns({"rate": F.lit(10), "samples": F.transform(F.sequence(F.floor(F.col("lap_start_ms") / 100), F.floor(F.col("lap_end_ms") / 100)), lambda x: x.cast("double"))})
+    return audio.drop_laps(made).select("file_id", "chunk", F.size("samples").cast("long").alias("n"), F.element_at("samples", 1).alias("first"), F.element_at("samples", -1).alias("last"))
+
+
+def _faded(e: DataFrame) -> DataFrame:
+    """Vectors as chunks of audio, ten or a hundred thousand times quieter for some."""
+    return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.pow(F.lit(10.0), F.col("vec_id") % 6)).alias("samples"))
+
+
+def _flips(e: DataFrame) -> DataFrame:
+    files = e.groupBy(F.col("user_id").alias("file_id")).agg((F.max("event_id") * 40).alias("duration_ms"))
+    turns = e.select(F.col("user_id").alias("file_id"), F.when(F.col("event_type") != "view", F.col("event_id") % 3 == 0).alias("is_boundary_flip"))
+    return segments.unstable_voice(turns, files, 0.5)
+
+
+def _chunked(s: DataFrame) -> DataFrame:
+    """Segments that begin half a second early and say what one speaker says, with a vector for some."""
+    rows = s.select("file_id", F.greatest(F.col("start_ms") - 500, F.lit(0)).alias("start_ms"), "end_ms", F.when(F.col("ord") % 4 == 3, "b").otherwise("a").alias("speaker"), F.when(F.col("ord") % 3 > 0, F.array(F.col("ord") * 1.0, F.lit(1.0))).alias("embedding"))
+    return folds.merged_chunks(rows).select("file_id", "start_ms", "end_ms", "speaker", "n_spans", F.col("embedding")[0].alias("x"))
+
+
+def _notes(e: DataFrame) -> DataFrame:
+    i = F.col("event_id")
+    given = [F.lit(x) for x in (0.3, 0.8, 0.4, 0.1, 1, 0.5)]
+    return e.select("event_id", F.array_join(numbers.tune_notes((i % 34) * 1.0, (i % 101) / 100.0, 6.0 + i % 13, i % 7 == 0, *given), ",").alias("notes"))
+
+
+def _clocks(e: DataFrame) -> DataFrame:
+    ms = (F.col("event_id") * 7_919_317) % 100_000_000 - 1_000
+    return e.select("event_id", text.short_clock(ms).alias("short"), text.fine_clock(ms).alias("fine"), text.full_clock(ms).alias("whole"))
+
+
+def _mask(f: DataFrame) -> DataFrame:
+    rows = f.select("file_id", "label", "frame", (F.col("score") < 0.4).alias("silent"))
+    return audio.smooth_mask(rows, ["file_id", "label"], "silent").unionByName(_one_key(rows))
+
+
+def _one_key(rows: DataFrame) -> DataFrame:
+    """All frames of a label as one long series, numbered by file and frame."""
+    number = F.row_number().over(islands.ordered(["label"], ["file_id", "frame"])).cast("long")
+    return audio.smooth_mask(rows.select(F.lit(-1).cast("long").alias("file_id"), "label", number.alias("frame"), "silent"), ["file_id", "label"], "silent")
+
+
+_add("words_to_spans", "segments", _shared_words)
+_add("asr_window_plan", "segments", lambda s: intervals.lapping_windows(s, 3_000, 400).select("file_id", "ord", "window", "win_start_ms", "win_end_ms"))
+_add("asr_window_text", "segments", _joined)
+_add("whole_windows", "segments", lambda s: intervals.whole_windows(s, 1_000, 320).select("file_id", "ord", "window", "win_start_ms", "win_end_ms"))
+_add("chunk_laps_dropped", "segments", _unlapped)
+_add("chunk_energy_gate", "embeddings", lambda e: audio.loud_chunks(_faded(e)).select("vec_id", "rms_db"))
+_add("chunk_speaker_merge", "segments", _chunked)
+_add("vad_flips", "events", _flips)
+_add("silence_mask", "frames", _mask)
+_add("hann_smoothing", "frames", lambda f: audio.hann_smooth(f, ["file_id", "label"], "score", 5).select("file_id", "label", "frame", "score_hann"))
+_add("moments_in_order", "segments", lambda s: rollup.moments_in_order(_scored(s), "arousal", 3))
+_add("quick_take", "segments", lambda s: rollup.quick_take(_scored(s)))
+_add("tuner_notes", "events", _notes)
+_add("clock_formats", "events", _clocks)
 _add("audio_quality_gate", "region", _gate)
 _add("event_rows", "frames", lambda f: sinks.formatted_events(timeline.events_to_exit(f)))
 _add("schema_completion", "segments", _completed)

@@ -383,3 +383,90 @@ SQL["batch_packing"] = SEG.replace("WITH wc", "WITH RECURSIVE wc") + """
         FROM fold f JOIN own o ON o.file_id = f.file_id AND o.i = f.i + 1
     )
     SELECT file_id, ord, batch FROM fold"""
+
+SQL["words_to_spans"] = SEG + r"""
+    , own AS (
+        SELECT *, ord // 4 AS batch, CAST(coalesce(sum(dur) OVER (PARTITION BY file_id, ord // 4 ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM seg
+    ),
+    said AS (SELECT file_id, batch, ord AS o, a, regexp_extract_all(coalesce(text, ''), '\S+') AS l FROM own),
+    word AS (SELECT file_id, batch, o, i, l[i] AS word, a + (i - 1) * 400 + 150 AS s FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM said))
+    SELECT own.file_id, own.batch, own.ord, coalesce(string_agg(word, ' ' ORDER BY s, o, i), '[silence]') AS text, count(word) AS n_words,
+           min(s) + any_value(start_ms) - any_value(a) AS first_ms, max(s) + 400 + any_value(start_ms) - any_value(a) AS last_ms
+    FROM own LEFT JOIN word ON own.file_id = word.file_id AND own.batch = word.batch AND s < own.a + own.dur AND s + 400 > own.a
+    GROUP BY own.file_id, own.batch, own.ord"""
+LAPPING = SEG + """
+    , lap AS (SELECT *, unnest(range(0, CAST(ceil(dur / 2600.0) AS BIGINT))) AS k FROM seg WHERE dur > 0)"""
+SQL["asr_window_plan"] = LAPPING + """
+    SELECT file_id, ord, CAST(k AS INTEGER) AS "window", start_ms + CASE WHEN k = 0 THEN 0 ELSE greatest(0, k * 2600 - 400) END AS win_start_ms, start_ms + least(dur, k * 2600 + 3000) AS win_end_ms FROM lap"""
+SQL["asr_window_text"] = LAPPING + """
+    , t AS (SELECT file_id, ord, k, trim(concat(' ', substr(text, 1, 12), ' ', k)) AS said, CASE WHEN k % 2 = 0 THEN -0.1 * (k + 1) END AS lp FROM lap WHERE k % 3 <> 1 AND text IS NOT NULL)
+    SELECT file_id, ord, string_agg(said, ' ' ORDER BY k) AS text, count(*) AS n_windows, round(CAST(avg(lp) AS DOUBLE), 6) AS logprob,
+           round(coalesce(exp(CAST(avg(lp) AS DOUBLE)), 1), 6) AS confidence, concat('l', min(k)) AS language
+    FROM t GROUP BY file_id, ord"""
+SQL["whole_windows"] = SEG + """
+    , w AS (SELECT *, unnest(range(0, CASE WHEN dur <= 1000 THEN 1 ELSE (dur - 1000) // 320 + 1 END)) AS k FROM seg WHERE dur > 0)
+    SELECT file_id, ord, CAST(k AS INTEGER) AS "window", start_ms + k * 320 AS win_start_ms, start_ms + k * 320 + 1000 AS win_end_ms FROM w"""
+SQL["chunk_laps_dropped"] = SEG + """
+    , f AS (SELECT file_id, max(end_ms) AS d FROM seg GROUP BY file_id HAVING max(end_ms) > 0),
+    g AS (SELECT *, CASE WHEN d >= 10000 THEN 4000 ELSE d END AS size FROM f),
+    c AS (SELECT *, unnest(range(0, CAST(ceil(d / CAST(size AS DOUBLE)) AS BIGINT))) AS chunk FROM g),
+    l AS (SELECT *, greatest(chunk * size - 700, 0) // 100 AS a, least(least((chunk + 1) * size, d) + 700, d) // 100 AS b, (chunk * size - greatest(chunk * size - 700, 0)) // 100 AS lead FROM c),
+    p AS (SELECT *, CASE WHEN chunk = 0 OR lead >= b - a + 1 THEN a ELSE a + lead END AS s FROM l)
+    SELECT file_id, chunk, b - s + 1 AS n, CAST(s AS DOUBLE) AS first, CAST(b AS DOUBLE) AS last FROM p"""
+SQL["chunk_energy_gate"] = """
+    WITH d AS (SELECT vec_id, 20 * log10(sqrt(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) / pow(10.0, vec_id % 6)) ** 2)) / len(embedding)) + 1e-10) AS db FROM embeddings WHERE len(embedding) > 0)
+    SELECT vec_id, round(db, 6) AS rms_db FROM d WHERE db >= -60"""
+SQL["chunk_speaker_merge"] = SEG.replace("WITH wc", "WITH RECURSIVE wc") + """
+    , own AS (
+        SELECT file_id, greatest(start_ms - 500, 0) AS s, end_ms AS e, CASE WHEN ord % 4 = 3 THEN 'b' ELSE 'a' END AS sp, CASE WHEN ord % 3 > 0 THEN CAST(ord AS DOUBLE) END AS v FROM seg
+    ),
+    num AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY s, e, sp) AS i FROM own),
+    fold AS (
+        SELECT file_id, i, 1 AS g, s, e, sp, v, CAST(1 AS BIGINT) AS n FROM num WHERE i = 1
+        UNION ALL
+        SELECT o.file_id, o.i, CASE WHEN o.sp = f.sp AND o.s <= f.e THEN f.g ELSE f.g + 1 END, CASE WHEN o.sp = f.sp AND o.s <= f.e THEN f.s ELSE o.s END,
+            CASE WHEN o.sp = f.sp AND o.s <= f.e THEN greatest(f.e, o.e) ELSE o.e END, o.sp,
+            CASE WHEN o.sp = f.sp AND o.s <= f.e THEN coalesce((f.v + o.v) / 2, f.v, o.v) ELSE o.v END, CASE WHEN o.sp = f.sp AND o.s <= f.e THEN f.n + 1 ELSE 1 END
+        FROM fold f JOIN num o ON o.file_id = f.file_id AND o.i = f.i + 1
+    )
+    SELECT file_id, arg_max(s, i) AS start_ms, arg_max(e, i) AS end_ms, arg_max(sp, i) AS speaker, max(n) AS n_spans, round(arg_max({'v': v}, i).v, 6) AS x FROM fold GROUP BY file_id, g"""
+SQL["vad_flips"] = """
+    WITH f AS (SELECT user_id AS file_id, count(*) FILTER (event_type <> 'view' AND event_id % 3 = 0) AS flips, max(event_id) * 40 AS d FROM events GROUP BY user_id)
+    SELECT file_id, flips, flips / CAST(greatest(1, d // 60000) AS DOUBLE) > 0.5 AS vad_unstable FROM f"""
+SQL["silence_mask"] = FRAMES + """
+    , r AS (
+        SELECT file_id, label, frame, score < 0.4 AS silent FROM frm
+        UNION ALL SELECT -1, label, row_number() OVER (PARTITION BY label ORDER BY file_id, frame), score < 0.4 FROM frm
+    ),
+    n AS (SELECT *, count(*) OVER (PARTITION BY file_id, label) AS n, row_number() OVER (PARTITION BY file_id, label ORDER BY frame) - 1 AS p FROM r),
+    b AS (SELECT *, CASE WHEN n > 1000 THEN p // 500 ELSE 0 END AS blk, least(7, greatest(3, n // 20)) // 2 AS half FROM n),
+    v AS (
+        SELECT *, list(CAST(silent AS INTEGER)) OVER (PARTITION BY file_id, label, blk ORDER BY p ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS l, least(3, row_number() OVER (PARTITION BY file_id, label, blk ORDER BY p) - 1) AS c FROM b
+    )
+    SELECT file_id, label, frame, silent, CASE WHEN n <= 7 THEN silent ELSE coalesce(list_sum(l[greatest(c + 1 - half, 1) : c + 1 + half]), 0) > half END AS smooth_mask FROM v"""
+SQL["hann_smoothing"] = FRAMES + """
+    , e AS (SELECT *, min(frame) OVER w AS a, max(frame) OVER w AS b FROM frm WINDOW w AS (PARTITION BY file_id, label)),
+    t AS (SELECT *, unnest([-1, 0, 1]) AS o FROM e)
+    SELECT t.file_id, t.label, t.frame, round(sum(x.score * CASE o WHEN 0 THEN 1.0 ELSE 0.5 END) / (2 + 1e-12), 6) AS score_hann
+    FROM t JOIN frm x ON x.file_id = t.file_id AND x.label = t.label AND x.frame = greatest(t.a, least(t.b, t.frame + o)) GROUP BY t.file_id, t.label, t.frame"""
+SCORED = SEG + ", sc AS (SELECT *, (ord * 7 + file_id) % 10 / 10.0 AS arousal, (ord % 2 * 2 - 1) * (file_id % 5) / 10.0 AS valence FROM seg)"
+SQL["moments_in_order"] = SCORED + """
+    , r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY arousal DESC, start_ms, ord) AS place FROM sc)
+    SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, place) AS moment, start_ms, speaker, substr(coalesce(text, ''), 1, 180) AS description FROM r WHERE place <= 3"""
+SQL["quick_take"] = SCORED + """
+    , p AS (SELECT file_id, speaker, sum(dur) AS ms, avg(valence) AS v, max(end_ms) AS e FROM sc GROUP BY ALL),
+    l AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ms DESC, speaker) AS r, count(*) OVER (PARTITION BY file_id) AS n, max(e) OVER (PARTITION BY file_id) AS whole FROM p)
+    SELECT file_id, concat(n, ' speakers over ', whole // 60000, ' min; most-active tone ', CASE WHEN v > 0.2 THEN 'positive' WHEN v < -0.2 THEN 'negative' ELSE 'neutral' END, '.') AS quick_take FROM l WHERE r = 1"""
+SQL["tuner_notes"] = """
+    WITH h AS (SELECT event_id, event_id % 34 AS snr, event_id % 101 AS sil, 6 + event_id % 13 AS dyn, event_id % 7 = 0 AS clip FROM events),
+    n AS (
+        SELECT event_id, concat_ws(',', CASE WHEN clip THEN 'clipping_detected' END, CASE WHEN snr < 6 THEN 'snr<6_lower_vad' END, CASE WHEN snr < 6 THEN 'shorten_min_speech_low_snr' END,
+            CASE WHEN snr BETWEEN 6 AND 11 THEN 'snr<12_lower_vad' END, CASE WHEN sil > 65 THEN 'high_silence_extend_min_silence' END,
+            CASE WHEN dyn < 12 THEN 'low_dynamic_range_shorter_min_speech' END, CASE WHEN snr < 10 THEN 'low_snr_raise_beam' END, CASE WHEN snr < 10 THEN 'low_snr_lower_no_speech' END,
+            CASE WHEN snr >= 10 AND sil > 70 THEN 'high_silence_raise_no_speech' END) AS notes FROM h
+    )
+    SELECT event_id, CASE WHEN notes = '' THEN 'noop' ELSE notes END AS notes FROM n"""
+SQL["clock_formats"] = """
+    WITH m AS (SELECT event_id, greatest(0, (event_id * 7919317) % 100000000 - 1000) AS ms FROM events),
+    c AS (SELECT event_id, ms // 3600000 AS h, printf('%02d:%02d', ms // 60000 % 60, ms // 1000 % 60) AS r, printf('.%03d', ms % 1000) AS f FROM m)
+    SELECT event_id, CASE WHEN h > 0 THEN concat(h, ':', r) ELSE r END AS short, concat(CASE WHEN h > 0 THEN concat(h, ':', r) ELSE r END, f) AS fine, concat(printf('%02d', h), ':', r) AS whole FROM c"""

@@ -7,6 +7,8 @@ from html import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_action, preview, short_clock, word_count
+from ..operators import rollup
 from ..operators.segments import complete
 
 VOICE = ("vq_jitter_pct", "vq_shimmer_db", "vq_hnr_db", "vq_cpps_db")
@@ -71,6 +73,22 @@ def registry_json(registry: DataFrame, path: str, version: str = "1.0") -> None:
     rows.select(F.lit(version).alias("version"), "speakers").write.mode("overwrite").json(path)
 
 
+def report_sections(segments: DataFrame, moments: int = 10) -> dict[str, DataFrame]:
+    """Sections of a report by title, each a query for ``html_report``.
+
+    ``segments`` has file_id, ord, speaker, text, start_ms, end_ms, valence, arousal.
+    """
+    counted = segments.withColumn("words", word_count(F.col("text")))
+    clock = short_clock(F.col("start_ms")).alias("time")
+    return {
+        "Executive summary": rollup.quick_take(segments).orderBy("file_id"),
+        "Speakers": rollup.core(counted).orderBy("file_id", F.desc("duration_ms"), "speaker"),
+        "Moments to check": rollup.moments_in_order(segments, "arousal", moments).orderBy("file_id", "moment"),
+        "Action items": segments.where(is_action(F.col("text"), F.lit(None).cast("string"))).select("file_id", clock, "speaker", preview(F.col("text")).alias("text")).orderBy("file_id", "time"),
+        "Transcript": segments.orderBy("file_id", "start_ms", "ord").select("file_id", clock, "speaker", "text"),
+    }
+
+
 def html_report(summary: dict[str, DataFrame], rows: int = 100) -> str:
     """A page with the first rows of each table of a report; what is shown is bounded by ``rows`` a table."""
     parts = []
