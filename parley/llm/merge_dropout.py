@@ -162,54 +162,58 @@ def agenda(pieces: Pieces, symbols: list[int], key: int, dropout: float) -> list
 def _together(pieces: Pieces, symbols: np.ndarray, key: np.ndarray, dropout: float, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``agenda`` for all rows of a matrix at once (-1 fills short rows): each round takes each row's best candidate.
 
-    Rows and hashed places of the merges go to the list ``taken``.
+    Symbols stay in place, linked to their neighbours, until all rounds are over. Returns the pieces, moved to the left,
+    and how many there are in each row. Rows and hashed places of the merges go to the list ``taken``.
     """
     n, width = symbols.shape
-    out, sizes = symbols.copy(), (symbols >= 0).sum(axis=1)
+    stride = width + 1  # one more place, for the end
+    sizes = (symbols >= 0).sum(axis=1)
+    matrix = np.full((n, stride), -1, np.int32)
+    matrix[:, :width] = symbols
+    sym, into = matrix.reshape(-1), np.zeros(n * stride, np.int32)
+    after, before = np.tile(np.arange(1, stride + 1), n), np.tile(np.arange(-1, width), n)
     live = np.flatnonzero(sizes > 1)
-    sym, own = symbols[live].copy(), key[live]
-    start = np.tile(np.arange(width + 1, dtype=np.int32), (len(live), 1))  # where each symbol begins; one more is the end
-
-    def candidates(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-        right = sym[rows, at + 1]
-        rank, _ = pieces.lookup(sym[rows, at], right)
-        fits = np.flatnonzero(rank != _NEVER)
-        r, c = rows[fits], at[fits]
-        gone = skipped(own[r], start[r, c], start[r, c + 1], start[r, c + 2], dropout)
-        rank[fits[gone]] = _NEVER
-        return rank
-
-    count = sizes[live]
+    base, size, own = live * stride, sizes[live], key[live]
     rank = np.full((len(live), width), _NEVER, np.int32)
-    rows, at = np.nonzero(np.arange(width - 1) < (count - 1)[:, None])
-    rank[rows, at] = candidates(rows, at)
-    columns = np.arange(width + 1)
+
+    def offer(row: np.ndarray, left: np.ndarray, middle: np.ndarray, end: np.ndarray) -> None:
+        """Enter candidates: the symbols [left, middle) and [middle, end) of the rows."""
+        at = base[row] + left
+        found, piece = pieces.lookup(sym[at], sym[base[row] + middle])
+        if dropout > 0:
+            fits = np.flatnonzero(found != _NEVER)
+            gone = skipped(own[row[fits]], left[fits], middle[fits], end[fits], dropout)
+            found[fits[gone]] = _NEVER
+        rank[row, left] = found
+        into[at] = piece
+
+    row, left = np.nonzero(np.arange(width) < (size - 1)[:, None])
+    offer(row, left, left + 1, left + 2)
     while len(live):
         best = rank.argmin(axis=1)
-        over = rank[np.arange(len(live)), best] == _NEVER
-        if over.any():
-            out[live[over]], sizes[live[over]] = sym[over], count[over]
-            keep = ~over
-            live, sym, start, rank, own, count, best = live[keep], sym[keep], start[keep], rank[keep], own[keep], count[keep], best[keep]
+        row = np.arange(len(live))
+        open_ = rank[row, best] != _NEVER
+        if not open_.all():
+            live, base, size, own, rank, best = live[open_], base[open_], size[open_], own[open_], rank[open_], best[open_]
+            row = row[: len(live)]
             if not len(live):
                 break
-        row = np.arange(len(live))
-        _, into = pieces.lookup(sym[row, best], sym[row, best + 1])
+        at = base + best
+        right = after[at]
+        end = after[base + right]
         if taken is not None:
-            taken.append((live, _place(start[row, best], start[row, best + 1], start[row, best + 2])))
-        shift = columns + (columns > best[:, None])  # the right symbol of the merge falls out
-        inner = np.minimum(shift[:, :width], width - 1)
-        last = shift[:, :width] >= width
-        sym, rank = np.take_along_axis(sym, inner, 1), np.take_along_axis(rank, inner, 1)
-        sym[last], rank[last] = -1, _NEVER
-        start = np.take_along_axis(start, np.minimum(shift, width), 1)
-        sym[row, best] = into
-        count = count - 1
-        rank[row, best] = _NEVER
-        for at in (best - 1, best):
-            good = np.flatnonzero((at >= 0) & (at < count - 1))
-            rank[good, at[good]] = candidates(good, at[good])
-    return out, sizes
+            taken.append((live, _place(best, right, end)))
+        sym[at], sym[base + right] = into[at], -1
+        after[at], before[base + end] = end, best
+        rank[row, right] = rank[row, best] = _NEVER
+        prior = before[at]
+        one, two = np.flatnonzero(prior >= 0), np.flatnonzero(end < size)
+        offer(np.concatenate([one, two]), np.concatenate([prior[one], best[two]]), np.concatenate([best[one], end[two]]), np.concatenate([end[one], after[base[two] + end[two]]]))
+    kept = matrix[:, :width] >= 0
+    count = kept.sum(axis=1)
+    out = np.full((n, width), -1, np.int32)
+    out[np.arange(width) < count[:, None]] = matrix[:, :width][kept]
+    return out, count
 
 
 def _segment(pieces: Pieces, symbol: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, dropout: float, taken: list | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
