@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_merge, exact_dedup, hidden_states, host_paths, line_crf, merge_dropout, mixing, rule_ensemble, sketch_join, warc
+from . import ball_kmeans, bwt_merge, exact_dedup, hidden_states, host_paths, line_crf, merge_dropout, mixing, rule_ensemble, secret_spans, sketch_join, token_alignment, warc
+from .oracles import KMEANS, SECRETS
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,18 @@ def op10_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_join.near_groups(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.digest(ball_kmeans.cluster_vectors(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.digest(secret_spans.scan(_table(spark, sf_dir, "documents"))).drop("n_random")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.tallied(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc_segments": op2_warc_segments,
@@ -70,9 +83,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hidden_states": op8_hidden_states,
     "op9_host_paths": op9_host_paths,
     "op10_sketch_join": op10_sketch_join,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_secret_spans": op12_secret_spans,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_ball_kmeans": KMEANS,
+    "op12_secret_spans": SECRETS,
     "op2_warc_segments": r"""
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest

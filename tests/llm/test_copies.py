@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parley import storage
 from parley.llm import bwt_merge, exact_dedup, shared, sketch_join
 
 from .conftest import SPACES, edge_rows, words
@@ -208,7 +209,7 @@ def test_written_tables_can_be_cleared(spark):
     shared.clear(spark)
     import os
 
-    assert not os.path.exists(path.removeprefix("file://")) and not shared._written
+    assert not os.path.exists(path.removeprefix("file://")) and not storage._written
 
 
 def test_many_rows_without_an_id(spark):
