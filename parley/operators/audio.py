@@ -11,35 +11,47 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import decibels
+from .blocks import BLOCK_MS, Block, blocks, laid, samples_of
 from .islands import ordered, runs
 
 FRAME_MS, HOP_MS = 25, 10
 
 
-def frame_energies(chunks: DataFrame, frame_ms: int = FRAME_MS, hop_ms: int = HOP_MS) -> DataFrame:
+def _frame_length(rate: int, frame_ms: int, hop_ms: int) -> tuple[int, int]:
+    return max(1, rate * frame_ms // 1000), max(1, rate * hop_ms // 1000)
+
+
+def _by_block(chunks: DataFrame, frame_ms: int, of_block, schema: str, block_ms: int) -> DataFrame:
+    """Apply ``of_block`` (a block to a frame of rows, or None) to blocks that hold a frame's length behind their own part."""
+    held = blocks(chunks, F.lit(0), samples_of(frame_ms), block_ms)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in laid(batches, lambda rate: -(-rate * frame_ms // 1000)):
+            found = of_block(block)
+            if found is not None and len(found):
+                yield found
+
+    return held.mapInPandas(run, f"file_id {dict(chunks.dtypes)['file_id']}, {schema}")
+
+
+def frame_energies(chunks: DataFrame, frame_ms: int = FRAME_MS, hop_ms: int = HOP_MS, block_ms: int = BLOCK_MS) -> DataFrame:
     """Root mean square, peak and spectral figures of short frames: (file_id, frame, start_ms, rms, peak, centroid_hz, flatness).
 
-    Chunks (file_id, chunk, start_ms, rate, samples) are framed on their own; a frame does not cross chunks.
+    ``chunks`` has file_id, start_ms, rate, samples. Frame k of a file begins k * ``hop_ms`` after its start; all frames that lie
+    within the file are there, also those that cross chunks, so results do not depend on how a file was cut.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                x, rate = np.asarray(row.samples, float), row.rate
-                size, hop = max(1, rate * frame_ms // 1000), max(1, rate * hop_ms // 1000)
-                if len(x) < size or not rate:
-                    continue
-                frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-                power = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)) ** 2 + 1e-12
-                hz = np.fft.rfftfreq(size, 1 / rate)
-                start = row.start_ms + np.arange(len(frames)) * hop_ms
-                yield pd.DataFrame({
-                    "file_id": row.file_id, "frame": start // hop_ms, "start_ms": start, "rms": np.sqrt((frames**2).mean(axis=1)), "peak": np.abs(frames).max(axis=1),
-                    "centroid_hz": power @ hz / power.sum(axis=1), "flatness": np.exp(np.log(power).mean(axis=1)) / power.mean(axis=1),
-                })
-
-    kind = dict(chunks.dtypes)["file_id"]
-    return chunks.select("file_id", "chunk", "start_ms", "rate", "samples").mapInPandas(run, f"file_id {kind}, frame long, start_ms long, rms double, peak double, centroid_hz double, flatness double")
+    def of_block(block: Block) -> pd.DataFrame:
+        size, hop = _frame_length(block.row.rate, frame_ms, hop_ms)
+        k, frames = block.frames(size, hop)
+        power = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)) ** 2 + 1e-12
+        hz = np.fft.rfftfreq(size, 1 / block.row.rate)
+        return pd.DataFrame({
+            "file_id": block.row.file_id, "frame": k, "start_ms": k * hop_ms, "rms": np.sqrt((frames**2).mean(axis=1)), "peak": np.abs(frames).max(axis=1, initial=0),
+            "centroid_hz": power @ hz / power.sum(axis=1), "flatness": np.exp(np.log(power).mean(axis=1)) / power.mean(axis=1),
+        })
+
+    return _by_block(chunks, frame_ms, of_block, "frame long, start_ms long, rms double, peak double, centroid_hz double, flatness double", block_ms)
 
 
 def drop_laps(chunks: DataFrame) -> DataFrame:
@@ -160,8 +172,8 @@ def loudness(frames: DataFrame, window: int = 40, gate_db: float = 10.0) -> Data
     return loud.groupBy("file_id").agg(decibels(F.sqrt(F.avg("p"))).alias("loudness_db"))
 
 
-def mel_energies(chunks: DataFrame, bands: int = 40, frame_ms: int = FRAME_MS, hop_ms: int = HOP_MS) -> DataFrame:
-    """Log energies in mel bands of each frame: (file_id, frame, mel array<float>)."""
+def mel_energies(chunks: DataFrame, bands: int = 40, frame_ms: int = FRAME_MS, hop_ms: int = HOP_MS, block_ms: int = BLOCK_MS) -> DataFrame:
+    """Log energies in mel bands of each frame: (file_id, frame, mel array<float>). Frames are those of ``frame_energies``."""
 
     def bank(rate: int, size: int) -> np.ndarray:
         mel = lambda hz: 2595 * np.log10(1 + hz / 700)
@@ -170,43 +182,14 @@ def mel_energies(chunks: DataFrame, bands: int = 40, frame_ms: int = FRAME_MS, h
         up, down = (hz - edges[:-2, None]) / np.diff(edges)[:-1, None], (edges[2:, None] - hz) / np.diff(edges)[1:, None]
         return np.maximum(0, np.minimum(up, down))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                x, size, hop = np.asarray(row.samples, float), max(1, row.rate * frame_ms // 1000), max(1, row.rate * hop_ms // 1000)
-                if len(x) < size or not row.rate:
-                    continue
-                frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-                power = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)) ** 2
-                mel = np.log(power @ bank(row.rate, size).T + 1e-10).astype(np.float32)
-                yield pd.DataFrame({"file_id": row.file_id, "frame": row.start_ms // hop_ms + np.arange(len(mel)), "mel": list(mel)})
-
-    kind = dict(chunks.dtypes)["file_id"]
-    return chunks.select("file_id", "start_ms", "rate", "samples").mapInPandas(run, f"file_id {kind}, frame long, mel array<float>")
+    def of_block(block: Block) -> pd.DataFrame:
+        size, hop = _frame_length(block.row.rate, frame_ms, hop_ms)
+        k, frames = block.frames(size, hop)
+        power = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)) ** 2
+        mel = np.log(power @ bank(block.row.rate, size).T + 1e-10).astype(np.float32)
+        return pd.DataFrame({"file_id": block.row.file_id, "frame": k, "mel": list(mel)})
 
-
-def pitch(chunks: DataFrame, low_hz: float = 60.0, high_hz: float = 400.0, frame_ms: int = 40, hop_ms: int = HOP_MS, voiced: float = 0.5) -> DataFrame:
-    """Pitch of each frame by its autocorrelation: (file_id, frame, hz), null where no period stands out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                x, size, hop = np.asarray(row.samples, float), row.rate * frame_ms // 1000, max(1, row.rate * hop_ms // 1000)
-                if not row.rate or len(x) < size:
-                    continue
-                frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-                frames = frames - frames.mean(axis=1, keepdims=True)
-                power = np.abs(np.fft.rfft(frames, 2 * size, axis=1)) ** 2
-                own = np.fft.irfft(power, axis=1)[:, :size]
-                lags = slice(int(row.rate / high_hz), int(row.rate / low_hz) + 1)
-                ratio = own[:, lags] / (own[:, :1] + 1e-12) * (size / (size - np.arange(size)[lags]))
-                best = ratio.argmax(axis=1)
-                hz = np.where(ratio[np.arange(len(best)), best] >= voiced, row.rate / (best + lags.start), np.nan)
-                yield pd.DataFrame({"file_id": row.file_id, "frame": row.start_ms // hop_ms + np.arange(len(hz)), "hz": hz})
-
-    kind = dict(chunks.dtypes)["file_id"]
-    found = chunks.select("file_id", "start_ms", "rate", "samples").mapInPandas(run, f"file_id {kind}, frame long, hz double")
-    return found.withColumn("hz", F.when(~F.isnan("hz"), F.col("hz")))
+    return _by_block(chunks, frame_ms, of_block, "frame long, mel array<float>", block_ms)
 
 
 def pitch_slope(pitches: DataFrame, hop_ms: int = HOP_MS) -> DataFrame:

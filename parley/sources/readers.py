@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Seconds of a chunk of decoded audio; a file never is one row.
-AUDIO_CHUNK_S = 30
+from . import sound
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
@@ -46,43 +40,9 @@ def cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("_broken is null").drop("_broken")
 
 
-def _decoded(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in -1..1 and rate of a PCM WAVE file; ValueError for anything else."""
-    try:
-        with wave.open(io.BytesIO(content)) as file:
-            width, channels, rate = file.getsampwidth(), file.getnchannels(), file.getframerate()
-            raw = np.frombuffer(file.readframes(file.getnframes()), np.uint8)
-    except (wave.Error, EOFError) as e:
-        raise ValueError(str(e)) from e
-    if width == 1:
-        data = (raw.astype(np.float32) - 128) / 128
-    elif width == 3:
-        data = ((raw[0::3].astype(np.int32) << 8 | raw[1::3].astype(np.int32) << 16 | raw[2::3].astype(np.int32) << 24) >> 8).astype(np.float32) / (1 << 23)
-    else:
-        data = raw.view(f"<i{width}").astype(np.float32) / (1 << (8 * width - 1))
-    return data.reshape(-1, channels).mean(axis=1), rate
-
-
-def audio(spark: SparkSession, path: str, chunk_s: int = AUDIO_CHUNK_S) -> DataFrame:
-    """WAVE files as chunk rows: (file_id, chunk, start_ms, rate, samples array<float>, error).
-
-    A file that cannot be decoded gives one row with the error and no samples.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select(F.col("path").alias("file_id"), "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file_id, content in zip(batch["file_id"], batch["content"]):
-                try:
-                    data, rate = _decoded(content)
-                except ValueError as e:
-                    yield pd.DataFrame({"file_id": [file_id], "chunk": [0], "start_ms": [0], "rate": [0], "samples": [np.zeros(0, np.float32)], "error": [str(e)]})
-                    continue
-                size = chunk_s * rate
-                for k in range(max(1, -(-len(data) // size))):
-                    yield pd.DataFrame({"file_id": [file_id], "chunk": [k], "start_ms": [k * chunk_s * 1000], "rate": [rate], "samples": [data[k * size : (k + 1) * size]], "error": [None]})
-
-    return files.mapInPandas(run, "file_id string, chunk long, start_ms long, rate int, samples array<float>, error string")
+def audio(spark: SparkSession, path: str, chunk_s: int = sound.CHUNK_S) -> DataFrame:
+    """PCM files as chunk rows: (file_id, chunk, start_ms, rate, samples array<float>, error); see ``sound.read``."""
+    return sound.read(spark, path, chunk_s)
 
 
 def tone(spark: SparkSession, seconds: int = 1, hertz: float = 440.0, rate: int = 16_000) -> DataFrame:

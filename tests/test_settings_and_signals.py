@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.config import Settings
-from parley.operators import audio
+from parley.operators import audio, voice
 
 CHUNK = "file_id string, chunk long, start_ms long, rate int, samples array<float>, error string"
 
@@ -30,7 +30,7 @@ def tone(spark):
 
 def test_pitch_and_filter(tone):
     clean = audio.high_pass(tone)
-    found = audio.pitch(clean.where("rate > 0"))
+    found = voice.pitch(clean.where("rate > 0"))
     assert found.agg(F.median("hz")).first()[0] == pytest.approx(200, rel=0.02)
     assert abs(audio.pitch_slope(found).first()["slope"]) < 1
     assert clean.count() == 2
