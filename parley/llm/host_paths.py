@@ -31,8 +31,18 @@ MARKS = COMMENTS | frozenset(
     "cookies footer gdpr menu modal nav navbar navigation newsletter notice popup promo promotion recommended related "
     "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
-#: A container is entered if it holds this share of the text around it.
-MAIN_SHARE = 0.6
+#: Elements that hold a piece of an article rather than a part of a page: marks drop them only if they are whole class names
+#: of ``FOREIGN``, have a word of ``SURELY``, or are lists of links.
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre hr figure figcaption caption legend summary tr tbody thead tfoot span a em strong b i small".split())
+FOREIGN = COMMENTS | frozenset("ad ads advert adverts advertisement advertising consent cookie cookies newsletter promo promotion sponsor sponsored".split())
+SURELY = frozenset("advert adverts advertisement advertising consent cookie cookies disqus gdpr newsletter sponsored".split())
+#: Class names and ids of headers of a site, not of an article.
+HEADERS = frozenset("header masthead site-header page-header top-header global-header".split())
+#: A container is entered if it holds this share of the text around it; a host's path is taken if its text is this share of what
+#: the page's own best container has.
+MAIN_SHARE, FAIR_SHARE = 0.6, 0.2
+#: Share of a page's text from which comments are what the page is about.
+COMMENTS_SHARE = 0.9
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -63,9 +73,11 @@ class Page:
         #: Of each container: tag and generalised classes, number of the one around it, tag.
         self.containers: list[tuple[str, int, str]] = [("", -1, "")]
         self.links = [0]
-        #: Containers whose class or id has one of the marks; those among them that hold comments.
+        #: Containers that by their element, role, class or id are not the article; those among them that hold comments, and
+        #: those that are small pieces of a page, which go only if they are links or foreign.
         self.marked: set[int] = set()
         self.comments: set[int] = set()
+        self.pieces: set[int] = set()
         self._read(html)
         self._settle()
 
@@ -134,27 +146,30 @@ class Page:
                         close(open_blocks[-1])
             _, inside, skipped, link = stack[-1]
             names = attributes(rest) if rest else {}
-            if tag in CONTAINER and not skipped:
-                self.containers.append((_label(tag, names), inside, tag))
-                self.links.append(0)
-                inside = len(self.containers) - 1
             if not skipped:
-                # Whether a marked container goes is settled at the end of the page.
-                words = set(_SPLIT.split(f"{names.get('class', '')} {names.get('id', '')}".lower())) if names else set()
+                # What is not shown and what is pressed is skipped; whether other suspects go is settled at the end of the page.
+                skipped = tag == "button" or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
+                whole = set(f"{names.get('class', '')} {names.get('id', '')}".lower().split()) if names else set()
+                words = {w for name in whole for w in _SPLIT.split(name)}
                 in_article = bool(open_tags.get("article") or open_tags.get("main"))
-                marked = tag not in ("html", "body", "main") and bool(words & MARKS)
-                if marked and tag in CONTAINER:
-                    self.marked.add(inside)
-                    if words & COMMENTS:
-                        self.comments.add(inside)
-                skipped = (
+                open_page = tag not in ("html", "body", "main")
+                foreign = bool(whole & FOREIGN or words & SURELY)
+                suspect = (
                     tag in NOT_ARTICLE
-                    or marked and tag not in CONTAINER
-                    or not in_article and tag not in ("html", "body", "main", "article") and (tag == "header" or bool(words & {"header", "masthead"}))
+                    or open_page and bool(words & MARKS)
+                    or open_page and tag != "article" and not in_article and (tag == "header" or bool(whole & HEADERS))
                     or names.get("role", "").lower() in ROLES
-                    or "hidden" in names
-                    or names.get("aria-hidden", "").lower() == "true"
                 )
+                if (tag in CONTAINER or suspect) and not skipped:
+                    self.containers.append((_label(tag, names), inside, tag))
+                    self.links.append(0)
+                    inside = len(self.containers) - 1
+                    if suspect:
+                        self.marked.add(inside)
+                        if words & COMMENTS:
+                            self.comments.add(inside)
+                        if tag in PIECES and not foreign:
+                            self.pieces.add(inside)
             if tag in BLOCK:
                 open_blocks.append(len(stack))
             open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -162,13 +177,14 @@ class Page:
         flush()
 
     def _settle(self) -> None:
-        """Drop marked containers, but for wrappers.
+        """Drop marked containers, but for wrappers, after all of them have been measured.
 
         Those are: around an unmarked article or main element; on pages that have none, with most of the page's text;
-        inside an article or main element, with most of its text, unless they hold comments.
+        inside an article or main element, with most of its text. Containers that are mostly links, and comments
+        that are not nearly all of the page, are no wrappers. Small pieces stay unless they are mostly links.
         """
         n = len(self.containers)
-        size = [0] * n
+        size, links = [0] * n, list(self.links)
         for text, c in self.blocks:
             size[c] += len(text)
         self.main = [c not in self.marked and tag in ("article", "main") for c, (_, _, tag) in enumerate(self.containers)]
@@ -178,17 +194,25 @@ class Page:
             inside_main = [-1] * n  # the innermost main element around a container
             for c in range(1, n):
                 around = self.containers[c][1]
-                within[c] = within[around] or c in self.marked
+                within[c] = within[around] or c in self.marked and c not in self.pieces
                 inside_main[c] = around if self.main[around] else inside_main[around]
             beside = any(m and not within[c] for c, m in enumerate(self.main))
             for c in range(n - 1, 0, -1):
                 around = self.containers[c][1]
                 size[around] += size[c]
+                links[around] += links[c]
                 around_main[around] |= around_main[c]
             for c in range(1, n):
                 main = inside_main[c]
-                if main >= 0:
-                    wrapper = c not in self.comments and 2 * size[c] > size[main]
+                linked = 2 * links[c] > size[c]
+                if c in self.pieces:
+                    wrapper = not linked
+                elif linked and not around_main[c]:
+                    wrapper = False
+                elif c in self.comments and size[c] < COMMENTS_SHARE * size[0] and not around_main[c]:
+                    wrapper = False
+                elif main >= 0:
+                    wrapper = 2 * size[c] > size[main]
                 else:
                     wrapper = not beside and (around_main[c] or not around_main[0] and 2 * size[c] > size[0])
                 dropped[c] = dropped[self.containers[c][1]] or c in self.marked and not wrapper
@@ -247,13 +271,14 @@ class Page:
 
 
 def main_text(html: str, path: str | None = None) -> str:
-    """Text of the containers with the given path; of the page's own best container where those have none."""
+    """Text of the containers with the given path; of the page's own best container where that has much more."""
     page = Page(html)
+    own = page.text({page.best()})
     if path is not None:
         found = page.text(page.at(path))
-        if found:
+        if found and len(found) >= FAIR_SHARE * len(own):
             return found
-    return page.text({page.best()})
+    return own
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -285,8 +310,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Each page's containers are scored, pages vote by host on generalised tag-class paths, and each page is read again
     with its host's winning path. Hosts' winners are broadcast only if they are small; else the pages are joined by
-    host, where adaptive execution splits a hot host. A page without such a path, or without text in it, gives the
-    text of its own best container. Null or empty html gives an empty text of 0 characters; a null or odd url belongs
+    host, where adaptive execution splits a hot host. A page without such a path, or with less than a
+    fifth of its own best container's text in it, gives the text of the latter. Null or empty html gives an empty text of 0 characters; a null or odd url belongs
     to the nameless host. White space is what Unicode calls so. Repeated rows give repeated results; further columns
     are ignored.
     """
