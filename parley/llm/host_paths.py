@@ -40,7 +40,7 @@ SURELY = frozenset("advert adverts advertisement advertising consent cookie cook
 HEADERS = frozenset("header masthead site-header page-header top-header global-header".split())
 #: A container is entered if it holds this share of the text around it; a host's path is taken if its text is this share of what
 #: the page's own best container has.
-MAIN_SHARE, FAIR_SHARE = 0.6, 0.2
+MAIN_SHARE, FAIR_SHARE = 0.6, 0.1
 #: Share of a page's text from which comments are what the page is about.
 COMMENTS_SHARE = 0.9
 
@@ -311,7 +311,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Each page's containers are scored, pages vote by host on generalised tag-class paths, and each page is read again
     with its host's winning path. Hosts' winners are broadcast only if they are small; else the pages are joined by
     host, where adaptive execution splits a hot host. A page without such a path, or with less than a
-    fifth of its own best container's text in it, gives the text of the latter. Null or empty html gives an empty text of 0 characters; a null or odd url belongs
+    tenth of its own best container's text in it, gives the text of the latter. Null or empty html gives an empty text of 0 characters; a null or odd url belongs
     to the nameless host. White space is what Unicode calls so. Repeated rows give repeated results; further columns
     are ignored.
     """

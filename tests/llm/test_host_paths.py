@@ -159,7 +159,7 @@ def slow_extract(rows: list[tuple]) -> dict[int, str]:
             stack.extend(c for c in n[2] if not isinstance(c, str))
         mine = "\n".join(slow_lines(own, lambda x: not named(x)))
         theirs = "\n".join(line for n in hits for line in slow_lines(n, lambda x: not named(x)))
-        out[i] = theirs if theirs and 5 * len(theirs) >= len(mine) else mine
+        out[i] = theirs if theirs and 10 * len(theirs) >= len(mine) else mine
     return out
 
 
