@@ -65,20 +65,35 @@ def balance(segments: DataFrame) -> DataFrame:
     return per.select("file_id", "speakers", F.when(F.col("n") > 1, F.col("e") / F.log2(F.col("n").cast("double"))).otherwise(0.0).alias("balance"))
 
 
-def pace(segments: DataFrame) -> DataFrame:
-    """Per file: length, speech, silence ratio, turns, their pace and mean length, interruptions per minute."""
-    files = segments.groupBy("file_id").agg(F.max("end_ms").alias("total_ms"), F.sum(_duration()).alias("speech_ms"))
-    own = turns(segments).groupBy("file_id").agg(F.count(F.lit(1)).alias("turns"), F.avg("duration_ms").alias("mean"))
-    cuts = flow_interruptions(segments).groupBy("file_id").agg(F.count(F.lit(1)).alias("cuts"))
-    rows = files.join(own, "file_id", "left").join(cuts, "file_id", "left")
+def _stepped(segments: DataFrame, most_ms: int = 5_000) -> DataFrame:
+    """Segments with what the one before tells, all from one window: whether a turn begins (_new), the start lies before the
+    last end (_cut), the gap to the last turn's end (_gap, null outside 0 to ``most_ms``)."""
+    w = ordered(["file_id"], _ORDER)
+    rows = segments.withColumns({"_ms": _duration(), "_new": ~F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) & (_duration() > 0), "_cut": F.lag("end_ms").over(w) > F.col("start_ms")})
+    ended = F.last(F.when(F.col("_new"), F.col("end_ms")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    gap = F.when(F.col("_new"), F.col("start_ms") - ended)
+    return rows.withColumn("_gap", F.when(gap.between(0, most_ms), gap))
+
+
+def _pace_sums() -> list:
+    new = F.col("_new")
+    return [
+        F.max("end_ms").alias("total_ms"), F.sum("_ms").alias("speech_ms"), F.count(F.when(new, 1)).alias("turns"), F.avg(F.when(new, F.col("_ms"))).alias("_mean"), F.count(F.when(F.col("_cut"), 1)).alias("interruptions"),
+    ]
+
+
+def _pace_columns() -> list:
     minutes = F.nullif(F.col("total_ms"), F.lit(0)) / 60000
     silence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("total_ms") - F.col("speech_ms")) / F.nullif(F.col("total_ms"), F.lit(0))))
-    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return rows.select(
-        "file_id", "total_ms", "speech_ms", F.coalesce(silence, F.lit(1.0)).alias("silence_ratio"), count("turns").alias("turns"),
-        F.coalesce(count("turns") / minutes, F.lit(0.0)).alias("turns_per_min"), F.coalesce(F.col("mean") / 1000, F.lit(0.0)).alias("avg_turn_sec"),
-        count("cuts").alias("interruptions"), F.coalesce(count("cuts") / minutes, F.lit(0.0)).alias("interruptions_per_min"),
-    )
+    return [
+        F.col("total_ms"), F.col("speech_ms"), F.coalesce(silence, F.lit(1.0)).alias("silence_ratio"), F.col("turns"), F.coalesce(F.col("turns") / minutes, F.lit(0.0)).alias("turns_per_min"),
+        F.coalesce(F.col("_mean") / 1000, F.lit(0.0)).alias("avg_turn_sec"), F.col("interruptions"), F.coalesce(F.col("interruptions") / minutes, F.lit(0.0)).alias("interruptions_per_min"),
+    ]
+
+
+def pace(segments: DataFrame) -> DataFrame:
+    """Per file: length, speech, silence ratio, turns, their pace and mean length, interruptions per minute; one exchange."""
+    return _stepped(segments).groupBy("file_id").agg(*_pace_sums()).select("file_id", *_pace_columns())
 
 
 def long_words(text="text"):
@@ -92,12 +107,20 @@ def topic_coherence(segments: DataFrame) -> DataFrame:
     Pairs with a segment without long words are left out; a file without pairs has coherence 0, one of a single
     segment 1.
     """
-    w = ordered(["file_id"], _ORDER)
-    rows = segments.withColumn("_own", long_words()).withColumn("_prev", F.lag("_own").over(w))
+    return _compared(segments).groupBy("file_id").agg(F.count("_sim").alias("pairs"), _coherence())
+
+
+def _compared(segments: DataFrame) -> DataFrame:
+    """Segments with the similarity of their long words to those of the segment before (_sim)."""
+    rows = segments.withColumn("_own", long_words())
+    rows = rows.withColumn("_prev", F.lag("_own").over(ordered(["file_id"], _ORDER)))
     said = F.col("_prev").isNotNull() & (F.size("_prev") > 0) & (F.size("_own") > 0)
-    rows = rows.withColumn("_sim", F.when(said, F.size(F.array_intersect("_own", "_prev")) / F.size(F.array_union("_own", "_prev"))))
+    return rows.withColumn("_sim", F.when(said, F.size(F.array_intersect("_own", "_prev")) / F.size(F.array_union("_own", "_prev")))).drop("_own", "_prev")
+
+
+def _coherence():
     alone = F.when(F.count(F.lit(1)) < 2, 1.0).otherwise(0.0)
-    return rows.groupBy("file_id").agg(F.count("_sim").alias("pairs"), F.coalesce(F.avg("_sim"), alone).alias("coherence"))
+    return F.coalesce(F.avg("_sim"), alone).alias("coherence")
 
 
 def energy_flow(segments: DataFrame, size_ms: int = 30_000, arousal: str | None = None) -> DataFrame:
@@ -121,6 +144,8 @@ def energy_flow(segments: DataFrame, size_ms: int = 30_000, arousal: str | None
 
 
 def metrics(segments: DataFrame) -> DataFrame:
-    """One row per file with the scalar flow metrics."""
-    rows = pace(segments).join(balance(segments), "file_id").join(topic_coherence(segments).drop("pairs"), "file_id")
-    return rows.join(latency_stats(segments).withColumnRenamed("count", "latencies"), "file_id")
+    """One row per file with the scalar flow metrics: one window in order and one aggregate, and the speakers' balance."""
+    zero = F.lit(0.0)
+    per = _stepped(_compared(segments)).groupBy("file_id").agg(*_pace_sums(), _coherence(), F.avg("_gap").alias("_avg"), F.median("_gap").alias("_median"), F.count("_gap").alias("latencies"))
+    rows = per.select("file_id", *_pace_columns(), "coherence", F.coalesce(F.col("_avg") / 1000, zero).alias("avg_sec"), F.coalesce(F.col("_median") / 1000, zero).alias("median_sec"), "latencies")
+    return rows.join(balance(segments), "file_id")

@@ -68,14 +68,18 @@ def moving_centroids(vectors: DataFrame, key: str, order: str, vector: str, alph
 
 
 def _average_linkage(x: np.ndarray, threshold: float, clusters: int | None) -> np.ndarray:
-    """Labels of average-linkage clustering by cosine distance, numbered by first row.
+    """Labels of average-linkage clustering by cosine distance, numbered by first row."""
+    return linkage(x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9), np.ones(len(x)), threshold, clusters)
+
+
+def linkage(totals: np.ndarray, size: np.ndarray, threshold: float, clusters: int | None) -> np.ndarray:
+    """The same over rows that stand for several vectors: ``totals`` are sums of unit vectors, ``size`` their numbers.
 
     Chains of nearest neighbours find the merges in a time that grows with the square of the rows; merges are then
     taken by their distance, as far as the threshold or until so many clusters are left.
     """
-    n = len(x)
-    unit_ = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
-    mean, size, alive = 1.0 - unit_ @ unit_.T, np.ones(n), np.ones(n, bool)
+    n = len(totals)
+    mean, size, alive = 1.0 - totals @ totals.T / np.outer(size, size), size.astype(float), np.ones(n, bool)
     np.fill_diagonal(mean, np.inf)
     merges: list[tuple[float, int, int]] = []
     chain: list[int] = []

@@ -28,10 +28,12 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_
     pairs = l_.join(r, meets).drop("_bucket")
     if how == "inner":
         return pairs.drop(*[f"r_{k}" for k in keys])
-    own, named = list(left.columns), [*keys, *row]
-    lone = left.join(pairs.select(*named).distinct(), named, "left_anti")
-    lone = lone.select(*own, *[F.lit(None).cast(kind).alias(f"r_{c}") for c, kind in right.dtypes if c not in keys])
-    return pairs.select(*own, *[f"r_{c}" for c in right.columns if c not in keys]).unionByName(lone)
+    named, more = [*keys, *row], [f"r_{c}" for c in right.columns if c not in keys]
+    found = pairs.select(*[F.col(c).alias(f"_left_{c}") for c in named], *more)
+    matched = F.lit(True)
+    for c in named:
+        matched = matched & (left[c] == found[f"_left_{c}"])
+    return left.join(found, matched, "left").select(*left.columns, *more)
 
 
 def overlap_ms(a: str = "", b: str = "r_") -> Column:

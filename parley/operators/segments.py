@@ -110,12 +110,17 @@ def share_words(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     length = F.col("end_ms") - F.col("start_ms")
     whole = F.sum(length).over(W.partitionBy(key))
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"\S+"), F.lit(0))
-    rows = spans.withColumn("_share", length / whole).join(texts.select(key, words.alias("_words")), key).where(F.size("_words") > 0)
-    rows = rows.withColumn("_n", F.greatest(F.lit(1), F.floor(F.size("_words") * F.col("_share")).cast("int")))
+    said = texts.select(F.col(key).alias("_key"), words.alias("_words")).where(F.size("_words") > 0)
+    # Only the number of words goes to the spans; the places they get come back, so a text's words stay in one row.
+    counted = said.select("_key", F.size("_words").alias("_all"))
+    rows = spans.withColumn("_share", length / whole).join(counted, F.col(key) == F.col("_key")).drop("_key")
+    rows = rows.withColumn("_n", F.greatest(F.lit(1), F.floor(F.col("_all") * F.col("_share")).cast("int")))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_at", before.cast("int"))
-    text = F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_n")), " ")
-    return rows.select(key, "ord", F.when(text == "", "[silence]").otherwise(text).alias("text"))
+    places = rows.select(key, F.struct("ord", before.cast("int").alias("at"), "_n").alias("p")).groupBy(key).agg(F.collect_list("p").alias("_p"))
+    each = places.join(said, F.col(key) == F.col("_key"))
+    text = lambda p: F.array_join(F.slice("_words", p["at"] + 1, p["_n"]), " ")
+    each = each.select(key, F.explode(F.transform("_p", lambda p: F.struct(p["ord"].alias("ord"), text(p).alias("text")))).alias("s"))
+    return each.select(key, "s.ord", F.when(F.col("s.text") == "", "[silence]").otherwise(F.col("s.text")).alias("text"))
 
 
 def words_to_spans(words: DataFrame, spans: DataFrame, bucket_ms: int = 10_000) -> DataFrame:

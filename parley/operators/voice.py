@@ -120,7 +120,8 @@ def cepstral_peak(frames: np.ndarray, rate: int, low_hz: float = LOW_HZ, high_hz
 
 
 def voice_frames(chunks: DataFrame, low_hz: float = LOW_HZ, high_hz: float = HIGH_HZ, hop_ms: int = HOP_MS, unvoiced: float = UNVOICED, block_ms: int = BLOCK_MS) -> DataFrame:
-    """Voice figures of frames: (file_id, frame, start_ms, hz, aperiodicity, jitter, shimmer_db, hnr_db, cpp_db, low_mag, high_mag).
+    """Figures of frames: (file_id, frame, start_ms, db, centroid_hz, flatness, hz, aperiodicity, jitter, shimmer_db, hnr_db, cpp_db,
+    low_mag, high_mag).
 
     Frame k has its middle k * ``hop_ms`` after the file's start and two longest periods and a bit of samples; files see silence
     around them. ``hz`` is null where nothing repeats (aperiodicity from ``unvoiced`` on, or silence), and jitter, shimmer
@@ -150,15 +151,17 @@ def voice_frames(chunks: DataFrame, low_hz: float = LOW_HZ, high_hz: float = HIG
             level = 20 * np.log10(np.maximum(heights, 1e-12))
             shimmer = np.abs(np.diff(level, axis=1)).mean(axis=1)
             spectrum, hz = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)), np.fft.rfftfreq(size, 1 / rate)
+            power = spectrum**2 + 1e-12
             edges = [int(np.abs(hz - min(h, rate / 2)).argmin()) for h in SLOPE_HZ]
             out = pd.DataFrame({
-                "file_id": block.row.file_id, "frame": k, "start_ms": k * hop_ms, "hz": rate / period, "aperiodicity": rough, "jitter": jitter, "shimmer_db": shimmer,
+                "file_id": block.row.file_id, "frame": k, "start_ms": k * hop_ms, "db": 10 * np.log10((frames**2).mean(axis=1) + 1e-12),
+                "centroid_hz": power @ hz / power.sum(axis=1), "flatness": np.exp(np.log(power).mean(axis=1)) / power.mean(axis=1), "hz": rate / period, "aperiodicity": rough, "jitter": jitter, "shimmer_db": shimmer,
                 "hnr_db": harmonicity(frames, period), "cpp_db": cepstral_peak(around[:, wide // 4 : -(wide // 4)], rate, low_hz, high_hz), "low_mag": spectrum[:, edges[0]], "high_mag": spectrum[:, edges[1]],
             })
             out.loc[~voiced, ["hz", "jitter", "shimmer_db", "hnr_db"]] = np.nan
             yield out
 
-    names = ("hz", "aperiodicity", "jitter", "shimmer_db", "hnr_db", "cpp_db", "low_mag", "high_mag")
+    names = ("db", "centroid_hz", "flatness", "hz", "aperiodicity", "jitter", "shimmer_db", "hnr_db", "cpp_db", "low_mag", "high_mag")
     found = held.mapInPandas(run, f"file_id {dict(chunks.dtypes)['file_id']}, frame long, start_ms long, " + ", ".join(f"{n} double" for n in names))
     return found.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in ("hz", "jitter", "shimmer_db", "hnr_db")})
 

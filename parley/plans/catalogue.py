@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import audio, flow, folds, identity, intervals, islands, overlap, rollup, segments, timeline
-from ..sources import sinks, tables
+from .. import storage
+from ..operators import audio, carried, clusters, denoise, dynamics, features, flow, folds, identity, intervals, islands, nearest, overlap, rollup, segments, timeline, voice
+from ..sources import sinks, sound, stages, tables
 from ..streaming import events as streams
+from ..streaming import timed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +25,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _add(name: str, source: str, build: Callable[[DataFrame], DataFrame]) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        view = {"segments": ("conversations", tables.segments), "frames": ("events", tables.frames)}.get(source)
+        view = {"segments": ("conversations", tables.segments), "frames": ("events", tables.frames), "sound": ("embeddings", tables.sound)}.get(source)
         rows = view[1](tables.table(spark, folder, view[0])) if view else tables.table(spark, folder, source)
         return rounded(build(rows))
 
@@ -243,13 +245,12 @@ def _report(s: DataFrame) -> DataFrame:
     return sinks.quality_report(rows).select(F.col("file_id").cast("long").alias("file_id"), "segments", "speakers", "flagged", "vq_jitter_pct_mean")
 
 
-def _gate(r: DataFrame) -> DataFrame:
-    """Made-up audio: a piece for each region, with quiet and loud stretches."""
-    key = F.col("r_regionkey")
-    rows = r.select(key.alias("key"), F.explode(F.sequence(F.lit(0), (key + 1) * 700)).alias("pos"))
-    x = ((F.col("pos") * 7919 + F.col("key") * 31) % 2001 - 1000) / 1000.0
-    loud = F.when(F.col("pos") % 500 < 350, F.when(F.col("key") == 3, 0.9).otherwise(0.01)).otherwise(F.when(F.col("key") == 4, 1.2).otherwise(0.9))
-    return audio.quality_gate(rows.select("key", "pos", (x * loud).alias("x")), 8_000)
+def _gate(e: DataFrame) -> DataFrame:
+    """Forty vectors a piece of sound: most are quiet for two vectors of three, some are clipped, some end early."""
+    key, place = F.floor(F.col("vec_id") / 40), F.col("vec_id") % 40
+    level = F.when(key % 5 == 4, 8.0).when(F.col("vec_id") % 3 == 0, 1.0).otherwise(0.015625)
+    rows = e.where((key % 5 != 3) | (place < 8)).select(key.alias("key"), place.alias("place"), level.alias("level"), F.posexplode("embedding").alias("i", "x"))
+    return audio.quality_gate(rows.select("key", (F.col("place") * 64 + F.col("i")).alias("pos"), (F.col("x").cast("double") * F.col("level")).alias("x")), 8_000)
 
 
 def _scored(s: DataFrame) -> DataFrame:
@@ -332,7 +333,7 @@ _add("moments_in_order", "segments", lambda s: rollup.moments_in_order(_scored(s
 _add("quick_take", "segments", lambda s: rollup.quick_take(_scored(s)))
 _add("tuner_notes", "events", _notes)
 _add("clock_formats", "events", _clocks)
-_add("audio_quality_gate", "region", _gate)
+_add("audio_quality_gate", "embeddings", _gate)
 _add("event_rows", "frames", lambda f: sinks.formatted_events(timeline.events_to_exit(f)))
 _add("schema_completion", "segments", _completed)
 _add("midpoint_overlap_split", "segments", segments.split_overlaps)
@@ -343,6 +344,61 @@ _add("cache_left_anti", "conversations", _uncached)
 _add("qc_summary", "segments", _report)
 
 
+# Sound: fifty vectors a file. Blocks are short, so that frames and gains cross them.
+def _played(chunks: DataFrame) -> DataFrame:
+    """Files of sound that were written and read again, in chunks of a second and ranges of 1,000 bytes."""
+    path = storage.new_path(chunks.sparkSession, "played")
+    sound.write(chunks, path)
+    rows = sound.read(chunks.sparkSession, path, 1, 1_000)
+    number = F.regexp_extract("file_id", r"(\d+)\.wav$", 1).cast("long")
+    each = rows.select(number.alias("file_id"), F.posexplode("samples").alias("pos", "x"), "chunk").select("file_id", (F.floor((F.col("chunk") * 8_000 + F.col("pos")) / 400)).alias("chunk"), F.col("x").cast("double").alias("x"))
+    return each.groupBy("file_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), F.max(F.abs("x")).alias("peak"))
+
+
+def _lengths(chunks: DataFrame) -> DataFrame:
+    path = storage.new_path(chunks.sparkSession, "played")
+    sound.write(chunks, path)
+    return sound.durations(chunks.sparkSession, path).withColumn("file_id", F.regexp_extract("file_id", r"(\d+)\.wav$", 1).cast("long"))
+
+
+_add("audio_durations", "sound", _lengths)
+_add("audio_decoded", "sound", _played)
+_add("audio_frames", "sound", lambda s: audio.frame_energies(s, block_ms=100))
+_add("gain_curve", "sound", lambda s: dynamics.gain_curve(s, block_ms=100))
+_add("denoise_energies", "sound", lambda s: denoise.residuals(s, block_ms=100))
+_add("voice_figures", "sound", lambda s: voice.voice_frames(s, block_ms=100))
+QUERIES["voice_pitch"] = lambda spark, folder: QUERIES["voice_figures"](spark, folder).select("file_id", "frame", F.round("hz", 4).alias("hz"), "aperiodicity")
+
+
+def _features(spark: SparkSession, folder: str) -> DataFrame:
+    seg = tables.segments(tables.table(spark, folder, "conversations"))
+    return rounded(features.segment_features(seg, tables.voiced_frames(tables.table(spark, folder, "events")), 200).drop("speaker", "text", "start_ms", "end_ms"))
+
+
+QUERIES["segment_features"] = _features
+
+
+# Models, clusters and large registries.
+def _pruned(e: DataFrame) -> DataFrame:
+    """Every vector against those whose id is divisible by 20 as names."""
+    names = e.where("vec_id % 20 = 0").select(F.format_string("v%010d", "vec_id").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("centroid"))
+    return nearest.match_pruned(e, names, "vec_id", "embedding")[0].select("vec_id", "name", F.round("similarity", 5).alias("similarity"))
+
+
+def _staged(s: DataFrame) -> DataFrame:
+    """Two stages that write their rows; counts are observed as they do."""
+    log = stages.Stages(s.sparkSession)
+    kept = log.run("segments", s.where("end_ms > start_ms"), lambda df: storage.materialise(df, "stage"), {"ms": F.sum(F.col("end_ms") - F.col("start_ms")), "silent": F.count(F.when(F.col("text") == "", 1))})
+    log.run("speakers", rollup.core(_with_words(kept)), lambda df: storage.materialise(df, "stage"), {"words": F.sum("words")})
+    return log.table().select("stage", "rows", F.explode("counts").alias("count", "n"))
+
+
+_add("carried_scores", "sound", lambda s: carried.infer_carried(s, carried.LevelGate, 64, 16))
+_add("leveled_clusters", "embeddings", lambda e: clusters.cluster_in_levels(e.withColumn("file_id", F.floor(F.col("vec_id") / 200)), "file_id", "vec_id", "embedding", 0.5, part=50))
+_add("nearest_pruned", "embeddings", _pruned)
+_add("stage_counts", "segments", _staged)
+
+
 # Streams, drained into a table in the shared folder.
 def _add_stream(name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
@@ -357,3 +413,23 @@ _add_stream("stream_tumbling", streams.tumbling, "complete")
 _add_stream("stream_sliding", streams.sliding, "complete")
 _add_stream("stream_session", streams.sessions, "complete")
 _add_stream("stream_hysteresis", lambda e: streams.switch_events(e.withColumn("score", F.col("value")), 50.0, 35.0), "append")
+
+
+# Streams whose state ends: only what the watermark has closed comes out.
+def _add_timed(name: str, table: str, build: Callable[[DataFrame], DataFrame], mode: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        stream = streams.read_events(spark, f"{folder}/{table}.parque[t]", tables.table(spark, folder, table).schema)
+        return rounded(then(timed.drain_timed(build(stream), f"{name}_out", mode)), 4 if name == "stream_tumbling_closed" else 6)
+
+    QUERIES[name] = query
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    best = rows.groupBy("key").agg(F.max_by("centroid", "samples").alias("c"), F.max("samples").alias("samples"))
+    return best.select(F.col("key").alias("label"), "samples", F.posexplode("c").alias("place", "x"))
+
+
+_add_timed("stream_tumbling_closed", "events", streams.tumbling, "append")
+_add_timed("stream_session_closed", "events", streams.sessions, "append")
+_add_timed("stream_switch_timed", "events", lambda e: timed.timed_switches(e.withColumn("score", F.col("value")), 50.0, 35.0, 3 * 86_400_000), "append")
+_add_timed("stream_moving_centroids", "embeddings", lambda e: timed.moving_centroids(e.withColumn("ts", F.timestamp_seconds(F.col("vec_id") + 86_400)), "label", "vec_id", "embedding", "ts"), "append", _newest)

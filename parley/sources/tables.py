@@ -46,3 +46,29 @@ def registry(embeddings: DataFrame) -> DataFrame:
     from ..operators.identity import centroids
 
     return centroids(embeddings, "label", "embedding").select(F.concat(F.lit("speaker_"), F.col("label").cast("string")).alias("name"), "samples", "centroid")
+
+
+#: Vectors of a file of sound, and its rate.
+FILE_VECTORS, SOUND_RATE = 50, 8_000
+
+
+def sound(embeddings: DataFrame) -> DataFrame:
+    """Vectors as chunks of sound, fifty a file one after the other: (file_id, start_ms, rate, samples).
+
+    Every ten vectors the level falls by 24 decibels, then begins anew.
+    """
+    place = F.col("vec_id") % FILE_VECTORS
+    quieter = F.pow(F.lit(2.0), -4.0 * (1 + F.floor(F.col("vec_id") / 10) % 4))
+    samples = F.transform("embedding", lambda x: (x * quieter).cast("float"))
+    return embeddings.select(F.floor(F.col("vec_id") / FILE_VECTORS).alias("file_id"), (place * 64 * 1000 / SOUND_RATE).cast("long").alias("start_ms"), F.lit(SOUND_RATE).alias("rate"), samples.alias("samples"))
+
+
+def voiced_frames(events: DataFrame) -> DataFrame:
+    """A user's events as frames of sound, every 200 ms, with made-up figures."""
+    number = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    i, voiced = F.col("event_id"), F.col("event_type").isin("click", "view")
+    figures = {
+        "db": F.col("value") - 80, "hz": F.when(voiced, 80 + 2 * F.col("value")), "centroid_hz": 500 + i % 97 * 10.0, "flatness": i % 89 / 89.0, "jitter": F.when(voiced, i % 7 / 100.0),
+        "shimmer_db": F.when(voiced, i % 5 / 4.0), "hnr_db": F.when(voiced, i % 31 * 1.0), "cpp_db": i % 17 * 1.0, "low_mag": 1.0 + i % 3, "high_mag": 0.1 + i % 4 / 10.0,
+    }
+    return events.select(F.col("user_id").alias("file_id"), ((number - 1) * 200).alias("start_ms"), *[c.alias(n) for n, c in figures.items()])
