@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 #: Texts are handled in slices of about this many bytes, which bounds a task's memory; a longer text is a slice alone.
 SLICE_BYTES = 500_000
 
+#: Longest span that is hashed as one sum.
+HASHED_BYTES = 128
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -104,13 +107,31 @@ def prefix_hash(data: np.ndarray, value: np.ndarray = BYTE_VALUE) -> np.ndarray:
     return total
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand, in any batch."""
+def _span_sums(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     _, down = powers(len(prefix))
     with np.errstate(over="ignore"):
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand, in any batch.
+
+    Sums of powers modulo 2**64 collide by construction for some pairs of spans of 1,024 bytes and more. So a span beyond
+    ``HASHED_BYTES`` is cut into parts of that length from its start on, whose hashes are mixed with their places and added.
+    """
+    out = _span_sums(prefix, starts, ends)
+    long = np.flatnonzero(ends - starts > HASHED_BYTES)
+    if len(long):
+        first, last = starts[long], ends[long]
+        n = -(-(last - first) // HASHED_BYTES)
+        row, place = ragged(n)
+        begin = first[row] + place * HASHED_BYTES
+        with np.errstate(over="ignore"):
+            part = mix(_span_sums(prefix, begin, np.minimum(begin + HASHED_BYTES, last[row])) + (place + 1).astype(np.uint64) * _BASE)
+            out[long] = mix(np.add.reduceat(part, np.cumsum(n) - n) + (last - first).astype(np.uint64))
+    return out
+
+
 def sequence_hash(values: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` consecutive values; run i starts at value i."""
     if len(values) < width:
