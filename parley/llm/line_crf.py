@@ -142,11 +142,17 @@ def spliced(good: list[np.ndarray], poor: list[np.ndarray], seed: int = 7, run:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> LineField | None:
+def spread_lines(n: int, lines: int) -> np.ndarray:
+    """Places of at most ``lines`` of ``n`` lines, evenly over all of them."""
+    return np.arange(n) if n <= lines else np.linspace(0, n - 1, lines).round().astype(np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, lines: int = FIT_LINES) -> LineField | None:
     """Fit on runs of lines of good and of poor labelled documents, spliced so that the labels change within a sequence.
 
     Rows of the held-out third are never used, so agreement can be measured on them. At most ``documents`` of each class
-    are; their lines' features are what reaches the driver.
+    are, and of a text with more than ``lines`` lines so many, spread evenly over the whole text. They are chosen in the
+    tasks, so the driver gets 2 * ``documents`` * ``lines`` rows of features at most, whatever the length of a text.
     """
     sample = labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), documents)
 
@@ -155,11 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> L
             for part in ta.slices(batch, "text"):
                 texts = Texts(part.column("text"))
                 rows = np.split(texts.line_features(), np.cumsum(np.bincount(texts.line_row, minlength=texts.n))[:-1])
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "features": pa.array([r.tobytes() for r in rows], pa.binary())})
+                chosen = [np.ascontiguousarray(r[spread_lines(len(r), lines)]).tobytes() for r in rows]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "features": pa.array(chosen, pa.binary())})
 
     rows = sample.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, features binary").orderBy("doc_id", "features").toPandas()
     width = len(LINE_FEATURES)
-    good, poor = ([np.frombuffer(f, bool).reshape(-1, width)[:FIT_LINES] for f, y in zip(rows["features"], rows["label"]) if y == label] for label in (1, 0))
+    good, poor = ([np.frombuffer(f, bool).reshape(-1, width) for f, y in zip(rows["features"], rows["label"]) if y == label] for label in (1, 0))
     return fit_field(spliced(good, poor))
 
 

@@ -115,3 +115,18 @@ def test_labels_of_held_out_rows_are_never_used(labelled):
     docs, labels = labelled
     turned = labels.withColumn("quality", F.when(rule_ensemble.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert rule_ensemble.fit(docs, labels, rows=60) == rule_ensemble.fit(docs, turned, rows=60)
+
+
+def test_fit_covers_long_texts_and_bounds_what_the_driver_gets(spark, monkeypatch):
+    """A text of 300,000 lines gives as many lines as any other, from its end too."""
+    good = "\n".join(["plain words of a good line, with a stop."] * 150_000 + ["$$$ | ### | $$$"] * 150_000)
+    docs = spark.createDataFrame([(k, good if k == 7 else poor(k)) for k in range(12)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") == 7).cast("int").alias("quality"))
+    seen = []
+    monkeypatch.setattr(line_crf, "spliced", lambda good_, poor_: seen.extend([list(good_), list(poor_)]) or [])
+    monkeypatch.setattr(line_crf, "fit_field", lambda texts: None)
+    assert zlib.crc32(b"7") % 3 != 1  # not held out
+    line_crf.fit(docs, labels, lines=40)
+    assert len(seen[0]) == 1 and len(seen[0][0]) == 40 and all(len(p) <= 40 for p in seen[1])
+    assert (seen[0][0][1] != seen[0][0][-2]).any()
+    assert line_crf.spread_lines(5, 9).tolist() == [0, 1, 2, 3, 4] and line_crf.spread_lines(1_000, 3).tolist() == [0, 500, 999]
