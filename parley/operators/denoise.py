@@ -150,7 +150,7 @@ def masks(mag: np.ndarray, noise: np.ndarray, how: Subtraction, mild: bool, smoo
     left = mag - over * noise
     clean = np.maximum(left, floor * noise)
     mask = (clean / (clean + over * noise + 1e-12)) ** how.exponent
-    if smooth and how.smooth > 1:
+    if smooth and how.smooth > 1 and len(mask):
         half = how.smooth // 2
         wide = np.pad(mask, ((half, half), (0, 0)), mode="symmetric")
         mask = np.median(np.lib.stride_tricks.sliding_window_view(wide, how.smooth, axis=0), axis=-1)
@@ -226,6 +226,8 @@ def residuals(chunks: DataFrame, how: Subtraction = Subtraction(), block_ms: int
 
     def sums(block: Block) -> pd.DataFrame:
         k, s, mask = _own_masks(block, how, 0)
+        if not len(k):  # the block holds the end of a halo alone
+            return None
         mag = np.abs(s)
         return pd.DataFrame({"file_id": [block.row.file_id], "stretch": block.row.stretch, "frames": len(k), "energy": (mag**2).sum(), "residual": ((mask * mag) ** 2).sum()})
 

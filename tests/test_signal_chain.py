@@ -76,6 +76,9 @@ def test_subtraction_takes_noise_and_leaves_speech(spark):
     assert (y[still] ** 2).mean() < 0.25 * (x[still] ** 2).mean() and np.corrcoef(y, pure)[0, 1] > 0.97
     energies = D.residuals(cut(spark, x, RATE, 700)).first()
     assert energies.residual < energies.energy and energies.frames == len(x) // 20 + 1
+    for n in (1, 160, 321):  # files whose halo reaches into a block without any frame
+        short = cut(spark, x[:n], RATE, 1_000)
+        assert D.residuals(short, block_ms=80).first().frames == n // 20 + 1 and len(joined(D.denoise(short, block_ms=80)[0].collect())) == n
     empty = spark.createDataFrame([], CHUNK)
     assert D.denoise(empty)[0].count() == 0 and D.residuals(empty).count() == 0
 
