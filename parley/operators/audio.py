@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import decibels
 from .blocks import BLOCK_MS, Block, blocks, laid, samples_of
+from .folds import fold
 from .islands import ordered, runs
 
 FRAME_MS, HOP_MS = 25, 10
@@ -134,19 +135,20 @@ def voiced_regions(frames: DataFrame, enter_db: float = -35.0, hop_ms: int = HOP
 
 
 def smooth(frames: DataFrame, value: str, alpha: float) -> DataFrame:
-    """Exponential smoothing of a file's frames in order: s = s + alpha (x - s), from the first value on.
+    """Exponential smoothing of a file's frames in order: s = s + alpha (x - s), from the first value on; adds ``<value>_smooth``.
 
-    As a weighted sum over the last frames: weights below 1e-6 are left out, so a window bounds what is looked at.
+    A fold that holds one number, so the recursion is exact for files of any length; null values leave it as it is.
     """
-    reach = max(1, int(np.ceil(np.log(1e-6) / np.log(1 - alpha)))) if alpha < 1 else 1
-    w = ordered(["file_id"], ["frame"])
-    place = F.row_number().over(w) - 1
-    near = F.collect_list(value).over(w.rowsBetween(-reach, 0))
-    rows = frames.withColumn("_p", place).withColumn("_near", near)
-    n = F.size("_near")
-    weight = lambda i: F.when((i == 0) & (F.col("_p") == n - 1), F.pow(F.lit(1 - alpha), (n - 1).cast("double"))).otherwise(alpha * F.pow(F.lit(1 - alpha), (n - 1 - i).cast("double")))
-    terms = F.transform("_near", lambda x, i: x * weight(i))
-    return rows.withColumn(f"{value}_smooth", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)).drop("_p", "_near")
+    rows = frames.select("file_id", *[c for c in frames.columns if c != "file_id"])
+    at = rows.columns.index(value)
+
+    def step(state: float | None, row: tuple) -> tuple[float | None, list[tuple]]:
+        x = row[at]
+        state = state if x is None else x if state is None else state + alpha * (x - state)
+        return state, [(*row, state)]
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in [*rows.dtypes, (f"{value}_smooth", "double")])
+    return fold(rows, "file_id", ["frame"], step, lambda *_: [], schema)
 
 
 def hann_smooth(frames: DataFrame, keys: Sequence[str], value: str, width: int, order: str = "frame") -> DataFrame:
