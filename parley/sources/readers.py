@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +30,33 @@ def label_groups(spark: SparkSession, path: str) -> DataFrame:
 def speaker_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry of a JSON file, flat or wrapped with metadata: (name, centroid, samples, last_seen)."""
     entry = "struct<centroid:array<float>,samples:bigint,last_seen:string>"
-    text = spark.read.text(path, wholetext=True).select("value")
+    text = _objects(spark, path)
     wrapped = F.from_json("value", f"struct<speakers:map<string,{entry}>>")["speakers"]
     flat = F.map_filter(F.from_json("value", f"map<string,{entry}>"), lambda _, v: v["centroid"].isNotNull())
     return text.select(F.explode(F.coalesce(wrapped, flat)).alias("name", "e")).select("name", "e.centroid", "e.samples", "e.last_seen")
 
 
+def _objects(spark: SparkSession, path: str) -> DataFrame:
+    """JSON objects of the files of a path, one a row: whole files, or lines that each begin an object."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
+
+
+def registry_metadata(spark: SparkSession, path: str) -> dict[str, object]:
+    """What a registry says beside its speakers (version, config, metadata, times); empty for a flat registry."""
+    fields = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: k != "speakers")
+    # Entries of a flat registry are objects with a centroid.
+    own = F.map_filter(fields, lambda _, v: F.get_json_object(v, "$.centroid").isNull())
+    rows = _objects(spark, path).select(F.explode(own).alias("k", "v")).distinct().collect()
+
+    def value(text: str | None) -> object:
+        try:
+            return json.loads(text)
+        except (TypeError, ValueError):
+            return text
+
+    return {r.k: value(r.v) for r in rows}
+
+
 def cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON rows of a cache; rows that cannot be read are left out."""
     rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)

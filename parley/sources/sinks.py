@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from datetime import UTC, datetime
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -67,10 +69,24 @@ def quality_report(rows: DataFrame) -> DataFrame:
     )
 
 
-def registry_json(registry: DataFrame, path: str, version: str = "1.0") -> None:
-    """Registry rows (name, centroid, samples, last_seen) as JSON lines; readers take the parts of the folder together."""
-    rows = registry.select(F.map_from_arrays(F.array("name"), F.array(F.struct("centroid", "samples", "last_seen"))).alias("speakers"))
-    rows.select(F.lit(version).alias("version"), "speakers").write.mode("overwrite").json(path)
+def registry_json(registry: DataFrame, path: str, version: str = "1.0", kept: dict[str, object] | None = None, now: str | None = None) -> None:
+    """Registry rows (name, centroid, samples, last_seen) as JSON lines; readers take the parts of the folder together.
+
+    The first line has what stands beside the speakers: ``kept`` (what ``readers.registry_metadata`` found: config, metadata
+    and others, with their version, else ``version``), the time of the first and of this save, and in metadata the number
+    of speakers. Names are not gathered: each is a line of its own. An empty ``kept`` writes a flat registry without it.
+    """
+    now = now or datetime.now(UTC).replace(microsecond=0).isoformat().replace("+00:00", "Z")
+    entry = F.struct(*[F.col(c) if c in registry.columns else F.lit(None).cast("string").alias(c) for c in ("centroid", "samples", "last_seen")])
+    rows = registry.select(F.map_from_arrays(F.array("name"), F.array(entry)).alias("speakers"))
+    if kept == {}:
+        rows.select(F.to_json("speakers").alias("value")).write.mode("overwrite").text(path)
+        return
+    head = {"version": version, "created_at": now, **(kept or {}), "updated_at": now}
+    head["metadata"] = {**(head.get("metadata") or {}), "total_speakers": registry.count()}
+    said = F.lit(json.dumps(head))
+    first = rows.sparkSession.range(1).select(F.from_json(said, F.schema_of_json(said)).alias("h"), F.create_map().cast(rows.schema["speakers"].dataType).alias("speakers")).select("h.*", "speakers")
+    first.unionByName(rows, allowMissingColumns=True).write.mode("overwrite").json(path)
 
 
 def report_sections(segments: DataFrame, moments: int = 10) -> dict[str, DataFrame]:

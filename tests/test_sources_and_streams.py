@@ -39,6 +39,22 @@ def test_registries(spark, tmp_path):
     assert {k for x in lines for k in x["speakers"]} == {"Ann", "Bob"}
 
 
+def test_a_registry_keeps_what_it_says_beside_its_speakers(spark, tmp_path):
+    old = {"version": "1.0.0", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z", "config": {"max_speakers": 10, "list": [1, 2]}, "metadata": {"total_speakers": 1, "total_sessions": 5}, "speakers": {"Ann": {"centroid": [0.1, 0.2], "samples": 2, "last_seen": "before"}}}
+    (tmp_path / "old.json").write_text(json.dumps(old, indent=2))
+    kept = readers.registry_metadata(spark, str(tmp_path / "old.json"))
+    assert kept == {k: v for k, v in old.items() if k != "speakers"}
+    more = spark.createDataFrame([(f"n{k}", [0.5, float(k)], k, "now") for k in range(30)], "name string, centroid array<float>, samples long, last_seen string")
+    people = readers.speaker_registry(spark, str(tmp_path / "old.json")).unionByName(more).coalesce(2)
+    sinks.registry_json(people, str(tmp_path / "new"), kept=kept, now="2025-01-01T00:00:00Z")
+    again = readers.registry_metadata(spark, str(tmp_path / "new"))
+    assert again == {**kept, "updated_at": "2025-01-01T00:00:00Z", "metadata": {"total_speakers": 31, "total_sessions": 5}}
+    found = {r["name"]: r for r in readers.speaker_registry(spark, str(tmp_path / "new")).collect()}
+    assert len(found) == 31 and found["Ann"]["last_seen"] == "before" and found["n29"]["samples"] == 29
+    sinks.registry_json(people, str(tmp_path / "flat"), kept={})
+    assert readers.speaker_registry(spark, str(tmp_path / "flat")).count() == 31 and readers.registry_metadata(spark, str(tmp_path / "flat")) == {}
+
+
 def test_broken_cache_rows_are_left_out(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"k": "a", "n": 1}\n{broken\n{"k": "b", "n": 2}\n')
     assert [r["k"] for r in readers.cache(spark, str(tmp_path / "c.json"), "k string, n long").orderBy("k").collect()] == ["a", "b"]
