@@ -155,17 +155,6 @@ SQL["segment_features"] = SEG + TOKENS.replace("WITH tk", ", tk").replace("\nFRO
         CASE WHEN short THEN 'too_short' WHEN n IS NULL THEN 'no_audio' WHEN ok THEN 'reliable' WHEN dq[3] - dq[1] < 10 THEN 'low_snr' WHEN nv * 1.0 / n < 0.5 THEN 'unvoiced' ELSE 'low_dr' END AS vq_note
     FROM fl"""
 
-#: Samples of the vectors that three neighbouring ones begin: some long, some short, some quiet, some clipped.
-SQL["audio_quality_gate"] = SQL["audio_quality_gate"].replace(
-    SQL["audio_quality_gate"][: SQL["audio_quality_gate"].index("n AS (SELECT key")],
-    """
-        WITH x AS (
-            SELECT vec_id // 40 AS key, (vec_id % 40) * 64 + i - 1 AS pos, embedding[i]::DOUBLE * CASE WHEN vec_id // 40 % 5 = 4 THEN 8 WHEN vec_id % 3 = 0 THEN 1 ELSE 0.015625 END AS x
-            FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id // 40 % 5 <> 3 OR vec_id % 40 < 8
-        ),
-        """,
-)
-
 #: A leaky mean of the power of each window and the 16 samples before it, by its weights instead of a state.
 SQL["carried_scores"] = SOUND + """
     , w AS (SELECT file_id, unnest(range((n + 63) // 64)) AS k FROM len),

@@ -195,8 +195,10 @@ SQL: dict[str, str] = {
         UNION ALL SELECT DISTINCT user_id, 'neutral', 1.0 FROM events WHERE user_id NOT IN (SELECT user_id FROM p)""",
     "event_rows": SWITCH + "SELECT file_id, printf('%.6f', start_ms / 1000) AS start, printf('%.6f', end_ms / 1000) AS \"end\", label, printf('%.4f', score) AS score, 'frames' AS source, '0.50' AS enter, '0.35' AS leave, 5 AS median_k FROM eva",
     "audio_quality_gate": """
-        WITH s AS (SELECT r_regionkey AS key, unnest(range(0, (r_regionkey + 1) * 700 + 1)) AS pos FROM region),
-        x AS (SELECT key, pos, ((pos * 7919 + key * 31) % 2001 - 1000) / 1000.0::DOUBLE * CASE WHEN pos % 500 < 350 THEN CASE WHEN key = 3 THEN 0.9::DOUBLE ELSE 0.01::DOUBLE END WHEN key = 4 THEN 1.2::DOUBLE ELSE 0.9::DOUBLE END AS x FROM s),
+        WITH x AS (
+            SELECT vec_id // 40 AS key, (vec_id % 40) * 64 + i - 1 AS pos, embedding[i]::DOUBLE * CASE WHEN vec_id // 40 % 5 = 4 THEN 8 WHEN vec_id % 3 = 0 THEN 1 ELSE 0.015625 END AS x
+            FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id // 40 % 5 <> 3 OR vec_id % 40 < 8
+        ),
         n AS (SELECT key, count(*) AS n, avg(x * x) AS power, avg(CASE WHEN abs(x) > 0.95 THEN 1.0 ELSE 0.0 END) AS clipping, least(400, count(*) // 20) AS frame, least(400, count(*) // 20) // 2 AS hop FROM x GROUP BY key),
         f AS (SELECT key, frame, hop, unnest(range(0, n - frame, hop)) AS a FROM n WHERE frame >= 64),
         e AS (SELECT f.key, a, avg(x * x) AS e FROM f JOIN x ON x.key = f.key AND pos >= a AND pos < a + frame GROUP BY f.key, a),
@@ -470,3 +472,5 @@ SQL["clock_formats"] = """
     WITH m AS (SELECT event_id, greatest(0, (event_id * 7919317) % 100000000 - 1000) AS ms FROM events),
     c AS (SELECT event_id, ms // 3600000 AS h, printf('%02d:%02d', ms // 60000 % 60, ms // 1000 % 60) AS r, printf('.%03d', ms % 1000) AS f FROM m)
     SELECT event_id, CASE WHEN h > 0 THEN concat(h, ':', r) ELSE r END AS short, concat(CASE WHEN h > 0 THEN concat(h, ':', r) ELSE r END, f) AS fine, concat(printf('%02d', h), ':', r) AS whole FROM c"""
+
+from . import sound_sql  # noqa: E402, F401  (adds the twins over sound, models and streams that end)
