@@ -247,7 +247,9 @@ def write(chunks: DataFrame, path: str) -> DataFrame:
     rows = chunks.select("file_id", "start_ms", "rate", "samples")
     length = rows.groupBy(F.col("file_id").alias("_f")).agg(F.sum(F.size("samples")).cast("long").alias("frames"))
     sorted_ = rows.join(length, rows["file_id"] == length["_f"]).select("file_id", "start_ms", "rate", "frames", "samples")
-    sorted_ = sorted_.repartition("file_id").sortWithinPartitions("file_id", "start_ms")
+    # By a hash: the join deals rows out by file_id too, so a plain repartition would be left out of the plan, and the join may then
+    # be turned into a broadcast while it runs, which leaves rows where they were.
+    sorted_ = sorted_.repartition(F.xxhash64("file_id")).sortWithinPartitions("file_id", "start_ms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from uuid import uuid4

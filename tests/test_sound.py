@@ -70,6 +70,22 @@ def test_headers_tell_durations_without_samples(spark, tmp_path):
     assert last[-1].column("chunk")[0].as_py() == 3_333 and max(len(b.column("samples")[0]) for b in last) == 480_000
 
 
+def test_files_are_whole_if_the_join_turns_into_a_broadcast(spark, tmp_path):
+    """Rows of a file that come from several tasks meet in one, also where the plan changes while it runs."""
+    rows = [(f"f{k}", ms, 8_000, [float(k + 1) / 64] * 80) for ms in range(0, 200, 10) for k in range(6)]
+    spark.createDataFrame(rows, CHUNK).repartition(5).write.parquet(str(tmp_path / "chunks"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        sound.write(spark.read.parquet(str(tmp_path / "chunks")), str(tmp_path / "out"))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    found = {r.file_id.rsplit("/", 1)[1]: r.frames for r in sound.durations(spark, str(tmp_path / "out")).collect()}
+    assert found == {f"f{k}.wav": 1_600 for k in range(6)}
+
+
 def test_other_codings(spark, tmp_path):
     x = np.array([0.0, 0.5, -0.5, 0.25])
     fmt = lambda tag, bits: struct.pack("<4sIHHIIHH", b"fmt ", 16, tag, 1, 8_000, 8_000 * bits // 8, bits // 8, bits)
