@@ -13,6 +13,8 @@ from .audio import smooth_mask
 from .islands import ordered
 
 KEYS = ["file_id", "ord"]
+#: Rounding that the fences of outliers are given, so that a pitch that lies on one stays.
+SLACK = 1e-9
 #: What frames hold besides file_id and start_ms; missing ones count as null.
 FIGURES = ("db", "hz", "centroid_hz", "flatness", "jitter", "shimmer_db", "hnr_db", "cpp_db", "low_mag", "high_mag")
 
@@ -75,7 +77,7 @@ def frame_features(segments: DataFrame, frames: DataFrame, hop_ms: int = 10, how
     rows = rows.withColumn("run_ms", F.count(F.lit(1)).over(W.partitionBy(*KEYS, "run")) * hop_ms)
     q = lambda i: F.get("hz_q", F.lit(i))
     reach = 1.5 * (q(2) - q(0))
-    fine = F.col("hz").isNotNull() & ((reach <= 0) | F.col("hz").between(q(0) - reach, q(2) + reach))
+    fine = F.col("hz").isNotNull() & ((reach <= 0) | F.col("hz").between(q(0) - reach - SLACK, q(2) + reach + SLACK))
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumn("fine", fine).withColumn("n_fine", F.count(F.when(F.col("fine"), 1)).over(W.partitionBy(*KEYS)))
     # Outliers go if most frames stay.

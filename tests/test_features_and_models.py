@@ -86,6 +86,14 @@ def test_features_of_sound(spark):
     assert row.vq_reliable and row.vq_note == "reliable" and row.vq_hnr_db > 20 and row.vq_jitter_pct < 1
 
 
+def test_a_pitch_on_the_fence_is_no_outlier(spark):
+    """The upper fence is 242.745 + 1.5 * 119.09 = 421.38, which doubles miss by a rounding."""
+    hz = [98.44, 115.88, 121.47999999999999, 124.38, 129.48, 134.44, 161.57999999999998, 169.07999999999998, 183.2, 421.38, 425.08, 451.64]
+    rows = [("f", 200 * k, -50.0, x) for k, x in enumerate(hz)]
+    row = features.segment_features(spark.createDataFrame([("f", 0, 0, 2_400, "yes")], SEG), spark.createDataFrame(rows, "file_id string, start_ms long, db double, hz double"), 200).first()
+    assert row.f0_mean_hz == pytest.approx((129.48 + 134.44) / 2) and row.pitch_slope_hzps is not None
+
+
 class Recurrent:
     """A stand-in with a state of two numbers that sees what came before each window."""
 
