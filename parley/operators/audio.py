@@ -58,12 +58,16 @@ def frame_energies(chunks: DataFrame, frame_ms: int = FRAME_MS, hop_ms: int = HO
 def drop_laps(chunks: DataFrame) -> DataFrame:
     """Chunks without the lead lap that the chunk before them holds too, so that a file's samples come once.
 
-    ``chunks`` has file_id, chunk, start_ms, lap_start_ms, rate, samples. A file's first chunk stays whole, and so does one
-    that is not longer than its lap. Samples stay in chunk rows, in order of start.
+    ``chunks`` has file_id, chunk, start_ms, lap_start_ms, rate, samples; (file_id, chunk) tells chunks apart. A file's first chunk
+    stays whole, and so does one that is not longer than its lap. Samples stay in chunk rows. Where a column ``first`` says
+    which chunk is a file's first, as a plan knows, rows stream through; else the least start of each file is joined.
     """
+    if "first" not in chunks.columns:
+        head = chunks.groupBy(F.col("file_id").alias("_f")).agg(F.min(F.struct("start_ms", "chunk")).alias("_least"))
+        own = chunks.join(head, chunks["file_id"].eqNullSafe(head["_f"]))
+        return drop_laps(own.withColumn("first", F.struct("start_ms", "chunk") == F.col("_least")).drop("_f", "_least")).drop("first")
     lead = F.floor((F.col("start_ms") - F.col("lap_start_ms")) * F.col("rate") / 1000).cast("int")
-    first = F.row_number().over(ordered(["file_id"], ["start_ms", "chunk"])) == 1
-    drop = F.when(first | (lead >= F.size("samples")), 0).otherwise(lead)
+    drop = F.when(F.col("first") | (lead >= F.size("samples")), 0).otherwise(lead)
     rows = chunks.withColumn("_drop", drop)
     return rows.withColumn("samples", F.slice("samples", F.col("_drop") + 1, F.size("samples"))).drop("_drop")
 

@@ -276,7 +276,7 @@ def _joined(s: DataFrame) -> DataFrame:
 
 def _unlapped(s: DataFrame) -> DataFrame:
     plan = intervals.chunks(s.groupBy("file_id").agg(F.max("end_ms").alias("duration_ms")), 10_000, 4_000, 700).where("lap_end_ms > lap_start_ms")
-    made = plan.withColumns({"rate": F.lit(10), "samples": F.transform(F.sequence(F.floor(F.col("lap_start_ms") / 100), F.floor(F.col("lap_end_ms") / 100)), lambda x: x.cast("double"))})
+    made = plan.withColumns({"first": F.col("chunk") == 0, "rate": F.lit(10), "samples": F.transform(F.sequence(F.floor(F.col("lap_start_ms") / 100), F.floor(F.col("lap_end_ms") / 100)), lambda x: x.cast("double"))})
     return audio.drop_laps(made).select("file_id", "chunk", F.size("samples").cast("long").alias("n"), F.element_at("samples", 1).alias("first"), F.element_at("samples", -1).alias("last"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from parley.operators import audio
 from parley.operators import denoise as D
 from parley.operators import dynamics as G
 
@@ -140,3 +141,14 @@ def test_loudness_and_limit(spark):
     assert np.allclose(loud, x * min(gain, 0.95 / np.abs(x).max()), atol=1e-6)
     hot = joined(G.normalise(rows.where("file_id = 'f'"), target_db=0.0).collect())
     assert np.abs(hot).max() == pytest.approx(0.95, abs=1e-6)
+
+
+def test_marked_chunks_lose_their_laps_without_a_sort(spark):
+    rows = [(f, k, 100 * k, max(100 * k - 20, 0), 1_000, [float(x) for x in range(max(100 * k - 20, 0), 100 * k + 100)]) for f in ("a", None) for k in range(3)]
+    chunks = spark.createDataFrame(rows, "file_id string, chunk long, start_ms long, lap_start_ms long, rate int, samples array<double>")
+    marked = audio.drop_laps(chunks.withColumn("first", chunks["chunk"] == 0))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Exchange" not in plan
+    joined = {(r.file_id, r.chunk): r.samples for r in audio.drop_laps(chunks).collect()}
+    assert {(r.file_id, r.chunk): r.samples for r in marked.collect()} == joined
+    assert all(joined[f, k] == [float(x) for x in range(100 * k, 100 * k + 100)] for f in ("a", None) for k in range(3))
