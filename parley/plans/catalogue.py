@@ -399,11 +399,11 @@ _add("nearest_pruned", "embeddings", _pruned)
 _add("stage_counts", "segments", _staged)
 
 
-# Streams, drained into a table in the shared folder.
+# Streams, drained into a table in the shared folder. The parts of a table come in no order, so they are one micro-batch.
 def _add_stream(name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         batch = tables.table(spark, folder, "events")
-        stream = streams.read_events(spark, f"{folder}/events.parque[t]", batch.schema)
+        stream = streams.read_events(spark, f"{folder}/events.parque[t]", batch.schema, None)
         return rounded(streams.drain(build(stream), f"{name}_out", mode), 4 if name == "stream_tumbling" else 6)
 
     QUERIES[name] = query
@@ -418,7 +418,7 @@ _add_stream("stream_hysteresis", lambda e: streams.switch_events(e.withColumn("s
 # Streams whose state ends: only what the watermark has closed comes out.
 def _add_timed(name: str, table: str, build: Callable[[DataFrame], DataFrame], mode: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        stream = streams.read_events(spark, f"{folder}/{table}.parque[t]", tables.table(spark, folder, table).schema)
+        stream = streams.read_events(spark, f"{folder}/{table}.parque[t]", tables.table(spark, folder, table).schema, None)
         return rounded(then(timed.drain_timed(build(stream), f"{name}_out", mode)), 4 if name == "stream_tumbling_closed" else 6)
 
     QUERIES[name] = query

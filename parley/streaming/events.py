@@ -15,9 +15,14 @@ from ..storage import new_path
 WINDOW, SLIDE, GAP, LATE = "1 hour", "15 minutes", "30 minutes", "2 hours"
 
 
-def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream of events."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_events(spark: SparkSession, path: str, schema, files_per_batch: int | None = 1) -> DataFrame:
+    """Parquet files of a folder as a stream of events; None takes all files that are there as one micro-batch.
+
+    Files come by the time they were written. Where that is not the order of their rows, as with a table whose parts were
+    written together, only one micro-batch keeps rows from coming late or in the wrong order.
+    """
+    source = spark.readStream.schema(schema)
+    return (source if files_per_batch is None else source.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:

@@ -112,14 +112,21 @@ class _Centroid(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         samples, mean, timer = self.now.get() if self.now.exists() else (0, None, None)
         mean = None if mean is None else np.array(mean, float)
-        frame = pd.concat(list(rows)).sort_values("place")
-        for v in frame["v"]:
-            if v is not None:
-                mixed = np.array(v, float) if mean is None else (1 - self.alpha) * mean + self.alpha * np.array(v, float)
+        places, held, latest = [], [], None
+        for frame in rows:  # as plain matrices, so that a key's vectors of a micro-batch take little more than their numbers
+            latest = frame["ts"].max() if latest is None else max(latest, frame["ts"].max())
+            frame = frame[frame["v"].notna()]
+            if len(frame):
+                places.append(frame["place"].to_numpy())
+                held.append(np.stack([np.asarray(v, float) for v in frame["v"]]))
+        if held:
+            vectors = np.concatenate(held)
+            for i in np.argsort(np.concatenate(places), kind="stable"):
+                mixed = vectors[i] if mean is None else (1 - self.alpha) * mean + self.alpha * vectors[i]
                 mean, samples = mixed / (np.linalg.norm(mixed) + 1e-9), samples + 1
         if mean is None:
             return
-        ends = int(frame["ts"].max().timestamp() * 1_000) + self.keep_ms
+        ends = int(latest.timestamp() * 1_000) + self.keep_ms
         if timer is not None:
             self.handle.deleteTimer(timer)
             ends = max(ends, timer)

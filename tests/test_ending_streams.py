@@ -98,6 +98,18 @@ def test_moving_centroids_carry_on_and_are_forgotten(spark, tmp_path):
     assert max(sizes) > sizes[-1] and {r.key for r in found} == {0, 1, 2, 7}
 
 
+def test_centroids_of_a_table_whose_parts_come_in_any_order(spark, tmp_path):
+    """The last vectors lie in the part that was written first; none is late, and all are blended by their ids."""
+    from parley.plans import catalogue
+
+    for low in (40_000, 20_000, 0):
+        rows = [(low + k, [float(k % 7), 1.0, float(low)], k % 2) for k in range(20)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.mode("append").parquet(str(tmp_path / "embeddings.parquet"))
+    names = ("stream_moving_centroids", "ema_centroid")
+    stream, batch = (sorted(map(tuple, catalogue.QUERIES[n](spark, str(tmp_path)).collect())) for n in names)
+    assert stream == batch and {r[1] for r in stream} == {30}
+
+
 def test_stages_count_in_their_own_jobs(spark, tmp_path):
     log = stages.Stages(spark)
     spark.sparkContext.setJobGroup("staged", "one job")
