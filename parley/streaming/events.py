@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from ..storage import new_path
 
 #: Times of the windows and how late a row may come.
 WINDOW, SLIDE, GAP, LATE = "1 hour", "15 minutes", "30 minutes", "2 hours"
+#: Groups that series of switches are dealt out to; a call and a state for each, instead of one for each series.
+BUCKETS = 1_024
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int | None = 1) -> DataFrame:
@@ -52,31 +56,77 @@ def sessions(events: DataFrame, gap: str = GAP, late: str = LATE) -> DataFrame:
     return per.select("user_id", _plain("session_window.start").alias("session_start"), _plain("session_window.end").alias("session_end"), "n")
 
 
-def switch_events(events: DataFrame, enter: float, leave: float) -> DataFrame:
+def bucket(buckets: int) -> Column:
+    """Bucket of a (user_id, event_type) series."""
+    return F.pmod(F.xxhash64("user_id", "event_type"), F.lit(buckets).cast("long"))
+
+
+def advance(rows: pd.DataFrame, held: dict[tuple, list], enter: float, leave: float, idle: int | None = None) -> list[tuple]:
+    """Take a bucket's rows (user, event_type, event_id, ts, score), series by series in order of time, and give what is closed.
+
+    ``held`` has a series' (opened, last, peak) while its switch is on, in microseconds; it is changed in place. Gives
+    (user, event_type, opened, closed, peak, timed_out).
+    """
+    codes = rows.groupby(["user", "event_type"], sort=False, dropna=False).ngroup().to_numpy()
+    micros = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+    order = np.lexsort((rows["event_id"].to_numpy(), micros, codes))
+    users, kinds, done, now, before = rows["user"].tolist(), rows["event_type"].tolist(), [], None, None
+    key, opened, last, peak = (), None, None, 0.0
+
+    def keep() -> None:
+        if now is not None and opened is not None:
+            held[key] = [opened, last, peak]
+
+    for i, code, at, score in zip(order.tolist(), codes[order].tolist(), micros[order].tolist(), rows["score"].to_numpy(float)[order].tolist()):
+        if code != before:
+            keep()
+            now, before, key = i, code, (users[i], kinds[i])
+            opened, last, peak = held.pop(key, (None, None, 0.0))
+        if opened is not None and idle is not None and at - last > idle:
+            done.append((*key, opened, last + idle, peak, True))
+            opened = None
+        if opened is None and score >= enter:
+            opened, peak = at, score
+        elif opened is not None:
+            peak = max(peak, score)
+            if score <= leave:
+                done.append((*key, opened, at, peak, False))
+                opened = None
+        last = at if last is None else max(last, at)
+    keep()
+    return done
+
+
+def closed(done: list[tuple]) -> pd.DataFrame:
+    """Rows that ``advance`` gives as (user_id, event_type, opened_at, closed_at, peak, timed_out)."""
+    out = pd.DataFrame(done, columns=["user_id", "event_type", "opened_at", "closed_at", "peak", "timed_out"])
+    out["user_id"] = pd.array([None if u is None else int(u) for u in out["user_id"]], "Int64")
+    for c in ("opened_at", "closed_at"):
+        out[c] = pd.to_datetime(out[c].astype("int64"), unit="us")
+    return out.astype({"peak": float, "timed_out": bool})
+
+
+def switch_events(events: DataFrame, enter: float, leave: float, buckets: int = BUCKETS) -> DataFrame:
     """Stateful hysteresis of each (user_id, event_type) series: (user_id, event_type, opened_at, closed_at, peak).
 
-    State is whether the switch is on, since when, and its peak; an event is given out when its switch goes off. Rows of
-    a micro-batch are taken in order of time; what is later than the watermark is dropped before.
+    State is since when a switch is on, and its peak; an event is given out when its switch goes off. Rows of
+    a micro-batch are taken in order of time; what is later than the watermark is dropped before. Series share state and
+    calls by ``buckets``; results do not depend on their number.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, peak = state.get if state.exists else (None, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        done = []
-        for ts, score in zip(rows["ts"], rows["score"]):
-            if opened is None and score >= enter:
-                opened, peak = ts.isoformat(), float(score)
-            elif opened is not None:
-                peak = max(peak, float(score))
-                if score <= leave:
-                    done.append((*key, pd.Timestamp(opened), ts, peak))
-                    opened, peak = None, 0.0
-        state.update((opened, peak))
+        held = {tuple(e[:2]): e[2:] for e in json.loads(state.get[0])} if state.exists else {}
+        done = advance(pd.concat(list(frames)), held, enter, leave)
+        if held:
+            state.update((json.dumps([[*k, *e] for k, e in held.items()]),))
+        elif state.exists:  # switches that are off need no state
+            state.remove()
         if done:
-            yield pd.DataFrame(done, columns=["user_id", "event_type", "opened_at", "closed_at", "peak"])
+            yield closed(done).drop(columns="timed_out")
 
-    return events.groupBy("user_id", "event_type").applyInPandasWithState(
-        step, "user_id long, event_type string, opened_at timestamp_ntz, closed_at timestamp_ntz, peak double", "opened string, peak double", "append", GroupStateTimeout.NoTimeout
+    rows = events.select(F.col("user_id").cast("string").alias("user"), "event_type", "event_id", "ts", "score", bucket(buckets).alias("bucket"))
+    return rows.groupBy("bucket").applyInPandasWithState(
+        step, "user_id long, event_type string, opened_at timestamp_ntz, closed_at timestamp_ntz, peak double", "switches string", "append", GroupStateTimeout.NoTimeout
     )
 
 

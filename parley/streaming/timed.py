@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .events import LATE, drain
+from .events import BUCKETS, LATE, advance, bucket, closed, drain
 
 #: How long a switch may stay on without an event, and how long the centroid of a name that is not heard is kept.
 IDLE_MS, KEEP_MS = 6 * 3_600_000, 30 * 86_400_000
@@ -32,71 +33,61 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 
 
 class _Switch(StatefulProcessor):
-    """A switch per (user, type): on from ``enter``, off at ``leave`` or after ``idle_ms`` without an event."""
+    """Switches of a bucket's (user, type) series: on from ``enter``, off at ``leave`` or after ``idle_ms`` without an event."""
 
     def __init__(self, enter: float, leave: float, idle_ms: int) -> None:
-        self.enter, self.leave, self.idle_ms = enter, leave, idle_ms
+        self.enter, self.leave, self.idle = enter, leave, 1_000 * idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("switch", "opened bigint, last bigint, peak double, timer_ms bigint")
+        self.now = handle.getValueState("switches", "held string, timer_ms bigint")
+
+    def _held(self) -> tuple[dict[tuple, list], int | None]:
+        held, timer = self.now.get() if self.now.exists() else ("[]", None)
+        return {tuple(e[:2]): e[2:] for e in json.loads(held)}, timer
+
+    def _due(self, entry: list) -> int:
+        return -(-(entry[1] + self.idle) // 1_000)
+
+    def _keep(self, held: dict[tuple, list]) -> None:
+        if not held:  # switches that are off need no state
+            self.now.clear()
+            return
+        timer = min(self._due(e) for e in held.values())
+        self.handle.registerTimer(timer)
+        self.now.update((json.dumps([[*k, *e] for k, e in held.items()]), timer))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        micros, idle = frame["ts"].astype("datetime64[us]").astype("int64"), 1_000 * self.idle_ms
-        opened, last, peak, timer = self.now.get() if self.now.exists() else (None, None, 0.0, None)
-        done = []
-        for at, score in zip(micros.tolist(), frame["score"].tolist()):
-            if opened is not None and at - last > idle:
-                done.append((*key, opened, last + idle, peak, True))
-                opened = None
-            if opened is None and score >= self.enter:
-                opened, peak = at, float(score)
-            elif opened is not None:
-                peak = max(peak, float(score))
-                if score <= self.leave:
-                    done.append((*key, opened, at, peak, False))
-                    opened = None
-            last = at if last is None else max(last, at)
+        held, timer = self._held()
+        done = advance(pd.concat(list(rows)), held, self.enter, self.leave, self.idle)
         if timer is not None:
             self.handle.deleteTimer(timer)
-        if opened is None:  # a switch that is off needs no state
-            self.now.clear()
-        else:
-            timer = -(-(last + idle) // 1_000)
-            self.handle.registerTimer(timer)
-            self.now.update((opened, last, peak, timer))
-        yield _rows(done)
+        self._keep(held)
+        yield closed(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = []
-        if self.now.exists():
-            opened, last, peak, _ = self.now.get()
-            done.append((*key, opened, last + 1_000 * self.idle_ms, peak, True))
-            self.now.clear()
-        yield _rows(done)
+        held, _ = self._held()
+        over = [k for k, e in held.items() if self._due(e) <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)]
+        done = [(*k, opened, last + self.idle, peak, True) for k in over for opened, last, peak in [held.pop(k)]]
+        self._keep(held)
+        yield closed(done)
 
     def close(self) -> None:
         pass
 
 
-def _rows(done: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(done, columns=["user_id", "event_type", "opened_at", "closed_at", "peak", "timed_out"])
-    for c in ("opened_at", "closed_at"):
-        out[c] = pd.to_datetime(out[c].astype("int64"), unit="us")
-    return out.astype({"peak": float, "timed_out": bool})
-
-
-def timed_switches(events: DataFrame, enter: float, leave: float, idle_ms: int = IDLE_MS, late: str = LATE) -> DataFrame:
+def timed_switches(events: DataFrame, enter: float, leave: float, idle_ms: int = IDLE_MS, late: str = LATE, buckets: int = BUCKETS) -> DataFrame:
     """Events of each (user_id, event_type) series from on to off: (user_id, event_type, opened_at, closed_at, peak, timed_out).
 
     ``events`` is a stream with user_id, event_type, event_id, ts, score. An event switches on from ``enter`` and off at ``leave``
     or below. A switch without an event for ``idle_ms`` goes off then: within a micro-batch when the next event
     shows it, else by a timer as soon as the watermark passes. So state is kept for switches that are on alone, and for
-    no longer than ``idle_ms`` behind the watermark. Rows of a micro-batch are taken in order of time.
+    no longer than ``idle_ms`` behind the watermark. Rows of a micro-batch are taken in order of time. Series share state, timers
+    and calls by ``buckets``; results do not depend on their number.
     """
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select("user_id", "event_type", "event_id", "ts", "score")
-    return rows.groupBy("user_id", "event_type").transformWithStateInPandas(_Switch(enter, leave, idle_ms), SWITCHED, "append", "EventTime")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = rows.select(F.col("user_id").cast("string").alias("user"), "event_type", "event_id", "ts", "score", bucket(buckets).alias("bucket"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Switch(enter, leave, idle_ms), SWITCHED, "append", "EventTime")
 
 
 class _Centroid(StatefulProcessor):

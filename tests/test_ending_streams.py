@@ -110,6 +110,20 @@ def test_centroids_of_a_table_whose_parts_come_in_any_order(spark, tmp_path):
     assert stream == batch and {r[1] for r in stream} == {30}
 
 
+def test_series_share_state_by_bucket(spark, tmp_path):
+    rows = [(k, at(k), k % 50, "ab"[k % 2], float(60 if k < 300 or k % 3 else 20)) for k in range(400)]
+    found = []
+    for buckets in (1, 3):
+        folder = tmp_path / str(buckets)
+        files(spark, folder / "in", [rows[:150], rows[150:]])
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder / "in"))
+        one, sizes = run(spark, timed.timed_switches(stream, 50.0, 35.0, 300 * 60_000, buckets=buckets), "append", folder)
+        found.append(sorted(map(tuple, one)))
+        # A row of state a bucket, and what its timers need.
+        assert max(sizes) <= 3 * buckets
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
 def test_stages_count_in_their_own_jobs(spark, tmp_path):
     log = stages.Stages(spark)
     spark.sparkContext.setJobGroup("staged", "one job")
