@@ -184,3 +184,18 @@ def test_pruned_match_equals_the_full_product(spark):
     assert {r.id: r.name for r in again.collect()} == {k: r.name for k, r in expected.items()}
     assert nearest.match_pruned(vectors, registry.limit(0), "id", "v")[0].count() == 0
     assert nearest.match_pruned(vectors.limit(0), registry, "id", "v")[0].count() == 0
+
+
+def test_pruned_match_streams_names_past_blocks(spark, monkeypatch):
+    """Small blocks and slices, no structure and many copies give the full product; no row holds more than one vector."""
+    monkeypatch.setattr(nearest, "VECTORS", 60)
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    points = rng.normal(0, 1, (150, 8)).tolist()
+    registry = spark.createDataFrame([(f"n{k:04d}", points[k % 40]) for k in range(160)], "name string, centroid array<double>")
+    vectors = spark.createDataFrame([(k, points[k % 150]) for k in range(300)] + [(7, points[90])], "id long, v array<double>")
+    found, work = nearest.match_pruned(vectors, registry, "id", "v")
+    expected = {r.id: r for r in identity.match(vectors.where("id <> 7"), registry, "id", "v").collect()}
+    got = {r.id: r for r in found.collect()}
+    assert len(got) == 300 and all(got[k].name == expected[k].name and got[k].similarity == pytest.approx(expected[k].similarity) for k in expected)
+    assert got[7].name == "n0007" and got[37].name == "n0037" and work.first().compared <= 301 * 40 + 301 * 25 + 160 * 25
