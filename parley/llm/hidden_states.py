@@ -17,13 +17,13 @@ from .shared import materialise, remove_table, whole_ids
 
 #: Latent states, passes over all training texts, and chance to stay in a state before the first pass.
 STATES, PASSES, STAY = 4, 5, 0.98
-#: A word type has emissions of its own from as many training tokens on as this part of the square root of all of them,
-#: so the number of such types grows with the corpus as about that root does, and a block's share of them stays alike.
-ROOT_SHARE = 1 / 75
+#: A word type has emissions of its own from so many training tokens on, however large the corpus is. States of a type that
+#: stands in one place only are those of this place and tell nothing of others; a second place is the least that can.
+LEAST = 2
 #: Rarer types share the emissions of a class by their length (three bits) and their last two bytes (nine bits).
 CLASSES = 1 << 12
 #: Tokens of a block, of a stretch of a block that is worked on at a time, and of a piece that advances in step with others.
-BLOCK_TOKENS, STRETCH, PIECE = 4_000_000, 600_000, 1_024
+BLOCK_TOKENS, STRETCH, PIECE = 2_500_000, 300_000, 1_024
 #: The recursions are scaled at every such place; between them a probability shrinks by a power that doubles hold.
 SCALED = 8
 #: Rows of one exchange part and blocks of a group, about.
@@ -41,6 +41,17 @@ def _unpack(packed: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(packed[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+def _pack_rising(values: np.ndarray) -> bytes:
+    """Values that mostly rise, as gaps whose bytes of equal weight stand together."""
+    gaps = np.diff(values, prepend=values.dtype.type(0))
+    return _pack(gaps.view(np.uint8).reshape(-1, values.itemsize).T.ravel())
+
+
+def _unpack_rising(packed: bytes, kind: type) -> np.ndarray:
+    gaps = _unpack(packed, np.uint8).reshape(np.dtype(kind).itemsize, -1).T
+    return np.cumsum(np.ascontiguousarray(gaps).view(kind).ravel(), dtype=kind)
+
+
 # --- corpus as blocks ---------------------------------------------------------------------------------------------
 
 
@@ -61,13 +72,13 @@ def tokenised(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(value, before[1:], END), np.insert(shape, before[1:], 0), np.diff(before) + 1
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int32())), ("tokens", pa.binary()), ("types", pa.binary()), ("shapes", pa.binary()), ("counts", pa.binary()), ("n_types", pa.int64()), ("n_train", pa.int64())])
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int32())), ("tokens", pa.binary()), ("types", pa.binary()), ("shapes", pa.binary()), ("counts", pa.binary()), ("n_types", pa.int64())])
 
 
 def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
     """Texts as blocks of about ``BLOCK_TOKENS`` tokens: a word type is stored once a block, tokens as numbers.
 
-    One row a block: (block, doc_ids, held, n_tokens, tokens, types, shapes, counts, n_types, n_train); ``counts`` has a type's
+    One row a block: (block, doc_ids, held, n_tokens, tokens, types, shapes, counts, n_types); ``counts`` has a type's
     training tokens. A block is made by one task from consecutive rows and never split, so no text leaves its task. What
     blocks hold has no influence on results but for rounding, since all that is learnt are sums over all blocks.
     """
@@ -80,8 +91,8 @@ def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
         counts = sum(np.bincount(w, weights=c, minlength=len(kinds)) for w, c in zip(where, seen)).astype(np.int64)
         row = {
             "block": [uuid.uuid4().int >> 65], "doc_ids": [pa.concat_arrays(ids).to_pylist()], "held": [np.concatenate(held).tolist()], "n_tokens": [np.concatenate(n).tolist()],
-            "tokens": [_pack(np.concatenate([w.astype(np.int32)[t] for w, t in zip(where, tokens)]))], "types": [_pack(kinds)], "shapes": [_pack(np.concatenate(shapes)[first])],
-            "counts": [_pack(counts)], "n_types": [len(kinds)], "n_train": [int(counts.sum())],
+            "tokens": [_pack(np.concatenate([w.astype(np.int32)[t] for w, t in zip(where, tokens)]))], "types": [_pack_rising(kinds)], "shapes": [_pack(np.concatenate(shapes)[first])],
+            "counts": [_pack(counts)], "n_types": [len(kinds)],
         }
         return pa.RecordBatch.from_pydict(row, schema=_BLOCK)
 
@@ -101,7 +112,7 @@ def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
         if size:
             yield pack(pieces)
 
-    schema = "block long, doc_ids array<long>, held array<boolean>, n_tokens array<int>, tokens binary, types binary, shapes binary, counts binary, n_types long, n_train long"
+    schema = "block long, doc_ids array<long>, held array<boolean>, n_tokens array<int>, tokens binary, types binary, shapes binary, counts binary, n_types long"
     return materialise(rows.mapInArrow(run, schema), "blocks")
 
 
@@ -114,14 +125,13 @@ def _parts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return part, np.append(first, len(keys))
 
 
-def _sent(block: int, keys: np.ndarray, values: np.ndarray, plan: Plan, facts: np.ndarray | None = None) -> pa.Table:
-    """What a block sends to the exchange: sorted keys and a row of values for each; facts go to the first part."""
-    part, ends = _parts(keys, plan.bits)
+def _sent(block: int, part: np.ndarray, ends: np.ndarray, keys: np.ndarray, values: np.ndarray, plan: Plan, facts: np.ndarray | None = None) -> pa.Table:
+    """What a block sends to the exchange: keys, sorted in each part, and a row of values for each; facts go to the first part."""
     n = len(part)
     return pa.Table.from_pydict({
         "block": pa.array([block] * n, pa.int64()), "part": pa.array(part, pa.int64()), "team": pa.array([block % plan.teams] * n, pa.int64()),
-        "keys": pa.array([keys[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
-        "values": pa.array([np.ascontiguousarray(values[a:b], np.float32).tobytes() if plan.narrow else _pack(values[a:b].astype(np.int64).ravel()) for a, b in zip(ends, ends[1:])], pa.binary()),
+        "keys": pa.array([_pack_rising(keys[a:b]) for a, b in zip(ends, ends[1:])], pa.binary()),
+        "values": pa.array([plan.packed(values[a:b]) for a, b in zip(ends, ends[1:])], pa.binary()),
         "facts": pa.array([None if facts is None else facts.tolist(), *[None] * (n - 1)], pa.list_(pa.float64())),
     })
 
@@ -131,29 +141,40 @@ _SENT = "block long, part long, team long, keys binary, values binary, facts arr
 
 @dataclass(frozen=True)
 class Plan:
-    """How an exchange deals out its rows: leading bits of the keys, teams of blocks, and values as 32-bit floats."""
+    """How an exchange deals out its rows: leading bits of the keys, and teams of blocks.
+
+    Keys are those of types, with whole numbers, or else ranks of kinds in their part, with 32-bit floats.
+    """
 
     bits: int
     teams: int
-    narrow: bool = True
+    ranked: bool = True
     #: Values of a key, of which the last ones are the same in all blocks and are not added up.
     width: int = STATES
     same: int = 0
 
+    def keys(self, packed: bytes) -> np.ndarray:
+        return _unpack_rising(packed, np.int32 if self.ranked else np.uint64)
+
     def values(self, packed: bytes) -> np.ndarray:
-        flat = np.frombuffer(packed, np.float32) if self.narrow else _unpack(packed, np.int64)
+        flat = np.frombuffer(packed, np.float32) if self.ranked else _unpack(packed, np.int64)
         return flat.reshape(-1, self.width).astype(float)
 
     def added(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Distinct keys of some rows, their summed values, for each row's key its place, and the keys by row."""
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+        keys = [self.keys(x.as_py()) for x in table.column("keys")]
         values = np.concatenate([self.values(x.as_py()) for x in table.column("values")])
-        kinds, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        at = np.concatenate(keys)
+        if self.ranked:
+            there = np.bincount(at) > 0
+            kinds, first, at = np.flatnonzero(there).astype(np.int32), None, (np.cumsum(there) - 1)[at]
+        else:
+            kinds, first, at = np.unique(at, return_index=True, return_inverse=True)
         columns = [np.bincount(at, weights=values[:, c], minlength=len(kinds)) if c < self.width - self.same else values[first, c] for c in range(self.width)]
         return kinds, np.stack(columns, axis=1), at, keys
 
     def packed(self, values: np.ndarray) -> bytes:
-        return np.ascontiguousarray(values, np.float32).tobytes() if self.narrow else _pack(np.rint(values).astype(np.int64).ravel())
+        return np.ascontiguousarray(values, np.float32).tobytes() if self.ranked else _pack(np.rint(values).astype(np.int64).ravel())
 
 
 def _facts(table: pa.Table) -> list | None:
@@ -161,26 +182,27 @@ def _facts(table: pa.Table) -> list | None:
     return sum(found[1:], found[0]).tolist() if found else None
 
 
-def totals(sent: DataFrame, plan: Plan, more=None, label: str = "totals") -> DataFrame:
+def totals(sent: DataFrame, plan: Plan, told, label: str = "totals") -> DataFrame:
     """Sums over all blocks, in two levels: the blocks of a team first, then the teams of a part.
 
-    Returns the written rows (part, team, keys, values, facts): the total values of the keys that the team has, and with
-    a null team the part's facts, behind what ``more(keys, totals)`` tells. A key that all blocks have costs a row a team.
+    ``told(keys, totals)`` makes of a part's sums the values that go back and its facts. Returns the written rows (part,
+    team, keys, values, facts): these values for the keys that the team has, and with a null team the facts, followed by
+    those that blocks sent. A key that all blocks have costs a row a team.
     """
 
     def by_team(table: pa.Table) -> pa.Table:
         kinds, sums, _, _ = plan.added(table)
-        return pa.Table.from_pydict({"part": table.column("part").slice(0, 1), "team": table.column("team").slice(0, 1), "keys": [kinds.tobytes()], "values": [plan.packed(sums)], "facts": pa.array([_facts(table)], pa.list_(pa.float64()))})
+        return pa.Table.from_pydict({"part": table.column("part").slice(0, 1), "team": table.column("team").slice(0, 1), "keys": [_pack_rising(kinds)], "values": [plan.packed(sums)], "facts": pa.array([_facts(table)], pa.list_(pa.float64()))})
 
     def by_part(table: pa.Table) -> pa.Table:
         kinds, sums, at, keys = plan.added(table)
-        back = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
-        facts = _facts(table)
-        facts = [np.array(x) for x in (None if more is None else more(kinds, sums), facts) if x is not None]
+        values, own = told(kinds, sums)
+        back = np.split(values[at], np.cumsum([len(k) for k in keys])[:-1])
+        facts = [own, *(np.array(x) for x in [_facts(table)] if x is not None)]
         return pa.Table.from_pydict({
             "part": [*table.column("part").to_pylist(), table.column("part")[0].as_py()], "team": pa.array([*table.column("team").to_pylist(), None], pa.int64()),
-            "keys": pa.array([*(k.tobytes() for k in keys), None], pa.binary()), "values": pa.array([*map(plan.packed, back), None], pa.binary()),
-            "facts": pa.array([*[None] * len(keys), np.concatenate(facts).tolist() if facts else None], pa.list_(pa.float64())),
+            "keys": pa.array([*map(_pack_rising, keys), None], pa.binary()), "values": pa.array([*map(plan.packed, back), None], pa.binary()),
+            "facts": pa.array([*[None] * len(keys), np.concatenate(facts).tolist()], pa.list_(pa.float64())),
         })
 
     schema = "part long, team long, keys binary, values binary, facts array<double>"
@@ -201,8 +223,8 @@ def answers(found: DataFrame, places: DataFrame, plan: Plan) -> DataFrame:
     """``totals`` brought back to the blocks, as (block, part, values); ``places`` has the keys of each block and part."""
 
     def run(own: pa.Table, sums: pa.Table) -> pa.Table:
-        keys, values = np.frombuffer(sums.column("keys")[0].as_py(), np.uint64), plan.values(sums.column("values")[0].as_py())
-        back = [plan.packed(values[np.searchsorted(keys, np.frombuffer(x.as_py(), np.uint64))]) for x in own.column("keys")]
+        keys, values = plan.keys(sums.column("keys")[0].as_py()), plan.values(sums.column("values")[0].as_py())
+        back = [plan.packed(values[np.searchsorted(keys, plan.keys(x.as_py()))]) for x in own.column("keys")]
         return pa.Table.from_pydict({"block": own.column("block"), "part": own.column("part"), "values": pa.array(back, pa.binary())})
 
     right = found.where("team is not null").select("part", "team", "keys", "values")
@@ -219,13 +241,15 @@ def _values(found: pa.Table, plan: Plan) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Training tokens, types, and types with emissions of their own; tokens and types of each class of the others."""
+    """Training tokens, types, and types with emissions of their own; tokens and types of each class of the others; bits of
+    the exchange parts."""
 
     n: int
     v: int
     own: int
     class_tokens: np.ndarray
     class_types: np.ndarray
+    bits: int = 4
 
     @property
     def room(self) -> int:
@@ -234,68 +258,82 @@ class Vocabulary:
 
 
 def class_key(shape: np.ndarray) -> np.ndarray:
-    """Key of a class of rare types among the keys of types."""
+    """Key that a class of rare types has for ``spread``."""
     return ta.mix(np.asarray(shape).astype(np.uint64) + np.uint64(0xC1A5500000000001))
 
 
-_CODED = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int32())), ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("within", pa.list_(pa.float64())), ("tokens", pa.binary()), ("kinds", pa.binary()), ("totals", pa.binary()), ("types", pa.binary())])
+_CODED = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int32())), ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("within", pa.list_(pa.float64())), ("tokens", pa.binary()), ("own", pa.binary()), ("parts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("ranks", pa.binary()), ("totals", pa.binary()), ("types", pa.binary())])
 
 
 def own_from(n_train: int) -> int:
-    """Training tokens from which on a type has emissions of its own, in a corpus of so many."""
-    return max(2, int(np.sqrt(n_train) * ROOT_SHARE))
+    """A ``least`` for callers who want fewer types of their own, about as many as the root of the training tokens.
+
+    Nothing here calls it: a threshold that follows the corpus makes scores depend on a size.
+    """
+    return max(LEAST, int(np.sqrt(n_train) / 75))
 
 
-def coded(docs: DataFrame, least: int | None = None) -> tuple[DataFrame, Vocabulary]:
+def coded(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Vocabulary]:
     """Blocks whose tokens are numbers of what emits them: a type of its own or a class of rare types.
 
-    (block, doc_ids, held, n_tokens, n_known, base, within, tokens, kinds, totals, types): for each text its known tokens,
-    the add-one unigram log10 score, and the log10 odds of its rare types within their classes; for each kind its key,
-    training tokens and training types. Counts are those of all training texts.
+    (block, doc_ids, held, n_tokens, n_known, base, within, tokens, own, parts, ends, ranks, totals, types): for each text
+    its known tokens, the add-one unigram log10 score, and the log10 odds of its rare types within their classes; keys of
+    the types of their own; exchange parts of the kinds and where each one's begin; for each kind its rank in its part,
+    training tokens and training types. Types of their own come by key, then classes by number, which are one part more
+    and have their number as rank. Counts are those of all training texts.
     """
     corpus = blocks(docs)
-    row = corpus.agg(F.sum("n_types").alias("types"), F.sum("n_train").alias("train"), F.count(F.lit(1)).alias("blocks")).first()
-    least = own_from(row["train"] or 0) if least is None else least
-    plan = Plan(_bits(row["types"]), _teams(row["blocks"]), narrow=False, width=2, same=1)
+    row = corpus.agg(F.sum("n_types").alias("types"), F.count(F.lit(1)).alias("blocks")).first()
+    plan = Plan(_bits(row["types"]), _teams(row["blocks"]), ranked=False, width=2, same=1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 columns = [_unpack(batch.column(c)[k].as_py(), kind) for c, kind in (("counts", np.int64), ("shapes", np.int16))]
-                yield from _sent(batch.column("block")[k].as_py(), _unpack(batch.column("types")[k].as_py(), np.uint64), np.stack(columns, axis=1), plan).to_batches()
+                types = _unpack_rising(batch.column("types")[k].as_py(), np.uint64)
+                yield from _sent(batch.column("block")[k].as_py(), *_parts(types, plan.bits), types, np.stack(columns, axis=1), plan).to_batches()
 
-    def facts(_: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    def told(_: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen = sums[:, 0] > 0
         rare = seen & (sums[:, 0] < least)
+        own = seen & ~rare
         shape = sums[rare, 1].astype(np.int64)
-        return np.concatenate([[sums[:, 0].sum(), seen.sum(), (seen & ~rare).sum()], np.bincount(shape, weights=sums[rare, 0], minlength=CLASSES), np.bincount(shape, minlength=CLASSES)])
+        facts = np.concatenate([[sums[:, 0].sum(), seen.sum(), own.sum()], np.bincount(shape, weights=sums[rare, 0], minlength=CLASSES), np.bincount(shape, minlength=CLASSES)])
+        return np.stack([sums[:, 0], np.cumsum(own) - 1], axis=1), facts
 
     sent = corpus.select("block", "types", "counts", "shapes").mapInArrow(send, _SENT)
-    found = totals(sent, plan, facts, "counts")
+    found = totals(sent, plan, told, "counts")
     flat = _collected(found, 3 + 2 * CLASSES).astype(np.int64)
-    vocabulary = Vocabulary(int(flat[0]), int(flat[1]), int(flat[2]), flat[3 : 3 + CLASSES], flat[3 + CLASSES :])
+    vocabulary = Vocabulary(int(flat[0]), int(flat[1]), int(flat[2]), flat[3 : 3 + CLASSES], flat[3 + CLASSES :], plan.bits)
     places = sent.select("block", "part", "team", "keys")
     n, v, class_tokens, class_types = vocabulary.n, vocabulary.v, vocabulary.class_tokens, vocabulary.class_types
 
     def code(own: pa.Table, back: pa.Table) -> pa.Table:
         if not own.num_rows:
             return _CODED.empty_table()
-        types, shape = _unpack(own.column("types")[0].as_py(), np.uint64), _unpack(own.column("shapes")[0].as_py(), np.int16).astype(np.int64)
+        types, shape = _unpack_rising(own.column("types")[0].as_py(), np.uint64), _unpack(own.column("shapes")[0].as_py(), np.int16).astype(np.int64)
         tokens, counts = _unpack(own.column("tokens")[0].as_py(), np.int32), np.array(own.column("n_tokens")[0].as_py(), np.int64)
-        total = _values(back, plan)[:, 0]
-        rare = total < least
-        kinds, first, of_type = np.unique(np.where(rare, class_key(shape), types), return_index=True, return_inverse=True)
-        of_kind = np.where(rare, class_tokens[shape], total)[first], np.where(rare, class_types[shape] + 1, 1)[first]
+        total, rank = _values(back, plan).T
+        rare = (total < least) | (total == 0)
+        classes, of_rare = np.unique(shape[rare], return_inverse=True)
+        kinds = types[~rare]
+        of_type = np.empty(len(types), np.int32)
+        of_type[~rare], of_type[rare] = np.arange(len(kinds)), len(kinds) + of_rare
+        part, ends = _parts(kinds, plan.bits)
+        if len(classes):
+            part, ends = np.append(part, 1 << plan.bits), np.append(ends, len(kinds) + len(classes))
+        of_kind = np.concatenate([total[~rare], class_tokens[classes]]), np.concatenate([np.ones(len(kinds), np.int64), class_types[classes] + 1])
         within = np.where(rare, np.log10((total + 1) / (class_tokens[shape] + class_types[shape] + 1)), 0.0)
         starts = np.cumsum(counts) - counts
         add = lambda per_type: np.add.reduceat(per_type[tokens], starts).tolist()
         return pa.Table.from_pydict({
             "block": own.column("block"), "doc_ids": own.column("doc_ids"), "held": own.column("held"), "n_tokens": own.column("n_tokens"), "n_known": [add((total > 0).astype(np.int64))],
-            "base": [add(np.log10((total + 1) / (n + v + 1)))], "within": [add(within)], "tokens": [_pack(of_type[tokens].astype(np.int32))],
-            "kinds": [_pack(kinds)], "totals": [_pack(of_kind[0].astype(np.int64))], "types": [_pack(of_kind[1].astype(np.int64))],
+            "base": [add(np.log10((total + 1) / (n + v + 1)))], "within": [add(within)], "tokens": [_pack(of_type[tokens])],
+            "own": [_pack_rising(kinds)], "parts": [part.tolist()], "ends": [ends.tolist()], "ranks": [_pack_rising(np.concatenate([rank[~rare], classes]).astype(np.int32))],
+            "totals": [_pack(of_kind[0].astype(np.int64))], "types": [_pack(of_kind[1].astype(np.int64))],
         }, schema=_CODED)
 
-    schema = "block long, doc_ids array<long>, held array<boolean>, n_tokens array<int>, n_known array<long>, base array<double>, within array<double>, tokens binary, kinds binary, totals binary, types binary"
+    schema = "block long, doc_ids array<long>, held array<boolean>, n_tokens array<int>, n_known array<long>, base array<double>, within array<double>, tokens binary, own binary, parts array<long>, ends array<long>, ranks binary, totals binary, types binary"
     made = corpus.groupBy("block").cogroup(answers(found, places, plan).groupBy("block")).applyInArrow(code, schema)
     made = materialise(made, "coded")
     for table in (corpus, found):
@@ -489,10 +527,17 @@ def _block_model(own: pa.Table, found: pa.Table | None, now: Training, plan: Pla
     """The model over a block's kinds: from the answers of the parts or, before the first pass, by chance."""
     types = _unpack(own.column("types")[0].as_py(), np.int64)
     if found is None:
-        return now.model(spread(_unpack(own.column("kinds")[0].as_py(), np.uint64), _unpack(own.column("totals")[0].as_py(), np.int64), seed), types)
+        kinds = _unpack_rising(own.column("own")[0].as_py(), np.uint64)
+        classes = _unpack_rising(own.column("ranks")[0].as_py(), np.int32)[len(kinds) :]
+        return now.model(spread(np.concatenate([kinds, class_key(classes)]), _unpack(own.column("totals")[0].as_py(), np.int64), seed), types)
     return now.model(_values(found, plan), types)
 
 
+def _layout(own: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exchange parts of a block's kinds, where each one's kinds begin and the last ends, and the ranks of all kinds."""
+    return np.array(own.column("parts")[0].as_py()), np.array(own.column("ends")[0].as_py()), _unpack_rising(own.column("ranks")[0].as_py(), np.int32)
+
+
 def _single(table: DataFrame, run, schema: str) -> DataFrame:
     """``run(block, None)`` for each row of a table of blocks, where no answers are there yet."""
 
@@ -515,21 +560,20 @@ def train(corpus: DataFrame, words: Vocabulary, passes: int = PASSES, seed: int
     up; what reaches the driver are sums by state. A pass's table and shuffles are given up once the next one is written.
     """
     spark = corpus.sparkSession
-    row = corpus.agg(F.sum(F.octet_length("kinds")).alias("bytes"), F.count(F.lit(1)).alias("blocks")).first()
-    plan = Plan(_bits((row["bytes"] or 0) // 6), _teams(row["blocks"]))
+    plan = Plan(words.bits, _teams(corpus.count()))
     known, last, now = None, None, _start(words)
     if not words.n or passes < 1:
         return known, now, plan
     size = STATES + STATES * STATES
-    left = corpus.select("block", "held", "n_tokens", "tokens", "kinds", "types")
+    left = corpus.select("block", "held", "n_tokens", "tokens", "parts", "ends", "ranks", "types")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                keys = _unpack(batch.column("kinds")[k].as_py(), np.uint64)
-                yield from _sent(batch.column("block")[k].as_py(), keys, np.zeros((len(keys), 0)), plan).select(["block", "part", "team", "keys"]).to_batches()
+                part, ends, ranks = _layout(batch.slice(k, 1))
+                yield from _sent(batch.column("block")[k].as_py(), part, ends, ranks, np.zeros((len(ranks), 0)), plan).select(["block", "part", "team", "keys"]).to_batches()
 
-    places = corpus.select("block", "kinds").mapInArrow(place, "block long, part long, team long, keys binary")
+    places = corpus.select("block", "parts", "ends", "ranks").mapInArrow(place, "block long, part long, team long, keys binary")
 
     def step_of(now: Training):
         def run(own: pa.Table, found: pa.Table | None) -> pa.Table:
@@ -543,12 +587,12 @@ def train(corpus: DataFrame, words: Vocabulary, passes: int = PASSES, seed: int
                 before, step, emitted = expected_counts(model, cls[ends[part.start] : ends[part.stop]], n[part])
                 sums += np.concatenate([before, step.ravel()])
                 emit += emitted
-            return _sent(own.column("block")[0].as_py(), _unpack(own.column("kinds")[0].as_py(), np.uint64), emit.T, plan, sums)
+            return _sent(own.column("block")[0].as_py(), *_layout(own), emit.T, plan, sums)
 
         return run
 
     for _ in range(passes):
-        table = totals(_with_answers(corpus if known is None else left, known, step_of(now), _SENT), plan, lambda _, sums: sums.sum(axis=0), "emissions")
+        table = totals(_with_answers(corpus if known is None else left, known, step_of(now), _SENT), plan, lambda _, sums: (sums, sums.sum(axis=0)), "emissions")
         flat = _collected(table, size + STATES)
         before, step = flat[STATES : 2 * STATES] + 0.1, flat[2 * STATES :].reshape(STATES, STATES) + 0.1
         now = Training(before / before.sum(), step / step.sum(axis=1, keepdims=True), flat[:STATES], words)
@@ -560,14 +604,14 @@ def train(corpus: DataFrame, words: Vocabulary, passes: int = PASSES, seed: int
     return known, now, plan
 
 
-def score(docs: DataFrame, least: int | None = None, passes: int = PASSES, seed: int = 3) -> DataFrame:
+def score(docs: DataFrame, least: int = LEAST, passes: int = PASSES, seed: int = 3) -> DataFrame:
     """Likelihood of every text: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Tokens are the words with A-Z lower-cased and one end. Training texts are those not held out; ``base_score`` is
     the add-one unigram log10 probability, ``score`` the log10 probability under the hidden Markov model by the exact
-    forward recursion over the whole text. Types with ``least`` training tokens or more (1: all; by default ``own_from``)
-    have emissions of their own, so their number grows with the corpus; rarer ones share those of a class by length and ending, within which
-    they have the add-one odds of their own counts. ``passes`` go over all training texts, whatever their number.
+    forward recursion over the whole text. Types with ``least`` training tokens or more (1: all) have emissions of their
+    own, in a corpus of any size; rarer ones share those of a class by length and ending, within which they have the
+    add-one odds of their own counts. ``passes`` go over all training texts, whatever their number.
 
     How rows are partitioned has no influence but for rounding. Null and empty texts have the end as their only token.
     A null id is not held out; ids that are no whole numbers are refused. Repeated rows count as often as they stand
@@ -591,4 +635,4 @@ def score(docs: DataFrame, least: int | None = None, passes: int = PASSES, seed:
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _with_answers(corpus if known is None else corpus.drop("totals"), known, run, schema)
+    return _with_answers(corpus if known is None else corpus.drop("own", "parts", "ends", "ranks", "totals"), known, run, schema)

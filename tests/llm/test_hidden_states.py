@@ -86,6 +86,26 @@ def test_types_of_their_own_grow_with_the_corpus(spark):
     assert hs.own_from(10**8) * 2 < hs.own_from(10**9) < hs.own_from(10**8) * 4  # the root, so types of their own go on growing
 
 
+def test_no_size_decides_which_types_are_their_own(spark):
+    """Words that stand twice have emissions of their own beside few other words and beside 100,000."""
+    pairs = [(k, " ".join(f"w{w}" for w in range(50))) for k in (2, 3)]  # ids that are not held out
+    more = [(4, "filler " * 100_000)]
+    own = [hs.coded(spark.createDataFrame(rows, "doc_id long, text string"))[1].own for rows in (pairs, pairs + more)]
+    assert own == [51, 52]  # the words and the end; then the filler too
+
+
+def test_classes_meet_across_blocks(spark):
+    """Words that stand once share classes; no partitioning changes which ones, or their sums."""
+    docs = spark.createDataFrame([(k, f"{text} once{k}ing {'x' * (k % 5)}{k}") for k, text in sentences(120)], "doc_id long, text string")
+    a, b = ({r["doc_id"]: r["score"] for r in hs.score(docs.repartition(k)).collect()} for k in (1, 9))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-3
+
+
+def test_rising_values_come_back():
+    for values in (np.array([], np.uint64), np.array([3, 9, 2**64 - 1], np.uint64), np.array([0, 5, 70_000, 0, 1, -1], np.int32)):
+        assert hs._unpack_rising(hs._pack_rising(values), values.dtype.type).tolist() == values.tolist()
+
+
 def test_states_learn_the_two_vocabularies(spark):
     rows = hs.score(spark.createDataFrame(sentences(600), "doc_id long, text string").repartition(8)).where("held_out").collect()
     gain = np.mean([(r["score"] - r["base_score"]) / r["n_tokens"] for r in rows])
